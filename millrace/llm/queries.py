@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, token_counts, url_filter, warc
+from . import bpe, language_id, ngram_join, token_counts, url_filter, warc
 from .shared import fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -48,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=3, percent=90))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), str(public_tokenizers.path(WORD_BPE)))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
     "op6_language_id": op6_language_id,
+    "op7_ngram_join": op7_ngram_join,
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
 }
