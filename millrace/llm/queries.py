@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, ngram_join, token_counts, url_filter, warc
+from . import bpe, decontaminate, language_id, ngram_join, quality, token_counts, url_filter, warc
 from .shared import fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return measured.drop("text", "kept_text")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     languages = language_id.fit(docs.filter(~language_id.held_out()))
@@ -63,6 +72,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_ngram_join": op7_ngram_join,
     "op8_bpe": op8_bpe,
