@@ -23,7 +23,8 @@ copies are never paired.  No group is held in one task: tiles are tables of
 
 Defined results: null and blank texts have an empty set, which links with
 nothing; a text with fewer words than the n-gram is one n-gram; repeated rows
-and equal texts are one component; an empty table gives an empty result.
+and equal texts are one component; a row without doc_id links with nothing; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def members_of(text: str | None, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, how: Similarity) -> DataFrame:
-    """(doc_id, n, node, sig, tiles) of each text; node, sig and tiles are null for an empty set."""
+    """(doc_id, n, node, sig, tiles) of each text; node, sig and tiles are null for an empty set or without a doc_id."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("tiles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +157,10 @@ def sketches(docs: DataFrame, how: Similarity) -> DataFrame:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(at, OUT_ROWS)
                 rows = []
-                for text in part.column(1):
+                for doc_id, text in zip(part.column(0), part.column(1), strict=True):
                     m = members_of(text.as_py(), how.words)
-                    rows.append((len(m), node_of(m), signature(m), tiles(m, how.percent)) if len(m) else (0, None, None, None))
+                    linkable = len(m) and doc_id.is_valid
+                    rows.append((len(m), node_of(m), signature(m), tiles(m, how.percent)) if linkable else (len(m), None, None, None))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sig binary, tiles array<long>")
