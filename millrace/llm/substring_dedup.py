@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .shared import small_side, staged
+from .shared import staged
 
 LEAST_WORDS, LEAST_LINE_WORDS = 8, 6
 #: One word in so many ends a piece.
@@ -118,7 +118,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     made = staged(document_units(docs), "units")
     rows = made.filter("doc_id is not null").select("doc_id", F.explode(F.array_distinct("digests")).alias("digest"))
     owners = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last")
-    owners = small_side(staged(owners.select("digest", "owner"), "unit-owners"))
+    owners = staged(owners.select("digest", "owner"), "unit-owners")  # about as many as repeated passages: always shuffled
     lost = rows.join(owners, "digest").filter("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("digest").alias("elsewhere"))
     joined = made.join(lost.withColumnRenamed("doc_id", "of_doc"), F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc")
     schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
