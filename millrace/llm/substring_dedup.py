@@ -3,15 +3,15 @@
 Units are whole lines and short paragraphs.  Paragraph borders depend on the
 words next to them only (the end of a line or sentence, or a word whose hash
 says so), so a passage is cut alike wherever it stands, also inside a line; a
-unit is two pieces between borders, and units overlap by one piece.  Words are
+unit is three pieces between borders, and units overlap by two.  Words are
 normalised by lower-casing A-Z and dropping what separates them.
 
 Digests of units are grouped over all documents.  The document with the
 smallest doc_id keeps a unit, at its first place; all other places are removed.
 The result names the removed spans by code points of the original text.
 
-A passage at a border that falls inside it keeps up to a piece at each end
-(half of them five words or fewer).
+A passage keeps what stands before its first and after its last border (half
+of these ends have four words or fewer).
 
 Defined results: null and blank texts have no units; units below
 ``LEAST_WORDS`` words are never removed; rows that repeat a doc_id keep the
@@ -32,8 +32,8 @@ from . import hashing
 from .shared import staged
 
 LEAST_WORDS, LEAST_LINE_WORDS = 8, 6
-#: One word in so many ends a piece.
-BORDER_EVERY = 8
+#: One word in so many ends a piece; so many pieces are a unit.
+BORDER_EVERY, PIECES = 5, 3
 OUT_ROWS = 256
 
 _U = np.uint64
@@ -65,12 +65,13 @@ def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     border[-1] = True
     stops = np.flatnonzero(border) + 1
     firsts = np.concatenate([[0], stops[:-1]])
-    pairs = (firsts[:-1], stops[1:]) if len(stops) > 1 else (firsts, stops)
-    long = pairs[1] - pairs[0] >= LEAST_WORDS
+    last = min(PIECES, len(stops)) - 1
+    run_firsts, run_stops = firsts[: len(firsts) - last], stops[last:]
+    long = run_stops - run_firsts >= LEAST_WORDS
     line_stops = np.flatnonzero(new_line) + 1
     line_firsts = np.concatenate([[0], line_stops[:-1]])
     long_lines = line_stops - line_firsts >= LEAST_LINE_WORDS
-    parts = [(pairs[0][long], pairs[1][long], 1), (line_firsts[long_lines], line_stops[long_lines], 2)]
+    parts = [(run_firsts[long], run_stops[long], 1), (line_firsts[long_lines], line_stops[long_lines], 2)]
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     digests = np.concatenate([_digests(hashes, a, b, salt) for a, b, salt in parts])
     return digests, np.concatenate([points[starts[a]] for a, _, _ in parts]), np.concatenate([points[ends[b - 1]] for _, b, _ in parts])
