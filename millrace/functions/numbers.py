@@ -75,7 +75,7 @@ def base_crf(quality: Column, high_resolution: Column) -> Column:
 def crf_adjustment(p15: Column, mean: Column, strength: float, limit: float) -> Column:
     """How far a scene's low scores lie below the mean, in quarters, within the limit; null for a mean of 0."""
     raw = F.ceil((1.0 - F.try_divide(p15, mean)) * strength * 4.0).cast("double") / 4.0
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), raw))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), raw)))  # greatest and least pass over nulls
 
 
 def layout_name(layout: Column) -> Column:
