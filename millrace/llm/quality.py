@@ -69,7 +69,7 @@ def windows_of(words: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_text and kept."""
+    """``docs`` (of other column names) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_text and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
     worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -92,19 +92,20 @@ def measured(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("more"), F.lit(0).alias("end"), F.lit(0).alias("n"))
     repeats = F.coalesce(F.aggregate(places, zero, add, lambda held: held["n"]), F.lit(0)).cast("long")
     kept_lines = F.filter(lines, lambda x: ~line_fails(x))
-    rows = rows.select(
-        *docs.columns, "_text",
+    # exploding one struct keeps later filters on the measures from being pushed below and repeated there
+    made = F.explode(F.array(F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", _BLANKS, "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
         repeats.alias("n_repeat_words"),
         F.array_join(kept_lines, "\n").alias("kept_text"),
-    )
+    )))
+    rows = rows.select(*docs.columns, made.alias("_made")).select(*docs.columns, "_made.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     left = F.length(F.regexp_replace("kept_text", _BLANKS, ""))
     rows = rows.withColumn("base_failed", failed)
-    return rows.withColumn("kept", ~F.col("base_failed") & (left >= (1 - MOST_LOST) * F.col("word_chars"))).drop("_text")
+    return rows.withColumn("kept", ~F.col("base_failed") & (left >= (1 - MOST_LOST) * F.col("word_chars")))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
