@@ -51,7 +51,7 @@ def drops_blanks(spec: bytes, kind: str) -> bool:
     if kind != "json":
         return False
     steps = (json.loads(spec).get("pre_tokenizer") or {}).get("pretokenizers", [])
-    return any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and r"[^\s" in str(s.get("pattern")) for s in steps)
+    return any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and r"[^\s" in (s.get("pattern") or {}).get("Regex", "") for s in steps)
 
 
 def normalised(text: Column, blanks_drop: bool) -> Column:
