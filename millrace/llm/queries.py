@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, quality, substring_dedup, token_counts, url_filter, warc
+from . import bpe, decontaminate, language_id, line_dedup, ngram_join, oracle, quality, substring_dedup, token_counts, url_filter, warc
 from .shared import fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -90,4 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": oracle.WARC,
+    "op4_decontaminate": oracle.CONTAMINATION,
+    "op5_quality": oracle.QUALITY,
+    "op7_ngram_join": oracle.SIMILAR,
+    "op9_url_filter": oracle.verdicts(url_filter.parsed_rules(URL_RULES), url_filter.LEAST_DISTRUST),
+}
