@@ -25,8 +25,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words whose encoding a worker remembers at most; at this number it forgets all.
-REMEMBERED_WORDS = 400_000
+#: Words whose encoding, and pairs of tokens whose compatibility, a worker remembers at most; at this number it forgets all.
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 250_000, 300_000
 #: A vocabulary file above this size is not sent to the executors.
 VOCABULARY_BYTES = 64 << 20
 #: Texts in an Arrow batch; long texts make large batches.
@@ -132,7 +132,7 @@ class WordBPE:
                     continue
                 fits = pairs.get((before, token))
                 if fits is None:
-                    if len(pairs) >= 4 * REMEMBERED_WORDS:
+                    if len(pairs) >= REMEMBERED_PAIRS:
                         pairs.clear()
                     fits = pairs[before, token] = self._side_by_side(before, token)
                 if not fits:
