@@ -63,7 +63,7 @@ def write_metric_log(scores: DataFrame, path: str) -> None:
 
 def zone_texts(spark: SparkSession, path: str) -> DataFrame:
     """(video, text): each file of zones whole, by its path."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("video"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("video"), F.col("value").alias("text"))
 
 
 def write_zone_texts(texts: DataFrame, path: str, key: str = "video") -> None:
@@ -78,7 +78,7 @@ def write_events(rows: DataFrame, path: str) -> None:
 
 def scene_file(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file: high_resolution, keyframes, nframe, width, height, fps_num, fps_den."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: x != "").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: x != "").alias("l"))
     n = F.size("l")
     end = lambda k: F.get("l", n - SCENE_TRAILER + k).try_cast("int")
     keys = F.transform(F.slice("l", F.lit(2), F.greatest(F.lit(0), n - SCENE_TRAILER - 1)), lambda x: x.try_cast("bigint"))

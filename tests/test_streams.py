@@ -1,6 +1,7 @@
 """Streams give what their batch twins give, and sources read what sinks write."""
 
 import json
+import os
 import struct
 
 import pytest
@@ -24,7 +25,9 @@ def streamed(spark, tmp_path, rows, schema, batches=3):
     names = [f.split()[0] for f in schema.split(", ")]
     size = -(-len(rows) // batches)
     for k in range(batches):
-        (folder / f"{k}.json").write_text("".join(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows[k * size : (k + 1) * size]))
+        file = folder / f"{k}.json"
+        file.write_text("".join(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows[k * size : (k + 1) * size]))
+        os.utime(file, (1_000_000 + 10 * k,) * 2)  # batches come in order of the files' times
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
