@@ -63,11 +63,18 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     complete = F.col("start") + F.col("size") - 1 <= F.col("n_words")
     words = words.withColumn("window", F.when(complete, window_hash(F.col("doc_words"), F.col("start"), F.col("size"))))
     side = windows.select(F.col("hash"), F.col("length"), F.col("words").alias("item_window"), F.col("items"))
-    side = F.broadcast(side) if windows.count() <= MOST_WINDOWS else side
-    met = words.join(side, (F.col("window") == F.col("hash")) & (F.col("size") == F.col("length")), "left")
+    same = (F.col("window") == F.col("hash")) & (F.col("size") == F.col("length"))
     verified = F.col("item_window") == F.slice("doc_words", F.col("start"), F.col("size"))
-    first = (F.col("start") == 1) & (F.col("size") == F.lit(lengths[0] if lengths else WINDOW))
-    kept = met.withColumn("hit", F.when(verified, F.struct("start", F.col("size").alias("length"), "items"))).filter(first | F.col("hit").isNotNull())
+    hit = F.when(verified, F.struct("start", F.col("size").alias("length"), "items"))
+    if windows.count() <= MOST_WINDOWS:
+        first = (F.col("start") == 1) & (F.col("size") == F.lit(lengths[0] if lengths else WINDOW))
+        kept = words.join(F.broadcast(side), same, "left").withColumn("hit", hit).filter(first | F.col("hit").isNotNull())
+    else:  # the hashes are shuffled alone, and texts with an equal hash are fetched to verify it
+        found = words.select("doc_id", "text_hash", "start", "size", "window").filter("window is not null").join(side, same)
+        found = found.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "start", "size", "item_window", "items")
+        of = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))
+        counted = texts.withColumn("n_words", F.size("doc_words").cast("long"))
+        kept = counted.join(found, of, "left").withColumn("hit", hit)
     return kept.select("doc_id", "text_hash", "n_words", "hit").groupBy("doc_id", "text_hash", "n_words").agg(F.collect_set("hit").alias("hits"))
 
 

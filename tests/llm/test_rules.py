@@ -37,7 +37,9 @@ def contaminated(docs, items):
     return out
 
 
-def test_contamination_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_contamination_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", broadcast)
     rng = random.Random(8)
     word = lambda: rng.choice(["a", "b", "Ünï", "c1", "d"])
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 4, 10, 14])))) for i in range(2, 30)] + [(30, None), (31, "..."), (100, "same words here"), (101, "Same, words; HERE")]
