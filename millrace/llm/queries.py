@@ -74,7 +74,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    """What is removed: a row for each document that repeats earlier text, with the documents that keep it."""
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).filter("n_removed > 0")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

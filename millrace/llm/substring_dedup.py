@@ -115,27 +115,30 @@ def removed_spans(digests: np.ndarray, starts: np.ndarray, ends: np.ndarray, els
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_units, n_removed, removed_chars, spans) of each row; the spans are what repeats earlier text."""
+    """(doc_id, n_units, n_removed, removed_chars, spans, kept_in) of each row.
+
+    The spans are what repeats earlier text; kept_in lists the documents that keep it.
+    """
     made = staged(document_units(docs), "units")
     rows = made.filter("doc_id is not null").select("doc_id", F.explode(F.array_distinct("digests")).alias("digest"))
     owners = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last")
     owners = staged(owners.select("digest", "owner"), "unit-owners")  # about as many as repeated passages: always shuffled
-    lost = rows.join(owners, "digest").filter("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("digest").alias("elsewhere"))
+    lost = rows.join(owners, "digest").filter("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("digest").alias("elsewhere"), F.sort_array(F.collect_set("owner")).alias("kept_in"))
     joined = made.join(lost.withColumnRenamed("doc_id", "of_doc"), F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_in", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 out = []
                 part = batch.slice(at, OUT_ROWS)
-                for doc_id, _, digests, starts, ends, elsewhere in zip(*(part.column(c) for c in ("doc_id", "n_chars", "digests", "starts", "ends", "elsewhere")), strict=True):
-                    numbers = [np.asarray(x.values) if x.is_valid else np.empty(0, np.int64) for x in (digests, starts, ends, elsewhere)]
+                for doc_id, kept_in, *lists in zip(*(part.column(c) for c in ("doc_id", "kept_in", "digests", "starts", "ends", "elsewhere")), strict=True):
+                    numbers = [np.asarray(x.values) if x.is_valid else np.empty(0, np.int64) for x in lists]
                     n, spans = removed_spans(*numbers)
-                    out.append((doc_id.as_py(), len(numbers[0]), n, sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans]))
+                    out.append((doc_id.as_py(), len(numbers[0]), n, sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept_in.as_py() or []))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(run, f"doc_id long, n_units long, n_removed long, removed_chars long, spans {SPANS}")
+    return joined.mapInArrow(run, f"doc_id long, n_units long, n_removed long, removed_chars long, spans {SPANS}, kept_in array<long>")
 
 
 def cut(text: Column, spans: Column) -> Column:

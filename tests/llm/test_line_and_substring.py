@@ -101,6 +101,7 @@ def test_planted_passages_are_removed(spark):
         inside = sum(s.end - s.start for s in got[i].spans)
         assert all(start <= s.start and s.end <= start + len(planted[i % 20]) for s in got[i].spans)
         covered.append(inside / len(planted[i % 20]))
+    assert all(got[i].kept_in == ([i % 20] if i >= 20 else []) for i in range(60))
     assert not any(covered[:20]) and all(covered[20:]) and sum(covered) > 0.65 * 40
     assert all(got[len(texts) + i].n_removed == 0 for i in range(40))
     cut = {r.doc_id: r.text for r in substring_dedup.deduplicated(docs, spans).collect()}
