@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Words whose encoding, and pairs of tokens whose compatibility, a worker remembers at most; at this number it forgets all.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 250_000, 300_000
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 600_000
 #: A vocabulary file above this size is not sent to the executors.
 VOCABULARY_BYTES = 64 << 20
 #: Texts in an Arrow batch; long texts make large batches.
@@ -78,7 +78,8 @@ class WordBPE:
                 key = self._symbols(s)
                 self._automaton.add_word(key, (i, len(key)))
         self._automaton.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left * _next + right
+        self._next = max(self.strings) + 1
         self._known: dict[str, tuple[int, str, str]] = {}
 
     @staticmethod
@@ -130,11 +131,12 @@ class WordBPE:
                 before = tokens[start]
                 if before < 0:
                     continue
-                fits = pairs.get((before, token))
+                pair = before * self._next + token
+                fits = pairs.get(pair)
                 if fits is None:
                     if len(pairs) >= REMEMBERED_PAIRS:
                         pairs.clear()
-                    fits = pairs[before, token] = self._side_by_side(before, token)
+                    fits = pairs[pair] = self._side_by_side(before, token)
                 if not fits:
                     continue
             tokens[end], starts[end] = token, start
