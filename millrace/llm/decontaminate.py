@@ -2,7 +2,7 @@
 
 Items are cut into windows of ten normalised words (an item with fewer is one
 window); the windows' hashes are broadcast once their number is known to be
-within ``MOST_WINDOWS``, else the hit search is a shuffled join.  Every window
+within ``MOST_WINDOWS`` and their size within ``MOST_WINDOW_BYTES``, else the hit search is a shuffled join.  Every window
 of every text is hashed and looked up in the same pass that counts the words,
 and each hit is verified by comparing the words themselves.  All of it is
 DataFrame operations.
@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, staged
+from .shared import ascii_lower, free_names, staged
 
 WINDOW = 10
-#: Windows that are broadcast at most: hashes and words, about 200 MB.
-MOST_WINDOWS = 1_000_000
+#: Windows that are broadcast at most, and the bytes of their hashes, words and items.
+MOST_WINDOWS, MOST_WINDOW_BYTES = 1_000_000, 200 << 20
 
 #: The words of the contract, after A-Z became a-z.
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,6 +49,13 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return staged(found.select(F.xxhash64("words").alias("hash"), "length", "words", "items"), "item-windows")
 
 
+def may_broadcast(windows: DataFrame) -> bool:
+    """Whether the number and the measured bytes of the windows are within their bounds."""
+    size = F.octet_length(F.array_join("words", " ")) + 8 * F.size("words") + 8 * F.size("items") + 32
+    found = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return found["n"] <= MOST_WINDOWS and found["size"] <= MOST_WINDOW_BYTES
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each text: doc_id, text_hash, n_words, and hits, an array of (start, length, items); starts count from 1."""
     windows = item_windows(benchmark)
@@ -66,7 +73,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = (F.col("window") == F.col("hash")) & (F.col("size") == F.col("length"))
     verified = F.col("item_window") == F.slice("doc_words", F.col("start"), F.col("size"))
     hit = F.when(verified, F.struct("start", F.col("size").alias("length"), "items"))
-    if windows.count() <= MOST_WINDOWS:
+    if may_broadcast(windows):
         first = (F.col("start") == 1) & (F.col("size") == F.lit(lengths[0] if lengths else WINDOW))
         kept = words.join(F.broadcast(side), same, "left").withColumn("hit", hit).filter(first | F.col("hit").isNotNull())
     else:  # the hashes are shuffled alone, and texts with an equal hash are fetched to verify it
@@ -104,8 +111,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns stay."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text"))
+    bad_id, bad_text = free_names(docs, "bad_id", "bad_text")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_text))
     bad = staged(bad, "contaminated")
     bad = F.broadcast(bad) if bad.count() <= MOST_WINDOWS else bad
-    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_text"))
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_text))
     return docs.join(bad, same, "left_anti")

@@ -10,7 +10,8 @@ lines, and the words inside three-word windows that occur twice or more.
 Windows are compared by 64-bit hashes of their words.
 
 Defined results: null, empty and blank texts have no words, measures of 0, and
-are rejected; repeated rows each give a row; other columns stay as they are.
+are rejected; repeated rows each give a row; other columns stay as they are,
+but for those of a measure's name, which ``measured`` replaces.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 #: The part of its word characters that a text may lose with its failing lines.
@@ -29,6 +32,8 @@ SHORT_LINE_WORDS = 16
 #: The part of a line's characters that may be symbols.
 MOST_SYMBOLS = 0.3
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_text", "base_failed", "kept")
+
 _BLANKS = r"[\x20\x09-\x0D]+"
 _SYMBOLS = r"[#*$%&|<>]"
 #: Beginnings or whole phrases of lines that web templates add.
@@ -69,22 +74,24 @@ def windows_of(words: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` (of other column names) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_text and kept."""
+    """``docs`` with the columns ``MEASURES`` in place of any of these names."""
+    docs = docs.drop(*MEASURES)
+    _text, _words, _windows, _sorted, _made = free_names(docs, "_text", "_words", "_windows", "_sorted", "_made")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
     worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text")))
-    rows = rows.withColumn("_windows", windows_of(F.col("_words")))
+    rows = docs.withColumn(_text, text).withColumn(_words, words_of(F.col(_text)))
+    rows = rows.withColumn(_windows, windows_of(F.col(_words)))
     # windows sorted with their places: equal neighbours are repeats
-    order = F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), order))
-    n = F.size("_sorted")
+    order = F.array_sort(F.transform(_windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    rows = rows.withColumn(_sorted, F.when(F.size(F.array_distinct(_windows)) < F.size(_windows), order))
+    n = F.size(_sorted)
 
     def twice(x: Column, i: Column) -> Column:
-        before, after = F.get("_sorted", i - 1), F.get("_sorted", i + 1)
+        before, after = F.get(_sorted, i - 1), F.get(_sorted, i + 1)
         return F.coalesce((i > 0) & (before["w"] == x["w"]), F.lit(False)) | F.coalesce((i + 1 < n) & (after["w"] == x["w"]), F.lit(False))
 
-    places = F.array_sort(F.transform(F.filter("_sorted", twice), lambda x: x["i"]))
+    places = F.array_sort(F.transform(F.filter(_sorted, twice), lambda x: x["i"]))
 
     def add(held: Column, at: Column) -> Column:
         return F.struct(F.least(F.lit(3), at + 3 - held["end"]).alias("more"), (at + 3).alias("end"), (held["n"] + F.least(F.lit(3), at + 3 - held["end"])).alias("n"))
@@ -94,14 +101,14 @@ def measured(docs: DataFrame) -> DataFrame:
     kept_lines = F.filter(lines, lambda x: ~line_fails(x))
     # exploding one struct keeps later filters on the measures from being pushed below and repeated there
     made = F.explode(F.array(F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_text", _BLANKS, "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
+        F.size(_words).cast("long").alias("n_words"),
+        F.length(F.regexp_replace(_text, _BLANKS, "")).cast("long").alias("word_chars"),
+        F.regexp_count(_text, F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
         repeats.alias("n_repeat_words"),
         F.array_join(kept_lines, "\n").alias("kept_text"),
     )))
-    rows = rows.select(*docs.columns, made.alias("_made")).select(*docs.columns, "_made.*")
+    rows = rows.select(*docs.columns, made.alias(_made)).select(*docs.columns, f"{_made}.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     left = F.length(F.regexp_replace("kept_text", _BLANKS, ""))
     rows = rows.withColumn("base_failed", failed)
@@ -110,5 +117,6 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines taken out; the columns of ``docs``."""
-    kept = measured(docs).filter("kept").withColumn("text", F.col("kept_text"))
-    return kept.select(*docs.columns)
+    own = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns) if c in MEASURES}  # these are not the measures' to replace here
+    kept = measured(docs.withColumnsRenamed(own)).filter("kept").withColumn("text", F.col("kept_text"))
+    return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))

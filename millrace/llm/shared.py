@@ -44,6 +44,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        free.append(name)
+    return free
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` would change other letters too."""
     plain = F.octet_length(text) == F.char_length(text)

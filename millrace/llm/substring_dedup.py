@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .shared import staged
+from .shared import free_names, staged
 
 LEAST_WORDS, LEAST_LINE_WORDS = 8, 6
 #: One word in so many ends a piece; so many pieces are a unit.
@@ -153,7 +153,8 @@ def cut(text: Column, spans: Column) -> Column:
 
 def deduplicated(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the removed spans cut out of the text; rows of a repeated doc_id need equal texts."""
-    found = spans.filter("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("of_doc"), F.col("spans").alias("removed"))
-    joined = docs.join(found, F.col("doc_id") == F.col("of_doc"), "left")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("removed")))
+    of_doc, removed = free_names(docs, "of_doc", "removed")
+    found = spans.filter("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(of_doc), F.col("spans").alias(removed))
+    joined = docs.join(found, F.col("doc_id") == F.col(of_doc), "left")
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(removed)))
     return joined.withColumn("text", text).select(*docs.columns)

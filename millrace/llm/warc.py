@@ -11,8 +11,9 @@ Of pages with equal payloads the one with the largest page_id is the response
 and the others are revisits that name it and carry no payload.
 
 Defined results: null html is an empty payload, whose digest is that of no
-bytes; a null url gets a placeholder target; repeated rows of the response's
-page_id are responses too; an empty table gives no archive and no rows.
+bytes; a null url gets a placeholder target; rows without page_id, and repeated rows
+of the response's page_id, are responses too; an empty table gives no archive
+and no rows.
 """
 
 from __future__ import annotations
@@ -44,11 +45,11 @@ DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long, payload_bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-_ID = "<urn:page:%d>"
+_ID = "<urn:page:%s>"
 
 
 class Record(NamedTuple):
-    page_id: int
+    page_id: int | None
     url: str | None
     payload: bytes
     refers_to: int | None
@@ -77,7 +78,11 @@ def parsed(member: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda name: int(fields[name].rpartition(":")[2].rstrip(">")) if name in fields else None
+
+    def number(name: str) -> int | None:
+        found = re.search(r":(-?\d+)>", fields.get(name, ""))
+        return int(found[1]) if found else None
+
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != size or digest_of(payload) != fields["WARC-Payload-Digest"].removeprefix("sha1:")):
