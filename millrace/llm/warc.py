@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,6 +39,8 @@ from .shared import fresh_path, small_side, staged
 FILE_BYTES = 256 << 20
 #: Neighbouring ranges are joined over gaps up to this, into reads up to this.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: A task reads about so many bytes of archives.
+TASK_BYTES = 256 << 20
 #: Digests of repeated payloads up to this number are broadcast.
 BROADCAST_DIGESTS = 250_000
 #: Pages carry no time, and two runs shall write equal records.
@@ -152,7 +155,10 @@ def ranges(entries: Iterable[tuple[str, int, int]], gap: int = GAP_BYTES, most:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the given rows of the index, with their payloads (null for revisits)."""
     order = ["file", "offset"]
-    wanted = index.select("file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the rows are few bytes, by which their partitions would be joined; the work is what they make a task read
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES))
+    wanted = index.select("file", "offset", "length").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = store_of(folder)
