@@ -4,10 +4,9 @@ A line is cut into one segment more than the threshold, so a line within the
 threshold holds one of the segments unchanged, near its place.  Each line puts
 its own segments into an index by length and place, and looks up its substrings
 for every length from the threshold below its own, at the starts where an edit
-script could leave them.  Lines that meet are first compared with the line of
-the group that meets most others; members that this leaves in different
-components are then compared with each other, if the letters that occur an odd
-number of times allow it.  Candidates are verified by edit distance in a
+script could leave them.  All lines that meet are compared with each other, if
+their lengths and the letters that occur an odd number of times allow it; a key
+of many lines is cut into blocks.  Candidates are verified by edit distance in a
 diagonal band, with the differences of a column held in the bits of a long.
 
 All of it is DataFrame operations.  Equal lines are one node from the start, so
@@ -18,9 +17,7 @@ Defined results: a null text has no lines and an empty text one blank line;
 blank lines are classes of their own and stay; lines are compared without the
 blanks at their ends; of a class, the line with the smallest (doc_id, line
 number) stays; rows that repeat it stay too; rows without doc_id link with
-nothing.  ``n_links`` counts the verified links that hold a class together, not
-every pair of a class that is within the threshold: lines that are in one
-class already are not compared again.
+nothing.  ``n_links`` counts the different lines within the threshold of a line.
 """
 
 from __future__ import annotations
@@ -34,6 +31,10 @@ from .components import components
 from .shared import free_names, small_side, staged
 
 
+#: Rows of a key that are compared with all its others in one place.
+BLOCK_ROWS = 512
+
+
 class EditJoin(NamedTuple):
     """Lines of ``least_chars`` code points or more link within ``edits`` insertions, deletions and substitutions."""
 
@@ -188,39 +189,30 @@ def verified(pairs: DataFrame, texts: DataFrame, how: EditJoin) -> DataFrame:
 
 
 def line_links(docs: DataFrame, how: EditJoin) -> DataFrame:
-    """Links (a, b) between nodes that give every component of the full edit join."""
+    """Every link (a, b) of the edit join between distinct nodes, once each."""
     lines = lines_of(docs)
     rows = index_rows(lines, how)
     met = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"))
     met = small_side(staged(met.filter("low <> high and any").select("key"), "line-keys"))
     members = rows.join(met, "key").groupBy("key", "node").agg(F.max("indexed").alias("indexed"))
     members = staged(members, "line-members")
-    sizes = small_side(staged(members.groupBy("key").agg(F.count("*").alias("size")), "line-key-sizes"))
-    sized = members.join(sizes, "key")
-    weight = small_side(staged(sized.groupBy("node").agg(F.sum("size").alias("met")), "lines-met"))
-    heads = members.filter("indexed").join(weight, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("head"))
-    heads = small_side(staged(heads, "line-heads"))
-    first = members.join(heads, "key").filter("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    blocks = F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int")
+    sizes = small_side(staged(members.groupBy("key").agg(blocks.alias("blocks")), "line-key-sizes"))
 
     nodes = small_side(staged(members.select("node").distinct(), "line-nodes"))
     texts = lines.filter(F.col("size") >= how.least_chars).select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     texts = staged(texts.select("node", "line", F.length("line").alias("size"), letter_parity(F.col("line")).alias("parity")), "line-texts")
-    links = verified(staged(first.distinct(), "line-pairs"), texts, how)
-
-    grouped = small_side(staged(components(links), "line-components").withColumnRenamed("node", "of_node"))
-    labelled = members.join(grouped, F.col("node") == F.col("of_node"), "left").select("key", "node", "indexed", F.coalesce("component", "node").alias("component"))
-    labelled = staged(labelled, "line-labels")
-    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    several = small_side(staged(several.select("key"), "line-open-keys"))
-    still = labelled.join(several, "key", "left_semi").join(texts.select("node", "parity", "size"), "node")
-    still = staged(still, "line-open")
-    left = still.filter("indexed").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "parity", "size")))
-    right = still.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "parity", "size")))
+
+    signed = staged(members.join(sizes, "key").join(texts.select("node", "parity", "size"), "node"), "line-signed")
+    # a key of many lines is dealt out: each indexed line to one block, the lines that look it up to all
+    dealt = {"left": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "right": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}
+    side = lambda rows, x, end: rows.select("key", dealt[end].alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "indexed", "parity", "size")))
+    left, right = side(signed.filter("indexed"), "a", "left"), side(signed, "b", "right")
     sign = lambda x: {c: F.col(f"{c}_{x}") for c in ("parity", "size")}
-    possible = (F.col("component_a") != F.col("component_b")) & may_link(sign("a"), sign("b"), how)
-    second = left.join(right, (left["key"] == right["key"]) & possible)
-    second = second.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    return links.union(verified(staged(second, "line-pairs"), texts, how))
+    once = (F.col("node_a") < F.col("node_b")) | (~F.col("indexed_b") & (F.col("node_a") != F.col("node_b")))
+    pairs = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & once & may_link(sign("a"), sign("b"), how))
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return verified(staged(pairs, "line-pairs"), texts, how)
 
 
 def line_classes(docs: DataFrame, how: EditJoin = EditJoin()) -> DataFrame:

@@ -119,3 +119,18 @@ def test_spans_of_odd_rows(spark):
     got = [(r.doc_id, r.n_removed > 0) for r in substring_dedup.repeated_spans(docs).collect()]
     assert sorted(got, key=str) == sorted([(1, False), (2, False), (3, False), (3, False), (4, True), (None, False), (5, True)], key=str)
     assert substring_dedup.repeated_spans(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", block)
+    rng = random.Random(11)
+    bases = ["".join(rng.choice("abcdeé ") for _ in range(30)).strip() for _ in range(4)]
+    near = [LONG[:at] + c + LONG[at + 1 :] for at in range(0, 20, 2) for c in "XYZ"]  # one large class, all within two edits
+    lines = near + [varied(rng, rng.choice(bases)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, f"{x}\n{x}") for i, x in enumerate(lines)], SCHEMA)
+    long = [x for x in set(lines) if len(x) >= 24]
+    want = {x: sum(a != x and distance(a, x) <= 2 for a in long) for x in long}
+    got = line_dedup.line_classes(docs, line_dedup.EditJoin(2, 24)).collect()
+    assert all(want[x] == len(near) - 1 for x in near)
+    assert all(r.n_links == want.get(lines[r.doc_id], 0) for r in got)
