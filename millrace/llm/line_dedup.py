@@ -1,5 +1,7 @@
 """Operator 1: lines within an edit distance of each other.
 
+Two lines may differ by one edit for each ``chars_per_edit`` code points of the
+longer, and by ``edits`` at most.
 A line is cut into one segment more than the threshold, so a line within the
 threshold holds one of the segments unchanged, near its place.  Each line puts
 its own segments into an index by length and place, and looks up its substrings
@@ -10,8 +12,8 @@ of many lines is cut into blocks.  Candidates are verified by edit distance in a
 diagonal band, with the differences of a column held in the bits of a long.
 
 All of it is DataFrame operations.  Equal lines are one node from the start, so
-copies are never paired.  Lines below ``least_chars`` code points match equal
-lines only and are never removed.
+copies are never paired; they are removed at any length.  Only a caller's own
+``least_chars`` keeps lines below it, which match equal lines and stay.
 
 Defined results: a null text has no lines and an empty text one blank line;
 blank lines are classes of their own and stay; lines are compared without the
@@ -36,10 +38,19 @@ BLOCK_ROWS = 512
 
 
 class EditJoin(NamedTuple):
-    """Lines of ``least_chars`` code points or more link within ``edits`` insertions, deletions and substitutions."""
+    """Lines of ``least_chars`` code points or more link within ``edits`` insertions, deletions and substitutions.
+
+    Fewer are allowed where the longer line has less than ``chars_per_edit`` code points (3 at least) for each.
+    """
 
     edits: int = 2
-    least_chars: int = 24
+    least_chars: int = 1
+    chars_per_edit: int = 6
+
+
+def allowed(size: Column, how: EditJoin) -> Column:
+    """The threshold where the longer line has ``size`` code points."""
+    return F.least(F.lit(how.edits), F.floor(size / how.chars_per_edit)).cast("int")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -61,23 +72,29 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
 def index_rows(lines: DataFrame, how: EditJoin) -> DataFrame:
     """(key, node, indexed): the line's own segments, and the substrings under which it looks for others.
 
-    The segments of a length are equal parts, the longer ones last.  One row of the plan's constants is
+    The segments of a length are equal parts, the longer ones last; a line looks for those of its own threshold, and
+    indexes those of each threshold that a longer line may have.  One row of the plan's constants is
     made for each probe first, so the generated code stays small enough to be compiled.
     """
-    constant = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("shorter", "part", "shift"), p, strict=True))) for p in probes(how.edits)))
+    names = ("level", "shorter", "part", "shift")
+    rounds = [(k, *p) for k in range(1, how.edits + 1) for p in probes(k)]
+    constant = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p, strict=True))) for p in rounds))
     long = lines.filter((F.col("size") >= how.least_chars) & F.col("doc_id").isNotNull())
     # a line of single-byte symbols is cut by bytes, which need not be counted from its start; the hash is of bytes either way
     plain = F.when(F.octet_length("line") == F.col("size"), F.col("line").cast("binary"))
     long = long.select("node", "line", "size", plain.alias("plain"))
     rows = long.select("node", "line", "plain", "size", F.inline(constant)).withColumn("length", F.col("size") - F.col("shorter"))
-    base, long_from = F.floor(F.col("length") / (how.edits + 1)).cast("int"), F.lit(how.edits + 1) - F.col("length") % (how.edits + 1)
+    own = (F.col("shorter") == 0) & (F.col("shift") == 0)
+    level, least = F.col("level"), allowed(F.col("size"), how)
+    rows = rows.filter((level == least) | (own & (level > least) & (level <= allowed(F.col("size") + level, how))))
+    base, long_from = F.floor(F.col("length") / (level + 1)).cast("int"), level + 1 - F.col("length") % (level + 1)
     rows = rows.withColumn("at", base * F.col("part") + F.greatest(F.lit(0), F.col("part") - long_from) + F.col("shift"))
     rows = rows.withColumn("chars", base + F.when(F.col("part") >= long_from, 1).otherwise(0))
     rows = rows.filter((F.col("length") >= how.least_chars) & (F.col("at") >= 0) & (F.col("at") + F.col("chars") <= F.col("size")))
     first, chars = F.col("at") + 1, F.col("chars")
-    by_bytes, by_symbols = (F.xxhash64("length", "part", F.substring(F.col(c), first, chars)) for c in ("plain", "line"))
+    by_bytes, by_symbols = (F.xxhash64("level", "length", "part", F.substring(F.col(c), first, chars)) for c in ("plain", "line"))
     key = F.when(F.col("plain").isNotNull(), by_bytes).otherwise(by_symbols)
-    return rows.select(key.alias("key"), "node", ((F.col("shorter") == 0) & (F.col("shift") == 0)).alias("indexed"))
+    return rows.select(key.alias("key"), "node", own.alias("indexed"))
 
 
 def letter_parity(line: Column) -> Column:
@@ -154,8 +171,8 @@ def _without_common_start(rows: DataFrame, keep: int) -> DataFrame:
 
 def may_link(a: Column, b: Column, how: EditJoin) -> Column:
     """Whether lengths and odd letters of two rows (node, size, parity) leave a link possible."""
-    near = F.abs(a["size"] - b["size"]) <= how.edits
-    return near & (F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= 2 * how.edits)
+    most = allowed(F.greatest(a["size"], b["size"]), how)
+    return (F.abs(a["size"] - b["size"]) <= most) & (F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= 2 * most)
 
 
 def middle_may_match(a: Column, b: Column, edits: int) -> Column:
@@ -177,14 +194,15 @@ def verified(pairs: DataFrame, texts: DataFrame, how: EditJoin) -> DataFrame:
     rows = pairs.select("a", "b")
     for name in "ab":
         rows = rows.join(texts.select(F.col("node").alias(name), F.struct("size", "parity").alias(f"sign_{name}"), F.col("line").alias(f"line_{name}")), name)
-    rows = rows.filter(may_link(F.col("sign_a"), F.col("sign_b"), how)).drop("sign_a", "sign_b")
+    rows = rows.filter(may_link(F.col("sign_a"), F.col("sign_b"), how))
+    rows = rows.withColumn("most", allowed(F.greatest("sign_a.size", "sign_b.size"), how)).drop("sign_a", "sign_b")
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _without_common_start(rows, how.edits).withColumns({"line_a": F.reverse("line_a"), "line_b": F.reverse("line_b")})
     rows = staged(_without_common_start(rows, how.edits), "line-middles")
     rows = rows.filter(middle_may_match(F.col("line_a"), F.col("line_b"), how.edits))
-    symbols = rows.select("a", "b", F.split("line_a", "").alias("rows"), F.split("line_b", "").alias("columns"))
+    symbols = rows.select("a", "b", "most", F.split("line_a", "").alias("rows"), F.split("line_b", "").alias("columns"))
     rows = staged(symbols.repartition(tasks, "a", "b"), "line-candidates")  # few bytes, but much work each
-    near = edit_distance(F.col("rows"), F.col("columns"), how.edits) <= how.edits
+    near = edit_distance(F.col("rows"), F.col("columns"), how.edits) <= F.col("most")
     return staged(rows.filter(near).select("a", "b"), "line-links")
 
 

@@ -134,3 +134,24 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     got = line_dedup.line_classes(docs, line_dedup.EditJoin(2, 24)).collect()
     assert all(want[x] == len(near) - 1 for x in near)
     assert all(r.n_links == want.get(lines[r.doc_id], 0) for r in got)
+
+
+def test_short_lines_equal_brute_force(spark):
+    rng = random.Random(12)
+    bases = ["".join(rng.choice("abcdefghijklé") for _ in range(n)) for n in range(3, 27)]
+    lines = [varied(rng, rng.choice(bases)) for _ in range(300)] + ["no", "no", "版权所有。", "版权所有。", "All rights reserved.", "All rights reserved!"]
+    docs = spark.createDataFrame(list(enumerate(lines)), SCHEMA)
+    texts = sorted({x for x in lines if x})
+    near = {x: {b for b in texts if b != x and distance(x, b) <= min(2, max(len(x), len(b)) // 6)} for x in texts}
+    group = {x: x for x in texts}
+    for a in texts:
+        for b in near[a]:
+            old, new = group[b], group[a]
+            group = {k: new if v == old else v for k, v in group.items()}
+    first = {}
+    for n, x in enumerate(lines):
+        first.setdefault(group.get(x), n)
+    for r in line_dedup.line_classes(docs).collect():
+        x = lines[r.doc_id]
+        if x:
+            assert (r.class_doc, r.n_links, r.kept) == (first[group[x]], len(near[x]), first[group[x]] == r.doc_id)
