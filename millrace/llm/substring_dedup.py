@@ -1,10 +1,12 @@
 """Operator 10: repeated lines and paragraphs.
 
-Units are whole lines and short paragraphs.  Paragraph borders depend on the
+Units are whole texts, lines and short paragraphs.  Paragraph borders depend on the
 words next to them only (the end of a line or sentence, or a word whose hash
 says so), so a passage is cut alike wherever it stands, also inside a line; a
-unit is three pieces between borders, and units overlap by two.  Words are
-normalised by lower-casing A-Z and dropping what separates them.
+unit is three pieces between borders, or as many more as it takes to reach
+``LEAST_WORDS`` words, and a unit starts at each piece.  Words are normalised by
+lower-casing A-Z and dropping what separates them; in scripts that put no blanks
+between words, each code point is a word.
 
 Digests of units are grouped over all documents.  The document with the
 smallest doc_id keeps a unit, at its first place; all other places are removed.
@@ -13,8 +15,9 @@ The result names the removed spans by code points of the original text.
 A passage keeps what stands before its first and after its last border (half
 of these ends have four words or fewer).
 
-Defined results: null and blank texts have no units; units below
-``LEAST_WORDS`` words are never removed; rows that repeat a doc_id keep the
+Defined results: null and blank texts have no units; a line is a unit from
+``LEAST_LINE_WORDS`` words or ``LEAST_LINE_POINTS`` code points on, a whole text
+at any length; rows that repeat a doc_id keep the
 same units, so an identical row changes nothing; rows without doc_id keep all
 but their own repeats.
 """
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from . import hashing
 from .shared import free_names, staged
 
-LEAST_WORDS, LEAST_LINE_WORDS = 8, 6
+LEAST_WORDS, LEAST_LINE_WORDS, LEAST_LINE_POINTS = 8, 6, 16
+#: Scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, ideographs.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: One word in so many ends a piece; so many pieces are a unit.
 BORDER_EVERY, PIECES = 5, 3
 OUT_ROWS = 256
@@ -50,10 +55,33 @@ def _digests(hashes: np.ndarray, firsts: np.ndarray, stops: np.ndarray, salt: in
     return hashing.mixed(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(_U) + _U(salt))
 
 
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of each word; code points of unspaced scripts are words of their own."""
+    data = np.frombuffer(raw, np.uint8)
+    heads = np.flatnonzero(data >= 0xE0)
+    if not len(heads):
+        return hashing.words(raw)
+    four = data[heads] >= 0xF0
+    parts = [(data[np.minimum(heads + k, len(data) - 1)] & 0x3F).astype(np.int64) for k in (1, 2, 3)]
+    lead = data[heads].astype(np.int64)
+    three = (lead & 0x0F) << 12 | parts[0] << 6 | parts[1]
+    points = np.where(four, (lead & 0x07) << 18 | parts[0] << 12 | parts[1] << 6 | parts[2], three)
+    alone = np.zeros(len(heads), bool)
+    for low, high in UNSPACED:
+        alone |= (points >= low) & (points <= high)
+    if not alone.any():
+        return hashing.words(raw)
+    # a blank on either side; ``origin`` leads from the longer text back to the places in ``raw``
+    places = np.concatenate([heads[alone], heads[alone] + 3 + four[alone]])
+    origin = np.insert(np.arange(len(data)), places, 0)
+    hashes, starts, ends = hashing.words(np.insert(data, places, 32).tobytes())
+    return hashes, origin[starts], origin[ends - 1] + 1
+
+
 def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, start and end (code points) of each unit."""
     raw = (text or "").encode("utf-8")
-    hashes, starts, ends = hashing.words(raw)
+    hashes, starts, ends = _words(raw)
     n = len(hashes)
     if not n:
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -66,13 +94,15 @@ def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stops = np.flatnonzero(border) + 1
     firsts = np.concatenate([[0], stops[:-1]])
     last = min(PIECES, len(stops)) - 1
-    run_firsts, run_stops = firsts[: len(firsts) - last], stops[last:]
-    long = run_stops - run_firsts >= LEAST_WORDS
+    # the run from each piece on: three pieces, and further ones until it has the least number of words
+    to = np.maximum(np.arange(len(firsts)) + last, np.searchsorted(stops, firsts + LEAST_WORDS))
+    run_firsts, run_stops = firsts[to < len(stops)], stops[to[to < len(stops)]]
     line_stops = np.flatnonzero(new_line) + 1
     line_firsts = np.concatenate([[0], line_stops[:-1]])
-    long_lines = line_stops - line_firsts >= LEAST_LINE_WORDS
-    parts = [(run_firsts[long], run_stops[long], 1), (line_firsts[long_lines], line_stops[long_lines], 2)]
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    line_points = points[ends[line_stops - 1]] - points[starts[line_firsts]]
+    long_lines = (line_stops - line_firsts >= LEAST_LINE_WORDS) | (line_points >= LEAST_LINE_POINTS)
+    parts = [(run_firsts, run_stops, 1), (line_firsts[long_lines], line_stops[long_lines], 2), (np.array([0]), np.array([n]), 3)]
     digests = np.concatenate([_digests(hashes, a, b, salt) for a, b, salt in parts])
     return digests, np.concatenate([points[starts[a]] for a, _, _ in parts]), np.concatenate([points[ends[b - 1]] for _, b, _ in parts])
 

@@ -155,3 +155,18 @@ def test_short_lines_equal_brute_force(spark):
         x = lines[r.doc_id]
         if x:
             assert (r.class_doc, r.n_links, r.kept) == (first[group[x]], len(near[x]), first[group[x]] == r.doc_id)
+
+
+def test_passages_of_short_pieces_and_unspaced_scripts(spark):
+    menu = "\n".join(f"item {k}" for k in range(12))
+    names = ". ".join(f"n{k}" for k in range(40)) + "."
+    chinese = "".join(chr(0x4E00 + 37 * k) for k in range(60))
+    thai = "".join(chr(0x0E01 + 7 * k % 40) for k in range(50))
+    whole = [menu, names, chinese, thai, "two words", "字", "A short line of text"]
+    docs = [(i, t) for i, t in enumerate(whole + whole)] + [(50, f"before {menu}\nafter"), (51, f"前{chinese}\n后"), (52, "𠀀é 字\n" + "All rights reserved."), (53, "other\nAll rights reserved.")]
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, SCHEMA)).collect()}
+    for i, t in enumerate(whole):
+        assert not got[i].spans
+        assert [tuple(s) for s in got[i + len(whole)].spans] == [(0, len(t))]
+    assert got[50].removed_chars > 0.6 * len(menu) and got[51].removed_chars > 0.6 * len(chinese)
+    assert not got[52].spans and [tuple(s) for s in got[53].spans] == [(6, 26)]
