@@ -4,7 +4,8 @@ A rule names a host (with its subdomains) and a path's beginning; the longest
 rule that fits decides.  Hosts that no rule decides are judged by propagation
 over links between hosts: trust flows along links from the hosts of allowed
 pages, distrust flows against links from the hosts of blocked pages, both as
-personalised PageRank with the seeds weighed by their pages.  A host is blocked
+personalised PageRank with the seeds weighed by their pages, repeated until the
+ranks stay as they are.  A host is blocked
 where its distrust is above ``LEAST_DISTRUST`` times the mean and above its
 trust.  All of it is DataFrame operations.
 
@@ -24,7 +25,9 @@ from .shared import ascii_lower, staged
 
 #: Rules are literals in the plan; a longer list is refused.
 MOST_RULES = 1_000
-DAMPING, ROUNDS = 0.85, 12
+DAMPING = 0.85
+#: Ranks are settled when a round's changes sum to less than this part of a host's mean rank.
+TOLERANCE = 1e-3
 #: Times the mean distrust of all hosts.
 LEAST_DISTRUST = 1.0
 #: Blocked hosts up to this number are broadcast.
@@ -73,21 +76,26 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.select("src", dst.alias("dst")).filter("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagated(hosts: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: ``hosts`` (host, seed; the seeds sum to 1), ``edges`` (src, dst, n) -> (host, rank).
 
-    What hosts without outgoing edges hold flows back to the seeds.
+    What hosts without outgoing edges hold flows back to the seeds.  Without ``rounds`` it goes on until the ranks are
+    settled; each round's changes are at most ``DAMPING`` times those before, so that they are.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = staged(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "host-shares")
     sinks = staged(hosts.join(out, hosts["host"] == out["src"], "left_anti").select("host"), "host-sinks")
     ranks = staged(hosts.select("host", "seed", F.col("seed").alias("rank")), "host-ranks")
-    for _ in range(rounds):
+    least, change, done = TOLERANCE / max(1, hosts.count()), 1.0, 0
+    while change > least if rounds is None else done < rounds:
         got = shares.join(ranks, shares["src"] == ranks["host"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         lost = ranks.join(sinks, "host", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
         step = ranks.join(got, ranks["host"] == got["dst"], "left")
         rank = (1 - DAMPING) * F.col("seed") + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.lit(float(lost)) * F.col("seed"))
-        ranks = staged(step.select("host", "seed", rank.alias("rank")), "host-ranks")
+        moved = staged(step.select("host", "seed", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved")), "host-ranks")
+        if rounds is None:
+            change = moved.agg(F.sum("moved")).first()[0] or 0.0
+        ranks, done = moved.drop("moved"), done + 1
     return ranks.select("host", "rank")
 
 

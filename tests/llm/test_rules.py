@@ -184,3 +184,11 @@ def test_ranges_are_joined():
     entries = [("a", 0, 10), ("a", 10, 5), ("a", 40, 5), ("b", 0, 7)]
     assert list(warc.ranges(entries, gap=10, most=100)) == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 40, 45, [(40, 5)]), ("b", 0, 7, [(0, 7)])]
     assert len(list(warc.ranges(entries, gap=100, most=12))) == 4
+
+
+def test_distrust_goes_along_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "TOLERANCE", 1.0)  # some 40 rounds
+    link = lambda host: f'<a href="https://{host}/x">x</a>'
+    pages = [(0, "http://bad.net/es/", "")] + [(k + 1, f"http://h{k}.org/", link(f"h{k - 1}.org" if k else "bad.net")) for k in range(20)] + [(100 + k, f"http://o{k}.org/", "") for k in range(400)]
+    found = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert all(found[k] == ("block" if k <= 20 else "allow") for k in found)
