@@ -7,7 +7,10 @@ with a token next to which it can stand.  That token is stored with the prefix,
 and following the stored tokens back from the end of the word emits the ids.
 
 The texts are split and encoded in Arrow batches on the executors.  A worker
-keeps the encodings of the words that it has met, up to a fixed number.
+keeps the encodings of the words that it has met, up to a fixed number of bytes.
+Texts of code points that older versions of Unicode have are normalised and
+split here; whether others are letters differs between tables, so texts that
+hold any of those are normalised and split by the tokenizer's library.
 
 Defined results: a null text counts as empty; an empty text has no ids, the
 digests of the empty string, and 0 tokens; repeated rows and equal texts each
@@ -18,15 +21,24 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words whose encoding, and pairs of tokens whose compatibility, a worker remembers at most; at this number it forgets all.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 600_000
+from .shared import in_batches
+
+#: Bytes that a worker spends on remembered words, and on pairs of tokens whose compatibility it knows.  At half of them the newer half
+#: becomes the older one, which is forgotten then but for what was looked up meanwhile.
+REMEMBERED_WORD_BYTES, REMEMBERED_PAIR_BYTES = 24 << 20, 8 << 20
+#: Longer words are encoded anew each time.
+REMEMBERED_SYMBOLS = 64
+#: Bytes of a dictionary's entry, and of one whose key is a number.
+_ENTRY, _NUMBER_ENTRY = 160, 136
 #: A vocabulary file above this size is not sent to the executors.
 VOCABULARY_BYTES = 64 << 20
 #: Texts in an Arrow batch; long texts make large batches.
@@ -53,34 +65,41 @@ class WordBPE:
 
         model = json.loads(spec)
         vocab: dict[str, int] = model["model"]["vocab"]
-        self.strings = {i: s for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.strings |= {i: s for s, i in self.special.items()}
+        named = vocab | self.special
+        self.strings: list[str | None] = [None] * (max(named.values()) + 1)
+        for s, i in named.items():
+            self.strings[i] = s
         if not all("<|" in s for s in self.special):
             raise ValueError("special tokens are looked for in texts with <| only")
         self._special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         #: The words of this vocabulary's pre-tokeniser.
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self._bytes = dict(enumerate(byte_symbols()))
-        self._rank: dict[tuple[int, int], int] = {}
-        self._parts: dict[int, tuple[int, int]] = {}
-        self._made: dict[int, int] = {}
+        self._spec, self._library = {k: model[k] for k in ("version", "normalizer", "pre_tokenizer")}, None
+        self._checked: set[str] = set()  # code points that need no library
+        self._next = len(self.strings)
+        self._rank: dict[int, int] = {}  # by left * _next + right
+        self._left, self._right, self._made = (array("i", [-1]) * self._next for _ in range(3))
         for rank, pair in enumerate(model["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, whole = vocab[left], vocab[right], vocab[left + right]
-            self._rank[a, b] = rank
-            self._parts.setdefault(whole, (a, b))
-            self._made.setdefault(whole, rank)
+            self._rank[a * self._next + b] = rank
+            if self._made[whole] < 0:
+                self._left[whole], self._right[whole], self._made[whole] = a, b, rank
         self._usable: dict[int, bool] = {}
-        self._automaton = ahocorasick.Automaton()
+        self._size = array("i", [0]) * self._next
+        self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for s, i in vocab.items():
             if self._whole(i):
                 key = self._symbols(s)
-                self._automaton.add_word(key, (i, len(key)))
+                self._size[i] = len(key)
+                self._automaton.add_word(key, i)
         self._automaton.make_automaton()
-        self._pairs: dict[int, bool] = {}  # by left * _next + right
-        self._next = max(self.strings) + 1
-        self._known: dict[str, tuple[int, str, str]] = {}
+        self._usable.clear()
+        self._pairs, self._older_pairs = {}, {}  # by left * _next + right
+        self._known, self._older = {}, {}
+        self._known_bytes = 0
 
     @staticmethod
     def _symbols(token: str) -> str:
@@ -97,23 +116,23 @@ class WordBPE:
         """
         due_left = due_right = before if before is not None else 1 << 60
         while True:
-            rank = self._rank.get((left, right))
+            rank = self._rank.get(left * self._next + right)
             if rank is not None and rank < due_left and rank <= due_right and (before is None or rank < before):
                 return False
-            age_left, age_right = self._made.get(left, -1), self._made.get(right, -1)
+            age_left, age_right = self._made[left], self._made[right]
             if age_left < 0 and age_right < 0:
                 return True
             if age_left > age_right:
-                due_left, left = age_left, self._parts[left][1]
+                due_left, left = age_left, self._right[left]
             else:
-                due_right, right = age_right, self._parts[right][0]
+                due_right, right = age_right, self._left[right]
 
     def _whole(self, token: int) -> bool:
         """Whether a token's own text is encoded as that token."""
         known = self._usable.get(token)
         if known is None:
-            parts = self._parts.get(token)
-            known = parts is None or (self._whole(parts[0]) and self._whole(parts[1]) and self._side_by_side(*parts, before=self._made[token]))
+            left, right = self._left[token], self._right[token]
+            known = left < 0 or (self._whole(left) and self._whole(right) and self._side_by_side(left, right, before=self._made[token]))
             self._usable[token] = known
         return known
 
@@ -121,10 +140,9 @@ class WordBPE:
         symbols = word.encode("utf-8").decode("latin-1").translate(self._bytes)
         symbols = symbols[:-1] + chr(_END_BASE + ord(symbols[-1]))
         tokens, starts = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)  # per prefix: its last token and where that begins
-        pairs = self._pairs
-        for end, (token, size) in self._automaton.iter(symbols):
+        for end, token in self._automaton.iter(symbols):
             end += 1
-            start = end - size
+            start = end - self._size[token]
             if tokens[end] >= 0:
                 continue
             if start:
@@ -132,11 +150,12 @@ class WordBPE:
                 if before < 0:
                     continue
                 pair = before * self._next + token
-                fits = pairs.get(pair)
+                fits = self._pairs.get(pair)
                 if fits is None:
-                    if len(pairs) >= REMEMBERED_PAIRS:
-                        pairs.clear()
-                    fits = pairs[pair] = self._side_by_side(before, token)
+                    if 2 * len(self._pairs) * _NUMBER_ENTRY >= REMEMBERED_PAIR_BYTES:
+                        self._pairs, self._older_pairs = {}, self._pairs
+                    fits = self._older_pairs.get(pair)
+                    fits = self._pairs[pair] = self._side_by_side(before, token) if fits is None else fits
                 if not fits:
                     continue
             tokens[end], starts[end] = token, start
@@ -146,24 +165,47 @@ class WordBPE:
             at = starts[at]
         return ids[::-1]
 
-    def _learn(self, word: str) -> tuple[int, str, str]:
-        ids = self.encode_word(word)
-        if len(self._known) >= REMEMBERED_WORDS:
-            self._known.clear()
-        found = self._known[word] = (len(ids), " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids))
+    def _learn(self, word: str) -> tuple[str, str]:
+        found = self._older.get(word)
+        if found is None:
+            ids = self.encode_word(word)
+            found = " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids)
+        if len(word) <= REMEMBERED_SYMBOLS:
+            size = _ENTRY + sys.getsizeof(word) + sys.getsizeof(found[0]) + sys.getsizeof(found[1])
+            if 2 * (self._known_bytes + size) > REMEMBERED_WORD_BYTES:
+                self._known, self._older, self._known_bytes = {}, self._known, 0
+            self._known[word] = found
+            self._known_bytes += size
         return found
 
-    def _entries(self, text: str) -> list[tuple[int, str, str]]:
-        out: list[tuple[int, str, str]] = []
+    def _split_by_library(self, piece: str) -> list[str]:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            steps = self._spec["pre_tokenizer"]["pretokenizers"]
+            splits = {"type": "Sequence", "pretokenizers": [x for x in steps if x["type"] != "ByteLevel"]}
+            model = {"type": "BPE", "vocab": {}, "merges": []}
+            self._library = Tokenizer.from_str(json.dumps(self._spec | {"pre_tokenizer": splits, "model": model}))
+        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece))]
+
+    def _words(self, piece: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if not piece.isascii():
+            if new := set(piece) - self._checked:
+                if any(unicodedata.ucd_3_2_0.category(c) == "Cn" for c in new):
+                    return self._split_by_library(piece)
+                self._checked |= new
+            piece = unicodedata.normalize("NFC", piece)
+        return self._split.findall("".join(map(str.lower, piece)) if "Σ" in piece else piece.lower())  # no rule for a final sigma
+
+    def _entries(self, text: str) -> list[tuple[str, str]]:
+        out: list[tuple[str, str]] = []
         for piece in self._special_split.split(text) if "<|" in text else [text]:
             if piece in self.special:
-                out.append((1, str(self.special[piece]), piece))
-                continue
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece)
-            piece = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()  # no rule for a final sigma
-            known = self._known.get
-            out += [known(w) or self._learn(w) for w in self._split.findall(piece)]
+                out.append((str(self.special[piece]), piece))
+            else:
+                for w in self._words(piece):
+                    out.append(self._known.get(w) or self._learn(w))
         return out
 
     def encoded(self, text: str) -> tuple[int, str, str]:
@@ -171,15 +213,16 @@ class WordBPE:
         entries = self._entries(text)
         if not entries:
             return 0, "", ""
-        counts, ids, strings = zip(*entries, strict=True)
-        return sum(counts), " ".join(ids), " ".join(strings)
+        ids = " ".join([e[0] for e in entries])
+        return ids.count(" ") + 1, ids, " ".join([e[1] for e in entries])
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encoded(text)[1].split()]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings joined by a space, special tokens included; unknown ids are left out."""
-        return " ".join(self.strings[i] for i in ids if i in self.strings)
+        known = (self.strings[i] for i in ids if 0 <= i < self._next)
+        return " ".join(s for s in known if s is not None)
 
 
 _loaded: dict[bytes, WordBPE] = {}
@@ -211,11 +254,11 @@ def _mapped(docs: DataFrame, path: str, row: Callable[[WordBPE, str], tuple], sc
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                made = [row(bpe, t or "") for t in part.column(1).to_pylist()]
+                made = [row(bpe, t.as_py() or "") for t in part.column(1)]
                 columns = [part.column(0), *(pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), list(arrow)[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -234,7 +277,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], schema=arrow)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return in_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ _BASE = 0x9E3779B97F4A7C15
 _LENGTH = 0xC2B2AE3D27D4EB4F
 _PLACES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 #: Texts are hashed in pieces of about so many bytes, cut between words, so memory does not follow the text.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

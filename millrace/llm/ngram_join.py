@@ -1,7 +1,7 @@
 """Operator 7: documents whose sets of word n-grams have a high Jaccard similarity.
 
 Sets are grouped by size into bands, and each band is cut into tiles.  A tile
-holds the sets of a band (and those of the next band that are small enough to
+holds the sets of a band (and those of larger bands that are small enough to
 link into it) that agree on one slice of the hash range.  A band has more
 slices than the hashes by which two linked sets of it can differ, so linked
 sets agree on a whole slice and meet in a tile.  A few more slices are cut
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .components import components
-from .shared import small_side, staged
+from .shared import in_batches, small_side, staged
 
 #: Sizes of the signature in 64-bit words, and of a block of a tile in rows.
 SIGNATURE_WORDS, BLOCK_ROWS = 16, 2_048
@@ -53,6 +53,8 @@ EMPTY_SLICES_RISK = 1e-3
 #: Rows with a signature up to this number are broadcast (about 40 MB).
 BROADCAST_SIGNATURES = 150_000
 OUT_ROWS = 256
+#: A text is shorter than this.
+MOST_BYTES = 1 << 31
 
 _U = np.uint64
 
@@ -88,10 +90,12 @@ def _slices(least: int, apart: int) -> tuple[int, int]:
 
 
 @cache
-def bands(percent: int, largest: int = 1 << 26) -> list[Band]:
+def bands(percent: int) -> list[Band]:
     """The bands of set sizes; one slice stands for a band in which only equal sets link."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"a similarity of {percent} per cent")
     made, least = [], 1
-    while least <= largest:
+    while least <= MOST_BYTES:  # no set has more members than its text has bytes
         most = max(least, int(least * BAND_RATIO))
         partner = most * 100 // percent  # the largest set that links with one of this band
         apart = (most + partner) * (100 - percent) // (100 + percent)  # hashes in one of two linked sets only
@@ -107,10 +111,10 @@ def _starts(percent: int) -> list[int]:
 
 
 def bands_of(n: int, percent: int) -> list[int]:
-    """The band of a size, and the one below if a set of it can link with this size."""
-    all_bands = bands(percent)
+    """The band of a size, and those below that hold a size with which this one can link."""
+    least = -(-n * percent // 100)
     own = bisect_right(_starts(percent), n) - 1
-    return [own, own - 1] if own and -(-n * percent // 100) <= all_bands[own - 1].most else [own]
+    return list(range(bisect_right(_starts(percent), least) - 1, own + 1))[::-1]
 
 
 def tiles(members: np.ndarray, percent: int) -> list[int]:
@@ -149,21 +153,21 @@ def members_of(text: str | None, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, how: Similarity) -> DataFrame:
-    """(doc_id, n, node, sig, tiles) of each text; node, sig and tiles are null for an empty set or without a doc_id."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("tiles", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, n, node, sig, tiles) of each text; node, sig and tiles are null for an empty set or without a doc_id."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("tiles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(at, OUT_ROWS)
                 rows = []
-                for doc_id, text in zip(part.column(0), part.column(1), strict=True):
+                for doc_id, text in zip(part.column(0), part.column(2), strict=True):
                     m = members_of(text.as_py(), how.words)
                     linkable = len(m) and doc_id.is_valid
                     rows.append((len(m), node_of(m), signature(m), tiles(m, how.percent)) if linkable else (len(m), None, None, None))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(schema)[2:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sig binary, tiles array<long>")
+    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, n long, node long, sig binary, tiles array<long>")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -193,7 +197,7 @@ def bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             keep = may_link(column("n_a").to_numpy(), column("n_b").to_numpy(), apart, percent)
             yield pa.RecordBatch.from_arrays([column("a").filter(pa.array(keep)), column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return in_batches(rows, run, "a long, b long")
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, info: DataFrame, how: Similarity) -> DataFrame:
@@ -212,7 +216,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame, info: DataFrame, how: Similar
                         rows.append((node, m.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "members"])
 
-    stored = staged(texts.mapInArrow(sets, "node long, members binary").dropDuplicates(["node"]), "sets")
+    stored = staged(in_batches(texts, sets, "node long, members binary").dropDuplicates(["node"]), "sets")
     rows = pairs
     for name in "ab":
         rows = rows.join(stored.select(F.col("node").alias(name), F.col("members").alias(f"set_{name}")), name)
@@ -228,7 +232,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame, info: DataFrame, how: Similar
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return staged(rows.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links")
+    return staged(in_batches(rows.select("a", "b", "set_a", "set_b"), run, "a long, b long"), "links")
 
 
 def _block_pairs(rows: list[dict], percent: int, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +276,7 @@ def block_candidates(members: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield _pair_batch(*_block_pairs(held, percent, *name[1:]))
 
-    pairs = met.mapInArrow(run, "a long, b long")
+    pairs = in_batches(met, run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -310,14 +314,27 @@ def node_links(docs: DataFrame, made: DataFrame, how: Similarity) -> DataFrame:
     return links.union(exact_links(second, docs, info, how))
 
 
-def near_duplicates(docs: DataFrame, how: Similarity) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
+def memberships(docs: DataFrame, how: Similarity) -> DataFrame:
+    """(doc_id, text_hash, n, component) of each row of ``docs`` (doc_id, text), stored; component is null for what links with nothing."""
     docs = docs.select("doc_id", "text")
     made = staged(sketches(docs, how), "sketches")
     groups = small_side(staged(components(node_links(docs, made, how)), "components").withColumnRenamed("node", "of_node"))
-    rows = made.select("doc_id", "n", "node").join(groups, F.col("node") == F.col("of_node"), "left")
-    rows = staged(rows.select("doc_id", "n", F.coalesce("component", "node").alias("component")), "memberships")
+    rows = made.select("doc_id", "text_hash", "n", "node").join(groups, F.col("node") == F.col("of_node"), "left")
+    return staged(rows.select("doc_id", "text_hash", "n", F.coalesce("component", "node").alias("component")), "memberships")
+
+
+def near_duplicates(docs: DataFrame, how: Similarity) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
+    rows = memberships(docs, how)
     several = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     several = small_side(staged(several.filter("size > 1").select(F.col("component").alias("of_component"), "least"), "component-ids"))
     rows = rows.join(several, F.col("component") == F.col("of_component"), "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def repeated_texts(docs: DataFrame, how: Similarity) -> DataFrame:
+    """(doc_id, text_hash) of the texts to drop, so that one text of each component stays: of the smallest doc_id, the one of the smallest hash."""
+    rows = memberships(docs, how).filter("component is not null").select("component", F.struct("doc_id", "text_hash").alias("text"))
+    several = rows.groupBy("component").agg(F.min("text").alias("first"), F.max("text").alias("last")).filter("first <> last")
+    several = small_side(staged(several.select(F.col("component").alias("of_component"), "first"), "component-firsts"))
+    return rows.join(several, (F.col("component") == F.col("of_component")) & (F.col("text") != F.col("first"))).select("text.*").distinct()

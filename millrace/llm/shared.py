@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a table of two longs may be broadcast (24 MB at most); it is counted before it is sent.
 BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of an Arrow batch of texts.
+TEXT_ROWS, TEXT_BATCH_BYTES = 1_000, 4 << 20
+_ARROW = "spark.sql.execution.arrow."
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a folder of this process is set.
+    Where a session on one machine names none (tests), a folder of this process is set; on a cluster that is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", known)
         spark.sparkContext.setCheckpointDir(known)
@@ -44,6 +54,35 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Batches) -> Batches:
+    """``run``, after which the worker, which may stay idle for a while, gives freed memory back to the system."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+    return wrapped
+
+
+def in_batches(df: DataFrame, run: Batches, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for rows that hold whole texts.
+
+    Where the session leaves the size of Arrow batches as Spark sets it, batches of ``TEXT_ROWS`` rows and about
+    ``TEXT_BATCH_BYTES`` are asked for, so that neither side holds many texts at once.
+    """
+    conf = df.sparkSession.conf
+    for key, usual, ours in ((_ARROW + "maxRecordsPerBatch", "10000", TEXT_ROWS), (_ARROW + "maxBytesPerBatch", "67108864b", TEXT_BATCH_BYTES)):
+        if conf.get(key) == usual:
+            conf.set(key, str(ours))
+    return df.mapInArrow(lean(run), schema)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores in front as it takes to differ from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

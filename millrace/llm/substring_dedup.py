@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .shared import free_names, staged
+from .shared import free_names, in_batches, staged
 
 LEAST_WORDS, LEAST_LINE_WORDS, LEAST_LINE_POINTS = 8, 6, 16
 #: Scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, ideographs.
@@ -121,7 +121,7 @@ def document_units(docs: DataFrame) -> DataFrame:
                 columns += [pa.array([m[k].astype(np.int32) for m in made], schema.field(k + 2).type) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, digests array<long>, starts array<int>, ends array<int>")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n_chars long, digests array<long>, starts array<int>, ends array<int>")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -168,7 +168,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     out.append((doc_id.as_py(), len(numbers[0]), n, sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept_in.as_py() or []))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(run, f"doc_id long, n_units long, n_removed long, removed_chars long, spans {SPANS}, kept_in array<long>")
+    return in_batches(joined, run, f"doc_id long, n_units long, n_removed long, removed_chars long, spans {SPANS}, kept_in array<long>")
 
 
 def cut(text: Column, spans: Column) -> Column:

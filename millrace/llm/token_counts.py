@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
+from .shared import in_batches
 
 #: Bytes of text that are given to the library at once.
 ENCODE_BYTES = 4 << 20
@@ -88,7 +89,7 @@ def token_counts(docs: DataFrame, path: str, cache: str) -> DataFrame:
     distinct = keyed.select("digest", "content").dropDuplicates(["digest"])
     if stored(docs, table):
         distinct = distinct.join(spark.read.schema(stored_schema).parquet(table), "digest", "left_anti")
-    distinct.mapInArrow(count, stored_schema).write.mode("append").option("compression", "zstd").parquet(table)
+    in_batches(distinct, count, stored_schema).write.mode("append").option("compression", "zstd").parquet(table)
     counts = spark.read.schema(stored_schema).parquet(table)
     return keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 

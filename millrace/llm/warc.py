@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, small_side, staged
+from .shared import fresh_path, in_batches, small_side, staged
 
 #: A task starts another file at this size.
 FILE_BYTES = 256 << 20
@@ -134,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0)
 
     store, root = store_of(folder)
     store.create_dir(root, recursive=True)
-    return staged(planned.mapInArrow(write, INDEX), "warc-index")
+    return staged(in_batches(planned, write, INDEX), "warc-index")
 
 
 def ranges(entries: Iterable[tuple[str, int, int]], gap: int = GAP_BYTES, most: int = READ_BYTES) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
@@ -171,7 +171,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             rows = [parsed(data[o - first : o - first + n]) for o, n in parts]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())]))
 
-    return wanted.mapInArrow(read, RECORDS)
+    return in_batches(wanted, read, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def corpus(seed, sizes):
     return rows
 
 
-@pytest.mark.parametrize(("words", "percent", "sizes"), [(3, 90, (8, 12, 20, 60, 150)), (5, 80, (6, 9, 15, 30, 60, 120)), (2, 70, (4, 10, 40, 90))])
+@pytest.mark.parametrize(("words", "percent", "sizes"), [(3, 90, (8, 12, 20, 60, 150)), (5, 80, (6, 9, 15, 30, 60, 120)), (2, 70, (4, 10, 40, 90)), (2, 50, (5, 12, 30))])
 def test_components_equal_brute_force(spark, words, percent, sizes):
     how = ngram_join.Similarity(words, percent)
     rows = corpus(words, sizes)
@@ -56,6 +56,23 @@ def test_components_equal_brute_force(spark, words, percent, sizes):
     assert got == brute_force(rows, how)
 
 
+@pytest.mark.parametrize("percent", [50, 60, 70, 74, 80, 90, 95])
+def test_nested_sets_at_the_threshold_share_a_tile(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(200):
+        n = int(rng.integers(2, 400))
+        whole = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        part = np.sort(rng.choice(whole, -(-len(whole) * percent // 100), replace=False))
+        if len(part) < len(whole):
+            assert set(ngram_join.tiles(whole, percent)) & set(ngram_join.tiles(part, percent))
+
+
+def test_similarities_that_are_none_are_refused():
+    for percent in (0, 101):
+        with pytest.raises(ValueError, match="similarity"):
+            ngram_join.bands(percent)
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, None), (2, " \t"), (3, "one two"), (4, "ONE\ntwo"), (5, text), (6, text + " more"), (7, text), (7, text), (None, text), (8, "x " * 60_000)]

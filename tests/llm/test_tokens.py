@@ -35,6 +35,11 @@ def test_ids_and_text_equal_the_library(spark, docs):
     assert {r[0]: tuple(r[1:]) for r in bpe.encode_digests(docs, PATH).collect()} == want
 
 
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert bpe.encode_digests(none, PATH).count() == 0 and bpe.decode(bpe.encode(none, PATH), PATH).count() == 0
+
+
 def test_round_trip(spark, docs):
     encoded = bpe.encode(docs, PATH)
     decoded = {r.doc_id: r.text for r in bpe.decode(encoded, PATH).collect()}
@@ -43,11 +48,32 @@ def test_round_trip(spark, docs):
 
 
 def test_forgetting_words_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED_WORD_BYTES", 2_000)
+    monkeypatch.setattr(bpe, "REMEMBERED_PAIR_BYTES", 400)
     own = bpe.WordBPE(bpe.vocabulary(PATH))
     assert all(own.encode(t) == LIBRARY.encode(t, add_special_tokens=False).ids for t in texts()[:60])
 
 
+def test_every_code_point_equals_the_library():
+    own = bpe.WordBPE(bpe.vocabulary(PATH))
+    # all planes with letters, marks or tags; of the unassigned and private ones some
+    points = [c for c in (*range(0x34000), *range(0x34000, 0x110000, 89), *range(0xE0000, 0xE0200)) if not 0xD800 <= c <= 0xDFFF]
+    rows = [" ".join(f"a{chr(c)}b {chr(c)}1" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    for at in range(0, len(rows), 2_000):
+        part = rows[at : at + 2_000]
+        for text, found in zip(part, LIBRARY.encode_batch(part, add_special_tokens=False), strict=True):
+            assert own.encode(text) == found.ids, f"{text[1]!r}"
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORD_BYTES", 100_000)
+    own = bpe.WordBPE(bpe.vocabulary(PATH))
+    for k in range(2_000):
+        own.encode(f"w{'x' * (k % 80)}{chr(97 + k % 26)}{'yz' * (k % 7)}")
+        assert sum(bpe.sys.getsizeof(x) for k in (own._known, own._older) for w, e in k.items() for x in (w, *e)) <= 100_000
+    assert all(len(w) <= bpe.REMEMBERED_SYMBOLS for w in own._known)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_counts_equal_the_library(spark, docs, tmp_path, name):
     path = str(public_tokenizers.path(name))
