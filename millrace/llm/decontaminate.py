@@ -4,8 +4,10 @@ Items are cut into windows of ten normalised words (an item with fewer is one
 window); the windows' hashes are broadcast once their number is known to be
 within ``MOST_WINDOWS`` and their size within ``MOST_WINDOW_BYTES``, else the hit search is a shuffled join.  Every window
 of every text is hashed and looked up in the same pass that counts the words,
-and each hit is verified by comparing the words themselves.  All of it is
-DataFrame operations.
+and each hit is verified by comparing the words themselves.  Hits name their
+window; the items that share a window are looked up by (text, window), so a
+window of many items is not copied into its hits.  All of it is DataFrame
+operations.
 
 Defined results: a null text or item has no words; a text or item without words
 has no windows, so no hits; equal items each count; a doc_id with several
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import ascii_lower, free_names, staged
 
 WINDOW = 10
-#: Windows that are broadcast at most, and the bytes of their hashes, words and items.
+#: Windows that are broadcast at most, and the bytes of their hashes and words.
 MOST_WINDOWS, MOST_WINDOW_BYTES = 1_000_000, 200 << 20
 
 #: The words of the contract, after A-Z became a-z.
@@ -39,25 +41,29 @@ def window_hash(words: Column, start: Column, length: Column) -> Column:
     return F.xxhash64(F.slice(words, start, length))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, length, words, items): each distinct window with the items that it occurs in."""
+def cut_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, hash, check, length, words): the windows of each item; ``check`` tells windows of an equal hash apart."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0)
     items = items.withColumn("length", F.least(F.size("item_words"), F.lit(WINDOW)))
     starts = F.explode(F.sequence(F.lit(1), F.size("item_words") - F.col("length") + 1))
     cut = items.withColumn("start", starts).select("item_id", "length", F.slice("item_words", F.col("start"), F.col("length")).alias("words"))
-    found = cut.groupBy("length", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    return staged(found.select(F.xxhash64("words").alias("hash"), "length", "words", "items"), "item-windows")
+    return cut.select("item_id", F.xxhash64("words").alias("hash"), F.xxhash64(F.lit("window"), "words").alias("check"), "length", "words")
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(hash, check, length, words): each distinct window."""
+    return staged(cut_items(benchmark).drop("item_id").distinct(), "item-windows")
 
 
 def may_broadcast(windows: DataFrame) -> bool:
     """Whether the number and the measured bytes of the windows are within their bounds."""
-    size = F.octet_length(F.array_join("words", " ")) + 8 * F.size("words") + 8 * F.size("items") + 32
+    size = F.octet_length(F.array_join("words", " ")) + 8 * F.size("words") + 40
     found = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
     return found["n"] <= MOST_WINDOWS and found["size"] <= MOST_WINDOW_BYTES
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each text: doc_id, text_hash, n_words, and hits, an array of (start, length, items); starts count from 1."""
+    """A row for each text: doc_id, text_hash, n_words, and hits, an array of (start, length, hash, check); starts count from 1."""
     windows = item_windows(benchmark)
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # ten at most
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("doc_words"))
@@ -69,16 +75,16 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         words = words.withColumn("size", F.lit(lengths[0] if lengths else WINDOW))
     complete = F.col("start") + F.col("size") - 1 <= F.col("n_words")
     words = words.withColumn("window", F.when(complete, window_hash(F.col("doc_words"), F.col("start"), F.col("size"))))
-    side = windows.select(F.col("hash"), F.col("length"), F.col("words").alias("item_window"), F.col("items"))
+    side = windows.select("hash", "check", "length", F.col("words").alias("item_window"))
     same = (F.col("window") == F.col("hash")) & (F.col("size") == F.col("length"))
     verified = F.col("item_window") == F.slice("doc_words", F.col("start"), F.col("size"))
-    hit = F.when(verified, F.struct("start", F.col("size").alias("length"), "items"))
+    hit = F.when(verified, F.struct("start", F.col("size").alias("length"), "hash", "check"))
     if may_broadcast(windows):
         first = (F.col("start") == 1) & (F.col("size") == F.lit(lengths[0] if lengths else WINDOW))
         kept = words.join(F.broadcast(side), same, "left").withColumn("hit", hit).filter(first | F.col("hit").isNotNull())
     else:  # the hashes are shuffled alone, and texts with an equal hash are fetched to verify it
         found = words.select("doc_id", "text_hash", "start", "size", "window").filter("window is not null").join(side, same)
-        found = found.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "start", "size", "item_window", "items")
+        found = found.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "start", "size", "item_window", "hash", "check")
         of = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))
         counted = texts.withColumn("n_words", F.size("doc_words").cast("long"))
         kept = counted.join(found, of, "left").withColumn("hit", hit)
@@ -98,21 +104,27 @@ def covered(found: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))), lambda i: i.cast("string")))
-    found = hits(docs, benchmark).withColumn("items", items)
-    return found.select(
-        "doc_id", "text_hash", "n_words",
-        covered(F.col("hits")).alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
+    found = hits(docs, benchmark)
+    found = staged(found.select("doc_id", "text_hash", "n_words", covered(F.col("hits")).alias("n_hit"), F.transform("hits", lambda h: F.struct(h["hash"], h["check"])).alias("windows")), "window-hits")
+    keys = {"doc_id": "of_doc", "text_hash": "of_text"}
+    placed = found.select("doc_id", "text_hash", F.explode(F.array_distinct("windows")).alias("window")).select("doc_id", "text_hash", "window.*")
+    owners = cut_items(benchmark).select("hash", "check", "item_id").distinct()
+    items = placed.join(owners, ["hash", "check"]).select(*keys, F.col("item_id").cast("string").alias("item")).distinct()
+    items = items.groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("items")).withColumnsRenamed(keys)
+    joined = found.join(items, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left")
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select(
+        "doc_id", "text_hash", "n_words", "n_hit",
+        F.size(listed).cast("long").alias("n_items"),
+        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns stay."""
     bad_id, bad_text = free_names(docs, "bad_id", "bad_text")
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_text))
+    bad = hits(docs, benchmark).filter(F.size("hits") > 0).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_text))
     bad = staged(bad, "contaminated")
     bad = F.broadcast(bad) if bad.count() <= MOST_WINDOWS else bad
     same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_text))

@@ -1,17 +1,21 @@
 """Operator 6: language identification by compression.
 
-Each language has a zstandard dictionary of raw text from its labelled
+Each language has a zstandard dictionary of raw text from whole labelled
 documents.  A text gets the language whose dictionary makes it smallest; of
 equal sizes, the language with more labelled documents.  Texts are compressed
 whole, in blocks that fit the window next to the dictionary.
 
-The score is the margin: the part by which the best size is below the second.
-A text of ``CERTAIN_BYTES`` or more with a margin below ``LEAST_MARGIN`` is
-rejected, as is one without letters; on shorter texts margins say little.
-
-Defined results: a null text or one without letters is ``und`` with score 0;
-with no labelled document every text is ``und``; with one language only, texts
-with letters have score 1.  Repeated rows each give a row.
+The margin is by how many bytes the best size is below the second, and the score
+is that as a part of the second.  A text is rejected if its margin is narrow:
+below ``LEAST_MARGIN`` as a part, or below a number of bytes that is learned from
+labelled documents outside the dictionaries, as the one that accepts most texts
+more rightly than wrongly.  One rule holds at every length, so ties are always
+rejected: a byte is a larger part of a short text, and as much evidence there.
+
+Defined results: a null text or one without letters is ``und`` with score 0 and
+rejected; with no labelled document every text is ``und``; with one language
+only, texts with letters have score 1 and are accepted.  Repeated rows each
+give a row.
 """
 
 from __future__ import annotations
@@ -25,40 +29,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: The bounded sample: of each language so many documents, of each so many characters, to so many bytes in all.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 120, 4_000, 100_000
-#: More languages than this are refused.
-MOST_LANGUAGES = 200
+from .shared import in_batches, staged
+
+#: The bounded sample: of each language so many documents of so many bytes at most each, whole ones to so many bytes in a dictionary,
+#: and the others to learn the least margin from.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 240, 20_000, 100_000
+#: All dictionaries together; with many languages each gets its part of it.
+ALL_DICTIONARIES_BYTES = 20_000_000
 #: A block and a dictionary fit the window of 128 kB.
 BLOCK_BYTES, WINDOW_LOG = 16_000, 17
-LEAST_MARGIN, CERTAIN_BYTES = 0.004, 400
+#: The least margin as a part of the second size, and the largest number of bytes that may be learned.
+LEAST_MARGIN, MOST_LEAST_BYTES = 0.004, 64
 
 
 class Languages(NamedTuple):
-    """Names with their dictionaries, most labelled documents first."""
+    """Names with their dictionaries, most labelled documents first, and the least margin in bytes."""
 
     names: list[str]
     dictionaries: list[bytes]
+    least_bytes: int = 1
 
 
 def fit(labelled: DataFrame) -> Languages:
-    """Dictionaries from ``labelled`` (doc_id, text, lang); rows that lack text or lang are left out."""
+    """Dictionaries and least margin from ``labelled`` (doc_id, text, lang); rows that lack text or lang are left out."""
     usable = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Languages([], [])
     # a share of each language's rows that holds the sample with room, so that few rows are ranked
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (4 * SAMPLE_DOCS + 40) / r["count"]))])
     drawn = usable.withColumn("draw", F.xxhash64("doc_id", F.lit("sample"))).filter(F.pmod("draw", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")))
-    sample = ranked.filter(F.col("place") <= SAMPLE_DOCS).select("lang", "place", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "place").collect()
+    ranked = drawn.filter(F.octet_length("text") <= SAMPLE_BYTES).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")))
+    sample = staged(ranked.filter(F.col("place") <= SAMPLE_DOCS).withColumn("text", F.lower("text")), "language-sample")
+    before = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    size = min(DICTIONARY_BYTES, ALL_DICTIONARIES_BYTES // len(counts))
+    sample = sample.withColumn("inside", before <= size)
     texts: dict[str, list[str]] = {}
-    for r in sample:
-        texts.setdefault(r["lang"], []).append(r["text"].lower())
+    for r in sample.filter("inside").select("lang", "place", "text").orderBy("lang", "place").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
     names = [r["lang"] for r in counts if r["lang"] in texts]
-    return Languages(names, ["\n".join(texts[n]).encode("utf-8")[:DICTIONARY_BYTES] for n in names])
+    languages = Languages(names, ["\n".join(texts[n]).encode("utf-8") for n in names])
+    margin = F.least("margin_bytes", F.lit(MOST_LEAST_BYTES))
+    right = F.when(F.col("lang_pred") == F.col("lang"), 1).otherwise(-1)
+    trial = identify(sample.filter("not inside").select("lang", "text"), languages).filter("margin_bytes > 0")
+    worth = {r["margin"]: r["worth"] for r in trial.groupBy(margin.alias("margin")).agg(F.sum(right).alias("worth")).collect()}
+    gained = lambda least: sum(w for m, w in worth.items() if m >= least)
+    return languages._replace(least_bytes=max(range(1, MOST_LEAST_BYTES + 1), key=lambda x: (gained(x), -x)))
 
 
 def compressors(languages: Languages) -> list:
@@ -76,37 +92,38 @@ def compressors(languages: Languages) -> list:
     return made
 
 
-def classify(text: str | None, languages: Languages, tools: list) -> tuple[str, float, bool]:
-    """Language, score, and whether it is accepted."""
+def classify(text: str | None, languages: Languages, tools: list) -> tuple[str, float, int, bool]:
+    """Language, score, margin in bytes, and whether it is accepted."""
     if not text or not tools or not any(map(str.isalpha, text)):
-        return "und", 0.0, False
+        return "und", 0.0, 0, False
     data = text.lower().encode("utf-8")
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
     sizes = [sum(len(t.compress(b)) for b in blocks) for t in tools]
     best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
     if len(sizes) == 1:
-        return languages.names[0], 1.0, True
+        return languages.names[0], 1.0, sizes[0], True
     second = min(s for i, s in enumerate(sizes) if i != best)
-    margin = (second - sizes[best]) / second
-    return languages.names[best], margin, len(data) < CERTAIN_BYTES or margin >= LEAST_MARGIN
+    margin = second - sizes[best]
+    return languages.names[best], margin / second, margin, margin >= max(1, languages.least_bytes, LEAST_MARGIN * second)
 
 
 def identify(docs: DataFrame, languages: Languages) -> DataFrame:
-    """``docs`` with the columns lang_pred, score and accepted in place of any of these names; every other column stays."""
+    """``docs`` with the columns lang_pred, score, margin_bytes and accepted in place of any of these names; every other column stays."""
     sent = docs.sparkSession.sparkContext.broadcast(languages)
-    docs = docs.drop("lang_pred", "score", "accepted")
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
-    schema = T.StructType([*docs.schema.fields, *added])
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "margin_bytes": T.LongType(), "accepted": T.BooleanType()}
+    docs = docs.drop(*kinds)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in kinds.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = compressors(sent.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             found = [classify(t.as_py(), sent.value, tools) for t in batch.column(at)]
-            langs, scores, accepted = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=schema.names)
+            columns = zip(*found, strict=True) if found else ((),) * len(kinds)
+            types = (pa.string(), pa.float64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -53,11 +53,20 @@ def allowed(size: Column, how: EditJoin) -> Column:
     return F.least(F.lit(how.edits), F.floor(size / how.chars_per_edit)).cast("int")
 
 
+def stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r\v\f"))
+
+
+def node_of(line: Column) -> Column:
+    """The name of a line without the blanks at its ends."""
+    return F.xxhash64(line)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, size, node) of every line; ``node`` names the line without the blanks at its ends."""
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    split = split.select("doc_id", "line_no", F.trim("raw", F.lit(" \t\r\v\f")).alias("line"))
-    return split.select("doc_id", "line_no", "line", F.length("line").alias("size"), F.xxhash64("line").alias("node"))
+    split = split.select("doc_id", "line_no", stripped(F.col("raw")).alias("line"))
+    return split.select("doc_id", "line_no", "line", F.length("line").alias("size"), node_of(F.col("line")).alias("node"))
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -235,6 +244,11 @@ def line_links(docs: DataFrame, how: EditJoin) -> DataFrame:
 
 def line_classes(docs: DataFrame, how: EditJoin = EditJoin()) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line, n_links, kept) of every line: its class is named by its first line."""
+    return named_lines(docs, how).drop("node")
+
+
+def named_lines(docs: DataFrame, how: EditJoin) -> DataFrame:
+    """``line_classes`` with the node of each line."""
     docs = docs.select("doc_id", "text")
     links = line_links(docs, how)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -242,7 +256,7 @@ def line_classes(docs: DataFrame, how: EditJoin = EditJoin()) -> DataFrame:
     grouped = small_side(staged(grouped, "line-components"))
     rows = lines_of(docs).select("doc_id", "line_no", "node", "size").join(grouped, F.col("node") == F.col("of_node"), "left")
     named = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
-    rows = rows.select("doc_id", "line_no", "size", named.alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows = rows.select("doc_id", "line_no", "size", "node", named.alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     rows = staged(rows, "line-rows")
     firsts = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     firsts = small_side(staged(firsts.filter("n > 1").select(F.col("class").alias("of_class"), "first.*").withColumnsRenamed({"doc_id": "class_doc", "line_no": "class_line"}), "line-firsts"))
@@ -250,18 +264,20 @@ def line_classes(docs: DataFrame, how: EditJoin = EditJoin()) -> DataFrame:
     own = F.col("class_doc").isNull() | ((F.col("class_doc") == F.col("doc_id")) & (F.col("class_line") == F.col("line_no")))
     return joined.select(
         "doc_id", "line_no", F.coalesce("class_doc", "doc_id").alias("class_doc"), F.coalesce("class_line", "line_no").alias("class_line"),
-        "n_links", (own | (F.col("size") < how.least_chars)).alias("kept"),
+        "n_links", "node", (own | (F.col("size") < how.least_chars)).alias("kept"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, how: EditJoin = EditJoin()) -> DataFrame:
     """``docs`` with repeated lines taken out; documents of which no lettered line is left go. All columns stay."""
     of_doc, gone, lines = free_names(docs, "of_doc", "gone", "lines")
-    removed = line_classes(docs, how).filter(~F.col("kept")).groupBy(F.col("doc_id").alias(of_doc)).agg(F.collect_set("line_no").alias(gone))
+    removed = named_lines(docs, how).filter(~F.col("kept")).groupBy(F.col("doc_id").alias(of_doc)).agg(F.collect_set(F.struct("line_no", "node")).alias(gone))
     joined = docs.join(removed, F.col("doc_id") == F.col(of_doc), "left")
     # exploding one array makes the lines a column, so that they are split once and not for each line that stays
     joined = joined.withColumn(lines, F.explode(F.array(F.when(F.col(gone).isNotNull(), F.split("text", "\n")))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    # a doc_id may stand for several texts: a line goes where it is the one that was named
+    here = F.filter(gone, lambda g: node_of(stripped(F.get(lines, g["line_no"]))) == g["node"])
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(here, lambda g: g["line_no"]))
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
     joined = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
     kept = joined.filter(F.col(gone).isNull() | F.col("text").rlike(r"\S"))

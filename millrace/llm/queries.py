@@ -58,7 +58,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     languages = language_id.fit(docs.filter(~language_id.held_out()))
     found = language_id.identify(docs.select("doc_id", "text"), languages)
-    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "margin_bytes", "accepted")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

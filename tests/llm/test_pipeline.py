@@ -11,6 +11,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    assert corpus_pipeline.encode(spark, docs.limit(0), f"{DATA}/sf0.001").count() == 0
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, f"{DATA}/sf0.001")
         assert out.columns == docs.columns, name
@@ -32,6 +33,16 @@ def test_decisions_take_effect(spark):
     assert ids("bpe") == list(range(8))
 
 
+def test_texts_that_share_a_doc_id(spark):
+    base = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, f"{base}\nfirst line\nown line"), (5, f"{base}\nfirst line\nanother line"), (5, "unrelated text\nof two\nlines here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted([rows[0], rows[2]])
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in lines.collect()) == sorted([rows[0], (5, "another line"), rows[2]])
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.001").count() > 150
 

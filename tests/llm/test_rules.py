@@ -42,8 +42,8 @@ def test_contamination_equals_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "MOST_WINDOWS", broadcast)
     rng = random.Random(8)
     word = lambda: rng.choice(["a", "b", "Ünï", "c1", "d"])
-    items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 4, 10, 14])))) for i in range(2, 30)] + [(30, None), (31, "..."), (100, "same words here"), (101, "Same, words; HERE")]
-    docs = [(i, ", ".join(word() for _ in range(rng.randint(0, 80)))) for i in range(60)] + [(90, None), (91, ""), (92, "x same-words/here y"), (93, " ".join(f"u{i}" for i in range(30_000)))]
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 4, 10, 14])))) for i in range(2, 30)] + [(30, None), (31, "..."), (100, "same words here"), (101, "Same, words; HERE")] + [(200 + i, "a window of many items") for i in range(50)]
+    docs = [(i, ", ".join(word() for _ in range(rng.randint(0, 80)))) for i in range(60)] + [(90, None), (91, ""), (92, "x same-words/here y"), (94, "A window of many items, a window of many items"), (93, " ".join(f"u{i}" for i in range(30_000)))]
     got = decontaminate.contamination(spark.createDataFrame([(*d, 1) for d in docs], SCHEMA + ", start int"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id: tuple(r)[2:] for r in got.collect()} == contaminated(docs, items)
 
@@ -162,6 +162,23 @@ def test_languages_of_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_ties_are_rejected_at_every_length(spark):
+    languages = language_id.Languages(["a", "b"], [b"the cat and the dog " * 9] * 2)
+    docs = spark.createDataFrame([(1, "zq"), (2, "zq " * 9), (3, "zq xw " * 900)], SCHEMA)
+    got = language_id.identify(docs, languages).collect()
+    assert {(r.lang_pred, r.score, r.margin_bytes, r.accepted) for r in got} == {("a", 0.0, 0, False)}
+
+
+def test_least_margin_is_learned(spark):
+    rng = random.Random(3)
+    word = {x: ["".join(rng.choice(x) for _ in range(5)) for _ in range(60)] for x in ("abcdefgh", "ijklmnop")}
+    rows = [(i, " ".join(rng.choice(word[x]) for _ in range(80)), x[:1]) for i, x in enumerate(list(word) * 300)]
+    mixed = [(1_000 + i, " ".join(rng.choice(word[rng.choice(list(word))]) for _ in range(80)), "ai"[i % 2]) for i in range(200)]
+    clear, unclear = (language_id.fit(spark.createDataFrame(x, SCHEMA + ", lang string")) for x in (rows, rows + mixed))
+    assert clear.least_bytes == 1 < unclear.least_bytes
+    assert all(len(d) <= language_id.DICTIONARY_BYTES for d in unclear.dictionaries)
+
+
 def test_archives_round_trip(spark, tmp_path):
     html = ["<p>é</p>", "<p>é</p>", "", None, "x" * 200_000, "<p>é</p>", "\r\n\r\nWARC/1.1"]
     rows = [(i, f"http://a/{i} b\n", h, 1) for i, h in enumerate(html)] + [(9, None, "unique", 1)]
