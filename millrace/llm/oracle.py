@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .quality import _SENTENCE_END, _SYMBOLS, BOILERPLATE, LEAST_WORDS, MANY_MARKS, MOST_LOST, MOST_REPEATED_PERCENT, MOST_SYMBOLS, NAVIGATION_MARKS, SHORT_LINE_WORDS
+from .quality import (
+    _LINK, _NOTICE, _PUNCTUATION, _SENTENCE_END, _SHOUT, _SYMBOLS, BOILERPLATE, LEAST_WORDS, LONG_LINE_WORDS, MANY_MARKS, MANY_SHOUTS, MOST_LINKS, MOST_LOST,
+    MOST_REPEATED_PERCENT, MOST_SYMBOLS, NAVIGATION_MARKS, SHORT_LINE_WORDS,
+)
 
 
 def quoted(text: str) -> str:
@@ -41,7 +44,10 @@ _MARKS = r"len(regexp_extract_all(t, '[|»›•·]'))"
 _LINE_WORDS = r"len(regexp_extract_all(t, '\S+'))"
 _FAILS = rf"""(length(t) > 0 AND (NOT regexp_matches(t, '\p{{L}}')
   OR ({_MARKS} > 0 AND ({_MARKS} >= {MANY_MARKS}::DOUBLE * {_LINE_WORDS} OR ({_MARKS} >= {NAVIGATION_MARKS} AND NOT regexp_matches(t, {quoted(_SENTENCE_END)}))))
-  OR (regexp_matches(lower(t), {quoted("|".join(BOILERPLATE))}) AND {_LINE_WORDS} <= {SHORT_LINE_WORDS})
+  OR ({_LINE_WORDS} >= {LONG_LINE_WORDS} AND NOT regexp_matches(t, '{_PUNCTUATION}'))
+  OR (contains(t, '!') AND len(regexp_extract_all(t, '{_SHOUT}')) > {MANY_SHOUTS}::DOUBLE * {_LINE_WORDS})
+  OR ({_LINE_WORDS} <= {SHORT_LINE_WORDS} AND (regexp_matches(lower(t), {quoted("|".join(BOILERPLATE))}) OR regexp_matches(lower(t), '{_NOTICE}')
+    OR len(regexp_extract_all(lower(t), '{_LINK}')) > {MOST_LINKS}::DOUBLE * {_LINE_WORDS}))
   OR len(regexp_extract_all(t, {quoted(r"[^\p{L}\p{N}\s.,;:!?'" + chr(34) + r"()\-]")})) > length(t) * {MOST_SYMBOLS}::DOUBLE))"""
 QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

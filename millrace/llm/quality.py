@@ -1,9 +1,12 @@
 """Operator 5: line-first quality rules.
 
-Lines that fail a rule are taken out first: lines without letters, lines that
-are navigation or boilerplate, and lines of symbols.  A text that loses more
-than ``MOST_LOST`` of its word characters is rejected, as is one whose base
-measures fail.  All of it is expressions on one row: no shuffle, no Python.
+Lines that fail a rule are taken out first: by punctuation (long lines without
+any, and lines in which repeated exclamation or question marks abound), lines
+that are navigation, lines that are boilerplate (links, copyright notices, and
+the phrases of web templates in several languages), lines without letters, and
+lines of symbols.  A text that loses more than ``MOST_LOST`` of its word
+characters is rejected, as is one whose base measures fail.  All of it is
+expressions on one row: no shuffle, no Python.
 
 The base measures are of the whole text: word characters, symbols, repeated
 lines, and the words inside three-word windows that occur twice or more.
@@ -27,8 +30,12 @@ MOST_REPEATED_PERCENT = 50
 MOST_LOST = 0.5
 #: A line is navigation with so many separators and no sentence end, or with so many separators a word.
 NAVIGATION_MARKS, MANY_MARKS = 3, 0.3
-#: Boilerplate phrases remove lines of so many words or fewer.
+#: Boilerplate removes lines of so many words or fewer.
 SHORT_LINE_WORDS = 16
+#: A line of so many words has some punctuation; a line has fewer runs of exclamation and question marks a word.
+LONG_LINE_WORDS, MANY_SHOUTS = 20, 0.3
+#: The part of a line's words that may be links.
+MOST_LINKS = 0.3
 #: The part of a line's characters that may be symbols.
 MOST_SYMBOLS = 0.3
 
@@ -40,7 +47,13 @@ _SYMBOLS = r"[#*$%&|<>]"
 BOILERPLATE = (
     "all rights reserved", "copyright ", "cookie", "click here", "javascript", "lorem ipsum", "privacy policy",
     "read more", "share this", "sign in", "sign up", "skip to", "subscribe", "terms of use", "terms of service",
+    "alle rechte vorbehalten", "datenschutzerkl", "impressum", "weiterlesen", "jetzt anmelden",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "lire la suite", "se connecter",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "leer más", "iniciar sesión",
 )
+#: Links and copyright notices.
+_LINK, _NOTICE = r"https?://|www\.|[\w.+\-]+@[\w\-]+\.\w", r"^(©|\(c\)) ?[0-9]{4}"
+_PUNCTUATION, _SHOUT = r"[.!?…:;,。！？；：，、]", r"[!?]{2,}"
 #: Punctuation that ends a sentence, before closing quotes and brackets.
 _SENTENCE_END = r"""[.!?…:;]["'”»)\]]*$"""
 
@@ -54,15 +67,30 @@ def words_of(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
+def line_measures(lines: Column) -> Column:
+    """Each line with what the rules look at, made once for all of them."""
+    trimmed = F.transform(lines, lambda x: F.struct(x.alias("line"), F.trim(x).alias("t")))
+
+    def measures(x: Column) -> Column:
+        t = x["t"]
+        return F.struct(x["line"].alias("line"), t.alias("t"), F.length(t).alias("size"), F.regexp_count(t, F.lit(r"\S+")).alias("words"), F.regexp_count(t, F.lit(r"[|»›•·]")).alias("marks"))
+
+    return F.transform(trimmed, measures)
+
+
+def fails(m: Column) -> Column:
+    """Whether the rules remove a line, given its measures; blank lines stay."""
+    t, size, words, marks = (m[c] for c in ("t", "size", "words", "marks"))
+    punctuation = ((words >= LONG_LINE_WORDS) & ~t.rlike(_PUNCTUATION)) | (t.contains("!") & (F.regexp_count(t, F.lit(_SHOUT)) > MANY_SHOUTS * words))
+    navigation = (marks > 0) & ((marks >= MANY_MARKS * words) | ((marks >= NAVIGATION_MARKS) & ~t.rlike(_SENTENCE_END)))
+    low = F.lower(t)
+    boilerplate = (words <= SHORT_LINE_WORDS) & (low.rlike("|".join(BOILERPLATE)) | low.rlike(_NOTICE) | (F.regexp_count(low, F.lit(_LINK)) > MOST_LINKS * words))
+    symbols = F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()\-]")) > size * MOST_SYMBOLS
+    return (size > 0) & (~t.rlike(r"\p{L}") | navigation | punctuation | symbols | boilerplate)
+
+
 def line_fails(line: Column) -> Column:
-    """Whether the rules remove a line; blank lines stay."""
-    trimmed, size = F.trim(line), F.length(F.trim(line))
-    low = F.lower(trimmed)
-    marks, words = F.regexp_count(trimmed, F.lit(r"[|»›•·]")), F.regexp_count(trimmed, F.lit(r"\S+"))
-    navigation = (marks > 0) & ((marks >= MANY_MARKS * words) | ((marks >= NAVIGATION_MARKS) & ~trimmed.rlike(_SENTENCE_END)))
-    boilerplate = low.rlike("|".join(BOILERPLATE)) & (words <= SHORT_LINE_WORDS)
-    symbols = F.regexp_count(trimmed, F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()\-]")) > size * MOST_SYMBOLS
-    return (size > 0) & (~trimmed.rlike(r"\p{L}") | navigation | boilerplate | symbols)
+    return F.get(F.transform(line_measures(F.array(line)), fails), F.lit(0))
 
 
 def windows_of(words: Column) -> Column:
@@ -83,7 +111,7 @@ def measured(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn(_text, text).withColumn(_words, words_of(F.col(_text)))
     rows = rows.withColumn(_windows, windows_of(F.col(_words)))
     # windows sorted with their places: equal neighbours are repeats
-    order = F.array_sort(F.transform(_windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    order = F.sort_array(F.transform(_windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     rows = rows.withColumn(_sorted, F.when(F.size(F.array_distinct(_windows)) < F.size(_windows), order))
     n = F.size(_sorted)
 
@@ -91,14 +119,14 @@ def measured(docs: DataFrame) -> DataFrame:
         before, after = F.get(_sorted, i - 1), F.get(_sorted, i + 1)
         return F.coalesce((i > 0) & (before["w"] == x["w"]), F.lit(False)) | F.coalesce((i + 1 < n) & (after["w"] == x["w"]), F.lit(False))
 
-    places = F.array_sort(F.transform(F.filter(_sorted, twice), lambda x: x["i"]))
+    places = F.sort_array(F.transform(F.filter(_sorted, twice), lambda x: x["i"]))
 
     def add(held: Column, at: Column) -> Column:
         return F.struct(F.least(F.lit(3), at + 3 - held["end"]).alias("more"), (at + 3).alias("end"), (held["n"] + F.least(F.lit(3), at + 3 - held["end"])).alias("n"))
 
     zero = F.struct(F.lit(0).alias("more"), F.lit(0).alias("end"), F.lit(0).alias("n"))
     repeats = F.coalesce(F.aggregate(places, zero, add, lambda held: held["n"]), F.lit(0)).cast("long")
-    kept_lines = F.filter(lines, lambda x: ~line_fails(x))
+    kept_lines = F.transform(F.filter(line_measures(lines), lambda m: ~fails(m)), lambda m: m["line"])
     # exploding one struct keeps later filters on the measures from being pushed below and repeated there
     made = F.explode(F.array(F.struct(
         F.size(_words).cast("long").alias("n_words"),

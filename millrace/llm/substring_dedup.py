@@ -1,23 +1,26 @@
 """Operator 10: repeated lines and paragraphs.
 
-Units are whole texts, lines and short paragraphs.  Paragraph borders depend on the
-words next to them only (the end of a line or sentence, or a word whose hash
-says so), so a passage is cut alike wherever it stands, also inside a line; a
-unit is three pieces between borders, or as many more as it takes to reach
-``LEAST_WORDS`` words, and a unit starts at each piece.  Words are normalised by
-lower-casing A-Z and dropping what separates them; in scripts that put no blanks
-between words, each code point is a word.
+Units are whole texts, paragraphs (between blank lines) and lines.  With
+``inside_lines`` (the default) also short pieces of lines, so that a passage is found
+inside a longer line: their borders depend on the words next to them only (the
+end of a line or sentence, or a word whose hash says so), so a passage is cut
+alike wherever it stands; such a unit is three pieces between borders, or as many more
+as it takes to reach ``LEAST_WORDS`` words, and one starts at each piece.  Words
+are normalised by lower-casing A-Z and dropping what separates them; in scripts
+that put no blanks between words, each code point is a word.
 
 Digests of units are grouped over all documents.  The document with the
-smallest doc_id keeps a unit, at its first place; all other places are removed.
+smallest doc_id keeps a unit, at its first place.  Other places that touch are
+merged, and removed where they have ``least_points`` code points or are the
+whole text: a short line that many texts share is no passage, and stays.
 The result names the removed spans by code points of the original text.
 
-A passage keeps what stands before its first and after its last border (half
-of these ends have four words or fewer).
+A passage inside a line keeps what stands before its first and after its last
+border (half of these ends have four words or fewer).
 
 Defined results: null and blank texts have no units; a line is a unit from
-``LEAST_LINE_WORDS`` words or ``LEAST_LINE_POINTS`` code points on, a whole text
-at any length; rows that repeat a doc_id keep the
+``LEAST_LINE_WORDS`` words or ``LEAST_LINE_POINTS`` code points on, a paragraph
+or a whole text at any length; rows that repeat a doc_id keep the
 same units, so an identical row changes nothing; rows without doc_id keep all
 but their own repeats.
 """
@@ -40,6 +43,8 @@ UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30F
 #: One word in so many ends a piece; so many pieces are a unit.
 BORDER_EVERY, PIECES = 5, 3
 OUT_ROWS = 256
+#: Repeated spans of fewer code points (some twenty words) stay where they are not a whole text.
+LEAST_POINTS = 100
 
 _U = np.uint64
 SPANS = "array<struct<start:int,end:int>>"
@@ -78,7 +83,7 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, origin[starts], origin[ends - 1] + 1
 
 
-def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def units(text: str | None, inside_lines: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, start and end (code points) of each unit."""
     raw = (text or "").encode("utf-8")
     hashes, starts, ends = _words(raw)
@@ -87,8 +92,9 @@ def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
     data = np.frombuffer(raw, np.uint8)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
-    new_line = np.ones(n, bool)  # after the word
-    new_line[:-1] = lines[starts[1:]] != lines[ends[:-1]]
+    ended = lines[starts[1:]] - lines[ends[:-1]]
+    new_line, new_paragraph = np.ones(n, bool), np.ones(n, bool)  # after the word
+    new_line[:-1], new_paragraph[:-1] = ended > 0, ended > 1
     border = new_line | (hashes % _U(BORDER_EVERY) == 0) | np.isin(data[ends - 1], (33, 46, 63))
     border[-1] = True
     stops = np.flatnonzero(border) + 1
@@ -102,26 +108,30 @@ def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     line_points = points[ends[line_stops - 1]] - points[starts[line_firsts]]
     long_lines = (line_stops - line_firsts >= LEAST_LINE_WORDS) | (line_points >= LEAST_LINE_POINTS)
-    parts = [(run_firsts, run_stops, 1), (line_firsts[long_lines], line_stops[long_lines], 2), (np.array([0]), np.array([n]), 3)]
+    parts = [(line_firsts[long_lines], line_stops[long_lines], 2), (np.array([0]), np.array([n]), 3)]
+    paragraph_stops = np.flatnonzero(new_paragraph) + 1
+    if len(paragraph_stops) > 1:
+        parts.append((np.concatenate([[0], paragraph_stops[:-1]]), paragraph_stops, 4))
+    if inside_lines:
+        parts.append((run_firsts, run_stops, 1))
     digests = np.concatenate([_digests(hashes, a, b, salt) for a, b, salt in parts])
     return digests, np.concatenate([points[starts[a]] for a, _, _ in parts]), np.concatenate([points[ends[b - 1]] for _, b, _ in parts])
 
 
-def document_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, digests, starts, ends) of each text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("digests", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+def document_units(docs: DataFrame, inside_lines: bool = True) -> DataFrame:
+    """(doc_id, digests, starts, ends) of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digests", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(at, OUT_ROWS)
-                texts = part.column(1).to_pylist()
-                made = [units(t) for t in texts]
-                columns = [pa.array([len(t or "") for t in texts], pa.int64()), pa.array([m[0].view(np.int64) for m in made], schema.field(2).type)]
-                columns += [pa.array([m[k].astype(np.int32) for m in made], schema.field(k + 2).type) for k in (1, 2)]
+                made = [units(t.as_py(), inside_lines) for t in part.column(1)]
+                columns = [pa.array([m[0].view(np.int64) for m in made], schema.field(1).type)]
+                columns += [pa.array([m[k].astype(np.int32) for m in made], schema.field(k + 1).type) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema)
 
-    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n_chars long, digests array<long>, starts array<int>, ends array<int>")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, digests array<long>, starts array<int>, ends array<int>")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -135,37 +145,43 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def removed_spans(digests: np.ndarray, starts: np.ndarray, ends: np.ndarray, elsewhere: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
-    """How many units go, and the spans: those kept by another document, and later places of a unit."""
-    _, first = np.unique(digests, return_index=True)
+def removed_spans(digests: np.ndarray, starts: np.ndarray, ends: np.ndarray, elsewhere: np.ndarray, least_points: int = LEAST_POINTS) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which units go, and the spans: of those kept by another document, and later places of a unit, where they are long enough."""
     gone = np.ones(len(digests), bool)
-    gone[first] = False
+    gone[np.unique(digests, return_index=True)[1]] = False
     gone |= np.isin(digests, elsewhere)
-    return int(gone.sum()), merged(starts[gone], ends[gone])
+    if not gone.any():
+        return gone, []
+    whole = (int(starts.min()), int(ends.max()))
+    spans = [x for x in merged(starts[gone], ends[gone]) if x[1] - x[0] >= least_points or x == whole]
+    at = np.searchsorted([x[1] for x in spans], starts, side="right")
+    inside = np.array([x[0] for x in spans] + [np.iinfo(np.int64).max])[at] <= starts
+    return gone & inside, spans
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_points: int = LEAST_POINTS, inside_lines: bool = True) -> DataFrame:
     """(doc_id, n_units, n_removed, removed_chars, spans, kept_in) of each row.
 
     The spans are what repeats earlier text; kept_in lists the documents that keep it.
     """
-    made = staged(document_units(docs), "units")
+    made = staged(document_units(docs, inside_lines), "units")
     rows = made.filter("doc_id is not null").select("doc_id", F.explode(F.array_distinct("digests")).alias("digest"))
     owners = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last")
     owners = staged(owners.select("digest", "owner"), "unit-owners")  # about as many as repeated passages: always shuffled
-    lost = rows.join(owners, "digest").filter("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("digest").alias("elsewhere"), F.sort_array(F.collect_set("owner")).alias("kept_in"))
-    joined = made.join(lost.withColumnRenamed("doc_id", "of_doc"), F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc")
+    lost = rows.join(owners, "digest").filter("doc_id <> owner").groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list(F.struct("digest", "owner")).alias("lost"))
+    joined = made.join(lost, F.col("doc_id") == F.col("of_doc"), "left")
+    joined = joined.select("doc_id", "digests", "starts", "ends", F.col("lost.digest").alias("elsewhere"), F.col("lost.owner").alias("owners"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_in", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 out = []
-                part = batch.slice(at, OUT_ROWS)
-                for doc_id, kept_in, *lists in zip(*(part.column(c) for c in ("doc_id", "kept_in", "digests", "starts", "ends", "elsewhere")), strict=True):
-                    numbers = [np.asarray(x.values) if x.is_valid else np.empty(0, np.int64) for x in lists]
-                    n, spans = removed_spans(*numbers)
-                    out.append((doc_id.as_py(), len(numbers[0]), n, sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept_in.as_py() or []))
+                for doc_id, *lists in zip(*batch.slice(at, OUT_ROWS).columns, strict=True):
+                    digests, starts, ends, elsewhere, owned = (np.asarray(x.values) if x.is_valid else np.empty(0, np.int64) for x in lists)
+                    gone, spans = removed_spans(digests, starts, ends, elsewhere, least_points)
+                    kept_in = np.unique(owned[np.isin(elsewhere, digests[gone])]).tolist()
+                    out.append((doc_id.as_py(), len(digests), int(gone.sum()), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept_in))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return in_batches(joined, run, f"doc_id long, n_units long, n_removed long, removed_chars long, spans {SPANS}, kept_in array<long>")

@@ -95,6 +95,8 @@ def test_planted_passages_are_removed(spark):
     clean = [passage(rng, 120) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts + clean)), SCHEMA)
     spans = substring_dedup.repeated_spans(docs)
+    by_lines = {r.doc_id: r.removed_chars for r in substring_dedup.repeated_spans(docs, inside_lines=False).collect()}
+    assert {i for i, n in by_lines.items() if n} == set(range(40, 60))  # those where the passage is a line of its own
     got, covered = {r.doc_id: r for r in spans.collect()}, []
     for i, t in enumerate(texts):
         start = t.index(planted[i % 20])
@@ -116,11 +118,58 @@ def test_spans_of_odd_rows(spark):
     same = "one two three four five six seven eight nine ten"
     rows = [(1, None), (2, " \n"), (3, same), (3, same), (4, f"é {same}\n{same}"), (None, same), (5, same.upper())]
     docs = spark.createDataFrame([(*r, [1]) for r in rows], SCHEMA + ", digests array<int>")
-    got = [(r.doc_id, r.n_removed > 0) for r in substring_dedup.repeated_spans(docs).collect()]
+    got = [(r.doc_id, r.n_removed > 0) for r in substring_dedup.repeated_spans(docs, least_points=40).collect()]
     assert sorted(got, key=str) == sorted([(1, False), (2, False), (3, False), (3, False), (4, True), (None, False), (5, True)], key=str)
     assert substring_dedup.repeated_spans(docs.limit(0)).count() == 0
 
 
+def brute_spans(rows, least):
+    """Lines, paragraphs and whole texts that an earlier document or place has, by their words."""
+    owner, parts = {}, {}
+    for d, t in rows:
+        lines, at = [], 0
+        for x in t.split("\n"):
+            lines.append((at, at + len(x), x))
+            at += len(x) + 1
+        blocks, held = [], []
+        for x in [*lines, (0, 0, "")]:
+            if x[2].split():
+                held.append(x)
+            elif held:
+                blocks.append((held[0][0], held[-1][1], " ".join(y[2] for y in held)))
+                held = []
+        found = [("line", x) for x in lines if len(x[2].split()) >= 6 or len(x[2].strip()) >= 16] + [("block", x) for x in blocks if len(blocks) > 1] + [("text", (0, len(t), t))] * bool(t.split())
+        parts[d] = [(kind, " ".join(x[2].lower().split()), x[0] + len(x[2]) - len(x[2].lstrip()) if kind != "text" else len(t) - len(t.lstrip()), x[1] - len(x[2]) + len(x[2].rstrip()) if kind != "text" else len(t.rstrip())) for kind, x in found]
+        for kind, key, *_ in parts[d]:
+            owner[kind, key] = min(d, owner.get((kind, key), d))
+    out = {}
+    for d, t in rows:
+        gone, seen = set(), set()
+        for kind, key, a, b in parts[d]:
+            if owner[kind, key] != d or (kind, key) in seen:
+                gone |= set(range(a, b))
+            seen.add((kind, key))
+        spans = []
+        for k in sorted(gone):
+            if spans and spans[-1][1] == k:
+                spans[-1][1] = k + 1
+            else:
+                spans.append([k, k + 1])
+        whole = [len(t) - len(t.lstrip()), len(t.rstrip())]
+        out[d] = [tuple(x) for x in spans if x[1] - x[0] >= least or x == whole]
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 40])
+def test_lines_and_paragraphs_equal_brute_force(spark, least):
+    rng = random.Random(least)
+    pool = [passage(rng, rng.choice([1, 3, 7, 12])) for _ in range(25)]
+    rows = [(i, rng.choice(["\n", "\n\n"]).join(" ".join(rng.sample(pool, rng.choice([1, 1, 2]))) for _ in range(rng.randint(1, 6)))) for i in range(80)]
+    rows = [(i, t.upper() if i % 7 == 0 else t) for i, t in rows]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA), least, inside_lines=False).collect()
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in got} == brute_spans(rows, least)
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_links_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK_ROWS", block)
@@ -164,7 +213,11 @@ def test_passages_of_short_pieces_and_unspaced_scripts(spark):
     thai = "".join(chr(0x0E01 + 7 * k % 40) for k in range(50))
     whole = [menu, names, chinese, thai, "two words", "字", "A short line of text"]
     docs = [(i, t) for i, t in enumerate(whole + whole)] + [(50, f"before {menu}\nafter"), (51, f"前{chinese}\n后"), (52, "𠀀é 字\n" + "All rights reserved."), (53, "other\nAll rights reserved.")]
-    got = {r.doc_id: r for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, SCHEMA)).collect()}
+    docs = spark.createDataFrame(docs, SCHEMA)
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(docs, least_points=1).collect()}
+    long = {r.doc_id: [tuple(s) for s in r.spans] for r in substring_dedup.repeated_spans(docs).collect()}
+    assert all(long[i + len(whole)] == [(0, len(t))] for i, t in enumerate(whole))  # copies of a whole text go at any length
+    assert not long[53] and not long[50] and not long[51]
     for i, t in enumerate(whole):
         assert not got[i].spans
         assert [tuple(s) for s in got[i + len(whole)].spans] == [(0, len(t))]
