@@ -97,12 +97,15 @@ def xml_escaped(text: Column) -> Column:
 
 
 def human_size(size: Column, digits: int = 2) -> Column:
-    """Bytes with the largest unit of 1024 that fits, to TiB."""
-    scaled, unit = size.cast("double"), F.lit("B")
-    for power, name in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        scaled = F.when(size >= 1024**power, size / float(1024**power)).otherwise(scaled)
-        unit = F.when(size >= 1024**power, name).otherwise(unit)
-    return F.concat(F.format_string(f"%.{digits}f", scaled), F.lit(" "), unit)
+    """Bytes with the largest unit of 1024 that fits, to TiB; halves of the last digit go up, in whole numbers."""
+    scale = 10**digits
+    unit, power = F.lit("B"), F.lit(1).cast("bigint")
+    for k, name in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+        unit, power = F.when(size >= 1024**k, name).otherwise(unit), F.when(size >= 1024**k, F.lit(1024**k)).otherwise(power)
+    whole, rest = F.floor(size / power).cast("bigint"), F.pmod(size.cast("bigint"), power)
+    part = F.floor((rest.cast("decimal(38,0)") * (2 * scale) + power) / (2 * power)).cast("bigint")
+    whole, part = whole + F.when(part >= scale, 1).otherwise(0), F.pmod(part, F.lit(scale))
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad(part.cast("string"), digits, "0"), F.lit(" "), unit)
 
 
 def duration(ms: Column) -> Column:
@@ -125,9 +128,14 @@ def status_label(status: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts names with their digit runs as numbers: each run is padded to 20 digits."""
+    """Sorts names with their digit runs as numbers of any length: each run follows the number of its digits without leading zeros."""
     pieces = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+    def sized(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d+$"), sized(p)).otherwise(p)), "")
 
 
 def split_trim(text: Column, separator: str = ",") -> Column:
@@ -137,5 +145,17 @@ def split_trim(text: Column, separator: str = ",") -> Column:
 
 def prefixes(path: Column) -> Column:
     """The path of every folder above and at ``path``: a/b/c gives a, a/b, a/b/c."""
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    clean = F.array(F.trim(F.regexp_replace(path, "/+", "/"), F.lit("/")))
+    count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit(""))) + 1
+    above = lambda c: F.transform(F.sequence(F.lit(1), count(c)), lambda n: F.call_function("substring_index", c, F.lit("/"), n))
+    return F.flatten(F.transform(F.filter(clean, lambda c: c != ""), above))
+
+
+def last_characters(text: Column, n: int = 500) -> Column:
+    """The end of a long message."""
+    return F.right(text, F.lit(n))
+
+
+def short_id(*parts: Column) -> Column:
+    """Eight hexadecimal digits that depend on the parts only, so that a task that runs again gives the same."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 8)

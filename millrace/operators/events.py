@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbers import percent
 from .jobs import STAGE_STEPS, STEPS
 
 #: Every field that an event may have; each kind of event uses some.
@@ -34,10 +35,11 @@ def initial_steps(jobs: DataFrame) -> DataFrame:
 def step_states(events: DataFrame) -> DataFrame:
     """(id, step, status, progress, started_at, finished_at) from events (id, seq, at, event, stage, current, total).
 
-    The last event of a step decides; progress is the last known per cent, 0 after a start and 100 when complete.
+    The last event of a step decides; progress is the last known per cent to two digits (0 of no total), 0 after a start
+    and 100 when complete.
     """
     known = events.withColumn("step", step_of_stage(F.col("stage"))).filter("step is not null and event in ('stage', 'progress', 'stage_complete')")
-    last = F.max_by(F.struct("event", F.try_divide(F.col("current") * 100.0, "total").alias("percent")), "seq")
+    last = F.max_by(F.struct("event", percent(F.col("current"), F.col("total")).alias("percent")), "seq")
     found = known.groupBy("id", "step").agg(last.alias("last"), F.min("at").alias("started_at"), F.max_by("at", "seq").alias("at"))
     done = F.col("last.event") == "stage_complete"
     progress = F.when(done, 100.0).when(F.col("last.event") == "progress", F.coalesce("last.percent", F.lit(0.0))).otherwise(0.0)

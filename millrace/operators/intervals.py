@@ -62,3 +62,20 @@ def resume_decisions(state: DataFrame) -> DataFrame:
     action = F.when(enc > src, "error").when(enc == src, "done").when(F.col("n_keyframes") <= 1, "restart").otherwise("resume")
     offset = F.when(action == "resume", F.col("previous") + F.col("last_gop")).when(action == "restart", F.col("previous"))
     return state.withColumn("action", action).withColumn("offset", offset)
+
+
+def skipped(frames: DataFrame, offset: Column) -> DataFrame:
+    """The frames from ``offset`` on."""
+    return frames.filter(F.col("frame") >= offset)
+
+
+def paired_frames(source: DataFrame, encoded: DataFrame, key: str = "video") -> DataFrame:
+    """Frames of ``source`` and ``encoded`` (key, frame, ...) side by side; a key whose numbers of frames differ ends the job with an error.
+
+    All keys of either side are compared before a frame is paired.
+    """
+    left, right = (x.groupBy(key).agg(F.count("*").alias(n)) for x, n in ((source, "n_source"), (encoded, "n_encoded")))
+    sizes = left.join(right, key, "full").select(key, *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n_source", "n_encoded")))
+    message = F.concat(F.lit("frames of "), F.col(key).cast("string"), F.lit(": "), F.col("n_source").cast("string"), F.lit(" and "), F.col("n_encoded").cast("string"))
+    equal = sizes.filter(F.when(F.col("n_source") == F.col("n_encoded"), True).otherwise(F.raise_error(message).cast("boolean"))).select(key)
+    return source.join(encoded, [key, "frame"]).join(equal, key)

@@ -129,20 +129,30 @@ def folder_eta(jobs: DataFrame, now: Column, folder: str = "folder") -> DataFram
     done = (F.col("status") == "done") & F.col("started_at").isNotNull() & F.col("finished_at").isNotNull()
     active, queued, timed = is_active(F.col("status")), F.col("status") == "queued", F.coalesce(F.col("duration") > 0, F.lit(False))
     spent = (F.col("finished_at") - F.col("started_at")).cast("double")
-    first = jobs.groupBy(folder).agg(
+    playing, running = F.col("duration") * 1000.0, now - F.col("started_at")
+    moving = active & F.col("started_at").isNotNull() & (F.col("progress") > 0)
+    by_progress = F.when(running > WARM_UP_MS, F.greatest(F.lit(0.0), running / F.col("progress") * 100 - running)).otherwise(0.0)
+    waiting = active & ~F.coalesce(moving, F.lit(False))
+    total = lambda when, value: F.coalesce(F.sum(F.when(when, value)), F.lit(0.0))
+    sums = jobs.groupBy(folder).agg(
         F.count_if(done).alias("done_count"), F.count_if(active).alias("active_count"), F.count_if(queued).alias("queued_count"),
-        F.coalesce(F.sum(F.when(done, spent)), F.lit(0.0)).alias("total_elapsed"),
-        F.try_divide(F.sum(F.when(done & timed, spent)), F.sum(F.when(done & timed, F.col("duration") * 1000.0))).alias("ratio"),
+        total(done, spent).alias("total_elapsed"), total(active & F.col("started_at").isNotNull(), running.cast("double")).alias("active_elapsed"),
+        F.try_divide(F.sum(F.when(done & timed, spent)), F.sum(F.when(done & timed, playing))).alias("ratio"),
+        total(moving, by_progress).alias("_moving"), F.count_if(waiting).alias("_waiting"), total(waiting & timed, playing).alias("_waiting_ms"),
+        F.count_if(queued & ~timed).alias("_untimed"), total(queued & timed, playing).alias("_queued_ms"),
     ).filter("done_count + active_count > 0")
-    first = first.withColumn("mean", F.try_divide("total_elapsed", F.col("done_count").cast("double")))
-    rows = jobs.join(first.select(folder, "ratio", "mean"), folder)
-    running = now - F.col("started_at")
-    by_progress = F.when(running > WARM_UP_MS, F.greatest(F.lit(0.0), running / F.col("progress") * 100 - running)).otherwise(0.0)
-    unknown = F.when(F.coalesce("mean", F.lit(0.0)) != 0, F.col("mean")).when(F.col("ratio").isNotNull() & timed, F.col("duration") * 1000.0 * F.col("ratio")).otherwise(0.0)
-    left = F.when(active & F.col("started_at").isNotNull() & (F.col("progress") > 0), by_progress).when(active, unknown)
-    left = left.when(queued & F.col("ratio").isNotNull() & timed, F.col("duration") * 1000.0 * F.col("ratio")).when(queued, F.coalesce("mean", F.lit(0.0))).otherwise(0.0)
-    second = rows.groupBy(folder).agg(F.sum(left).alias("remaining"), F.coalesce(F.sum(F.when(active & F.col("started_at").isNotNull(), running.cast("double"))), F.lit(0.0)).alias("active_elapsed"))
-    return first.join(second, folder).withColumn("estimated_total", F.col("total_elapsed") + F.col("active_elapsed") + F.col("remaining"))
+    sums = sums.withColumn("mean", F.try_divide("total_elapsed", F.col("done_count").cast("double")))
+    # what is left is linear in ratio and mean, so sums and counts are all that is needed of the jobs
+    mean, ratio = F.coalesce("mean", F.lit(0.0)), F.coalesce("ratio", F.lit(0.0))
+    waiting_left = F.when(mean != 0, F.col("_waiting") * mean).otherwise(F.col("_waiting_ms") * ratio)
+    queued_left = F.when(F.col("ratio").isNotNull(), F.col("_queued_ms") * ratio + F.col("_untimed") * mean).otherwise(F.col("queued_count") * mean)
+    found = sums.withColumn("remaining", F.col("_moving") + waiting_left + queued_left).drop("_moving", "_waiting", "_waiting_ms", "_untimed", "_queued_ms")
+    return found.withColumn("estimated_total", F.col("total_elapsed") + F.col("active_elapsed") + F.col("remaining"))
+
+
+def with_defaults(candidates: DataFrame, defaults: Column) -> DataFrame:
+    """New rows of the queue: queued, with the settings (a struct) as they are now."""
+    return candidates.withColumns({"status": F.lit("queued"), "progress": F.lit(0.0), "settings": defaults})
 
 
 def eta_label() -> Column:

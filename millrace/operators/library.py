@@ -33,8 +33,12 @@ def listing_key(name: Column, is_folder: Column) -> Column:
 
 
 def sidecars(files: DataFrame, videos: DataFrame) -> DataFrame:
-    """(video, path): files of a video's folder whose stem begins with the video's stem; joined on the folder."""
+    """(video, path): files of a video's folder whose stem begins with the video's stem.
+
+    A file's stem is cut at the lengths that the folder's videos have (no name is long), and joined on folder and beginning.
+    """
     near = files.filter(F.lower(extension(F.col("path"))).isin(*SIDECAR_EXTENSIONS)).select("path", dirname(F.col("path")).alias("folder"), stem(F.col("path")).alias("stem"))
-    films = videos.select(F.col("path").alias("video"), dirname(F.col("path")).alias("in_folder"), stem(F.col("path")).alias("video_stem"))
-    joined = near.join(films, F.col("folder") == F.col("in_folder"))
-    return joined.filter(F.col("stem").startswith(F.col("video_stem"))).select("video", "path")
+    films = videos.select(F.col("path").alias("video"), dirname(F.col("path")).alias("folder"), stem(F.col("path")).alias("begins"))
+    sizes = films.select("folder", F.length("begins").alias("size")).distinct()
+    cut = near.join(sizes, "folder").filter(F.length("stem") >= F.col("size")).withColumn("begins", F.expr("substring(stem, 1, size)"))
+    return cut.join(films, ["folder", "begins"]).select("video", "path")

@@ -22,16 +22,21 @@ def hdr_flags(transfer: Column, formats: Column) -> tuple[Column, Column, Column
     )
 
 
+#: X and y of the white point, and the codes of BT.2020 primaries, its matrix, limited range and the PQ transfer.
+WHITE_POINT = ("0.3127", "0.3290")
+PRIMARIES, MATRIX, LIMITED, PQ = 9, 9, 1, 16
+
+
 def primaries_code(primaries: Column) -> Column:
-    return F.when(primaries == "BT.2020", 9)
+    return F.when(primaries == "BT.2020", PRIMARIES)
 
 
 def matrix_code(matrix: Column) -> Column:
-    return F.when(matrix == "BT.2020 non-constant", 9)
+    return F.when(matrix == "BT.2020 non-constant", MATRIX)
 
 
 def range_code(colour_range: Column) -> Column:
-    return F.when(colour_range == "Limited", 1)
+    return F.when(colour_range == "Limited", LIMITED)
 
 
 def light_levels(max_cll: Column, max_fall: Column) -> Column:
@@ -52,6 +57,34 @@ def chromaticity(display: Column) -> Column:
     return F.when(display == "Display P3", own).when(display != "", other)
 
 
+#: The fields of a media probe's key and value text.
+PROBE_FIELDS = (
+    "HDR_Format", "transfer_characteristics", "colour_primaries", "matrix_coefficients", "colour_range", "MaxCLL", "MaxFALL",
+    "MasteringDisplay_ColorPrimaries", "MasteringDisplay_Luminance",
+)
+
+
+def probe_fields(probes: DataFrame, column: str = "text") -> DataFrame:
+    """(file, fields...) from lines ``name: value`` of each probe (file, text); of the light levels the first word only; missing ones are ''."""
+    def value(name: str) -> Column:
+        found = F.trim(F.regexp_extract(F.coalesce(column, F.lit("")), rf"(?m)^[ \t]*{name}[ \t]*:(.*)$", 1))
+        return F.split_part(found, F.lit(" "), F.lit(1)) if name in ("MaxCLL", "MaxFALL") else found
+
+    return probes.select("file", *(value(n).alias(n.lower()) for n in PROBE_FIELDS))
+
+
+def hdr_metadata(fields: DataFrame) -> DataFrame:
+    """(file, transfer, primaries, matrix, range, levels, luminance, chromaticity, white) of what ``probe_fields`` gives."""
+    c = F.col
+    display = c("masteringdisplay_colorprimaries")
+    return fields.select(
+        "file", F.when(c("transfer_characteristics") == "PQ", PQ).alias("transfer"), primaries_code(c("colour_primaries")).alias("primaries"),
+        matrix_code(c("matrix_coefficients")).alias("matrix"), range_code(c("colour_range")).alias("range"), light_levels(c("maxcll"), c("maxfall")).alias("levels"),
+        luminance(c("masteringdisplay_luminance")).alias("luminance"), chromaticity(display).alias("chromaticity"),
+        F.when(display != "", F.array(*(F.lit(float(v)) for v in WHITE_POINT))).alias("white"),
+    )
+
+
 def video_streams(probes: DataFrame, column: str = "csv") -> DataFrame:
     """(file, index, width, height) of the widest stream of each probe (file, csv lines ``index,width,height``)."""
     lines = probes.select("file", F.posexplode_outer(F.filter(F.split(column, "\n"), lambda x: F.trim(x) != "")).alias("place", "line"))

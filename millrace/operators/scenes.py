@@ -57,7 +57,25 @@ def scene_stats(frames: DataFrame, key: str = "video") -> DataFrame:
 
 
 def metrics(frames: DataFrame, key: str = "video") -> DataFrame:
-    return frames.groupBy(key).agg(*aggregated(F.col("score")))
+    """(key, mean, p15, least) of all frames of a video.
+
+    The percentile lies between two neighbours of the sorted scores: the frames are ranked, and only these two are kept.
+    """
+    ranked = frames.select(key, clamped_score(F.col("score")).alias("s"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("s"))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    low = F.greatest(F.lit(1), F.least(F.floor(15 * (F.col("n") + 1) / 100), F.col("n") - 1))
+    return ranked.withColumn("low", low).groupBy(key).agg(
+        F.avg("s").alias("mean"),
+        F.when(F.max("n") == 1, F.max("s")).otherwise(
+            (F.max(F.when(F.col("rank") == F.col("low"), F.col("s"))) * (100 - (15 * (F.max("n") + 1) - 100 * F.max("low"))) + F.max(F.when(F.col("rank") == F.col("low") + 1, F.col("s"))) * (15 * (F.max("n") + 1) - 100 * F.max("low"))) / 100.0
+        ).alias("p15"),
+        F.min("s").alias("least"),
+    )
+
+
+def high_resolution(width: Column, height: Column) -> Column:
+    """More pixels than 1920 by 1080."""
+    return width.cast("bigint") * height > 1920 * 1080
 
 
 def worst_frames(frames: DataFrame, key: str = "video") -> DataFrame:

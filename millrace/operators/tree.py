@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import basename, dirname, prefixes
 
@@ -62,10 +63,29 @@ def subtree_least_order(jobs: DataFrame) -> DataFrame:
     return by_ancestor(jobs).groupBy("folder").agg(order.alias("least_order"))
 
 
-def depth_first_key(path: Column, order: Column, width: int = 12) -> Column:
-    """Sorts folders before files on each level, folders by name and files by ``order``."""
-    folders = F.transform(F.filter(F.split(dirname(path), "/"), lambda p: p != ""), lambda p: F.concat(F.lit("0"), p))
-    return F.concat(folders, F.array(F.concat(F.lit("1"), F.lpad(order.cast("string"), width, "0"))))
+def depth_first_places(jobs: DataFrame) -> DataFrame:
+    """(id, path, place) of the queued jobs (id, path, status, queue_order) in order of a walk from the root, from 1 on.
+
+    On each level folders come before files; folders by the least queue order below them and then by name, files by
+    queue order.  A place is the number of jobs in folders that come before, level by level, so windows are over the
+    children of one folder only.
+    """
+    queued = jobs.filter(F.col("status") == "queued").select("id", "path", "queue_order", dirname(F.col("path")).alias("in_folder"))
+    below = by_ancestor(queued).groupBy("folder").agg(F.min("queue_order").alias("least"), F.count("*").alias("n"))
+    direct = queued.groupBy("in_folder").agg(F.count("*").alias("own"))
+    children = below.filter("folder <> ''").withColumn("parent", dirname(F.col("folder")))
+    earlier = Window.partitionBy("parent").orderBy("least", "folder").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = children.select("folder", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"))
+    inside = below.join(direct, F.col("folder") == F.col("in_folder")).select("in_folder", (F.col("n") - F.col("own")).alias("in_children"))
+    starts = inside.withColumn("folder", F.explode_outer(prefixes(F.col("in_folder")))).join(skipped, "folder", "left")
+    starts = starts.groupBy("in_folder").agg((F.first("in_children") + F.coalesce(F.sum("skipped"), F.lit(0))).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("in_folder").orderBy("queue_order", "id"))
+    return queued.withColumn("rank", rank).join(starts, "in_folder").select("id", "path", (F.col("start") + F.col("rank")).cast("bigint").alias("place"))
+
+
+def nodes_with_defaults(entries: DataFrame) -> DataFrame:
+    """Entries of a listing (name, path, type, size, videos, encoded_videos) as nodes of a tree: what is missing is 0."""
+    return entries.select("name", "path", (F.col("type") == "folder").alias("is_folder"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("size", "videos", "encoded_videos")))
 
 
 def within(paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -192,8 +192,10 @@ def delay_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams(spark, sf_dir).select("file", "place", numbers.delay_filter(F.col("l_partkey") % 301 - 150).alias("filter"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN b >= 1099511627776 THEN printf('%.2f', b / 1099511627776.0::DOUBLE) || ' TiB' WHEN b >= 1073741824 THEN printf('%.2f', b / 1073741824.0::DOUBLE) || ' GiB' WHEN b >= 1048576 THEN printf('%.2f', b / 1048576.0::DOUBLE) || ' MiB'
-WHEN b >= 1024 THEN printf('%.2f', b / 1024.0::DOUBLE) || ' KiB' ELSE printf('%.2f', b::DOUBLE) || ' B' END AS size FROM (SELECT o_orderkey, o_custkey * (o_orderkey % 7) * 1024 * (o_orderkey % 3 + 1) AS b FROM orders)""")
+@query("""WITH b AS (SELECT o_orderkey AS id, o_custkey * (o_orderkey % 7) * 1024 * (o_orderkey % 3 + 1) AS b FROM orders),
+u AS (SELECT *, CASE WHEN b >= 1099511627776 THEN 1099511627776 WHEN b >= 1073741824 THEN 1073741824 WHEN b >= 1048576 THEN 1048576 WHEN b >= 1024 THEN 1024 ELSE 1 END AS unit FROM b),
+h AS (SELECT *, (200 * b + unit) // (2 * unit) AS hundredths FROM u)
+SELECT id, (hundredths // 100) || '.' || lpad((hundredths % 100)::VARCHAR, 2, '0') || CASE unit WHEN 1 THEN ' B' WHEN 1024 THEN ' KiB' WHEN 1048576 THEN ' MiB' WHEN 1073741824 THEN ' GiB' ELSE ' TiB' END AS size FROM h""")
 def human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("o_custkey") * (F.col("o_orderkey") % 7) * 1024 * (F.col("o_orderkey") % 3 + 1)
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.human_size(size).alias("size"))
@@ -231,14 +233,27 @@ def dir_counts_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.recursive_counts(page_paths(spark, sf_dir), encoded=F.col("encoded"))
 
 
-@query(f"""WITH {PAGE_PATHS}, p AS (SELECT page_id, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem FROM files WHERE path LIKE '%/%'),
-v AS (SELECT DISTINCT folder, stem FROM p WHERE page_id % 2 = 0), s AS (SELECT DISTINCT folder, stem FROM p WHERE page_id % 2 = 1)
-SELECT v.folder || '/' || v.stem || '.mkv' AS video, s.folder || '/' || s.stem || '.srt' AS path FROM v JOIN s ON v.folder = s.folder AND starts_with(s.stem, v.stem)""")
+@query("""WITH v AS (SELECT DISTINCT 'd' || p_partkey % 50 AS folder, 'v' || p_partkey % 40 AS stem FROM part WHERE p_partkey % 2 = 0),
+s AS (SELECT DISTINCT 'd' || p_partkey % 50 AS folder, 'v' || p_partkey % 40 || '.' || p_size AS stem, CASE WHEN p_size % 3 = 0 THEN '.txt' ELSE '.SRT' END AS ext FROM part)
+SELECT v.folder || '/' || v.stem || '.mkv' AS video, s.folder || '/' || s.stem || ext AS path FROM v JOIN s ON v.folder = s.folder AND starts_with(s.stem, v.stem) WHERE ext = '.SRT'""")
 def sidecar_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even pages stand for videos and odd ones for subtitles."""
-    files = page_paths(spark, sf_dir).filter("path like '%/%'")
-    named = lambda part, ext: files.filter(f"page_id % 2 = {part}").select(F.concat(text.dirname(F.col("path")), F.lit("/"), text.stem(F.col("path")), F.lit(ext)).alias("path")).distinct()
-    return library.sidecars(named(1, ".srt"), named(0, ".mkv"))
+    """Parts stand for videos and for subtitles, some of other extensions; v1 begins v1.7 and v12.7."""
+    part = table(spark, sf_dir, "part")
+    place = F.concat(F.lit("d"), (F.col("p_partkey") % 50).cast("string"), F.lit("/v"), (F.col("p_partkey") % 40).cast("string"))
+    videos = part.filter("p_partkey % 2 = 0").select(F.concat(place, F.lit(".mkv")).alias("path")).distinct()
+    ending = F.when(F.col("p_size") % 3 == 0, ".txt").otherwise(".SRT")
+    return library.sidecars(part.select(F.concat(place, F.lit("."), F.col("p_size").cast("string"), ending).alias("path")).distinct(), videos)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 5 > 0 AND p_size % 7 > 0 THEN (p_size % 10)::DOUBLE END AS least, CASE WHEN p_size % 5 > 0 AND p_size % 7 > 0 THEN (p_size * 100)::DOUBLE END AS most FROM part""")
+def luminance_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of mastering luminance, of which some lack a part."""
+    from ..operators.probe import luminance
+
+    size, word = F.col("p_size"), lambda x: x.cast("string")
+    spoken = F.concat(F.when(size % 5 > 0, F.concat(F.lit("min: "), word(size % 10), F.lit(".0 cd/m2"))).otherwise(""), F.lit(", "), F.when(size % 7 > 0, F.concat(F.lit("max:  "), word(size * 100), F.lit(" cd/m2"))).otherwise("max"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), luminance(spoken).alias("l"))
+    return rows.select("id", "l.least", "l.most")
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:

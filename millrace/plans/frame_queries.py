@@ -212,6 +212,25 @@ def stage_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", step_of_stage((F.col("event_id") % 6).cast("int")).cast("bigint").alias("step"))
 
 
+@query("""WITH e AS (SELECT user_id AS id, event_id AS seq, epoch_us(ts) // 1000 AS ms, (event_id % 6 + 2)::BIGINT AS step, CASE event_id % 4 WHEN 0 THEN 'stage' WHEN 3 THEN 'stage_complete' ELSE 'progress' END AS event,
+  floor(value)::BIGINT AS current, event_id % 3 * 70 AS total FROM events WHERE event_id % 6 < 5),
+l AS (SELECT *, min(ms) OVER (PARTITION BY id, step) AS started_at FROM e)
+SELECT id, step, CASE event WHEN 'stage_complete' THEN 'done' ELSE 'active' END AS status,
+  CASE event WHEN 'stage_complete' THEN 100.0 WHEN 'progress' THEN CASE WHEN total > 0 THEN floor(current / total::DOUBLE * 10000 + 0.5) / 100 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS progress,
+  started_at, CASE WHEN event = 'stage_complete' THEN ms END AS finished_at FROM l QUALIFY row_number() OVER (PARTITION BY id, step ORDER BY seq DESC) = 1""")
+def step_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of an encoder: the stage is their number modulo six, of which one is unknown."""
+    from ..operators.events import step_states
+
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"), n.alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"),
+        F.when(n % 4 == 0, "stage").when(n % 4 == 3, "stage_complete").otherwise("progress").alias("event"),
+        (n % 6).cast("int").alias("stage"), F.floor("value").cast("bigint").alias("current"), (n % 3 * 70).alias("total"),
+    )
+    return step_states(rows).withColumn("step", F.col("step").cast("bigint"))
+
+
 @query("""SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
 def step_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.events import latest

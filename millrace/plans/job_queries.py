@@ -121,10 +121,13 @@ def sibling_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("folder", place.cast("bigint").alias("place"))
 
 
-@query(f"""WITH {FOLDERED} SELECT id, row_number() OVER (PARTITION BY r_name ORDER BY n_name, c_name, queue_order) AS place FROM foldered WHERE status = 'queued'""")
+@query(f"""WITH {FOLDERED}, q AS (SELECT id, r_name, n_name, c_name, (id * 7919) % 10007 - 5000 AS o FROM foldered WHERE status = 'queued'),
+l AS (SELECT *, min(o) OVER (PARTITION BY r_name) AS a, min(o) OVER (PARTITION BY r_name, n_name) AS b, min(o) OVER (PARTITION BY r_name, n_name, c_name) AS c FROM q)
+SELECT id, row_number() OVER (ORDER BY a, r_name, b, n_name, c, c_name, o, id) AS place FROM l""")
 def dfs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = foldered(spark, sf_dir).filter("status = 'queued'").withColumn("key", tree.depth_first_key(F.col("path"), F.col("queue_order")))
-    return rows.select("id", F.row_number().over(Window.partitionBy("r_name").orderBy("key")).cast("bigint").alias("place"))
+    """Some queue orders are negative, as after moves to the top."""
+    order = F.col("id") * 7919 % 10007 - 5000
+    return tree.depth_first_places(foldered(spark, sf_dir).withColumn("queue_order", order)).select("id", "place")
 
 
 @query(f"WITH {FOLDERED} SELECT DISTINCT folder AS path, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '' END AS parent, regexp_extract(folder, '[^/]*$') AS name FROM above WHERE folder <> ''")
@@ -147,12 +150,12 @@ def rollup_fixed_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foldered(spark, sf_dir).rollup("r_name", "n_name", "c_name").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "done").alias("done"))
 
 
-@query(f"""WITH {FOLDERED} SELECT folder, count(*) AS n_jobs, list_sort(list(id) FILTER (status = 'queued'))[1:5] AS queued_ids FROM above WHERE folder LIKE '%/%/%' GROUP BY folder""")
+@query(f"""WITH {FOLDERED} SELECT folder, id, row_number() OVER (PARTITION BY folder ORDER BY queue_order, id) AS place FROM above WHERE status = 'queued' AND folder LIKE '%/%/%'""")
 def subtree_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five queued jobs of each customer's folder; the five are the report."""
-    rows = tree.by_ancestor(foldered(spark, sf_dir).select("path", "status", "id")).filter("folder like '%/%/%'")
-    ids = F.collect_list(F.when(F.col("status") == "queued", F.col("id")))
-    return rows.groupBy("folder").agg(F.count("*").alias("n_jobs"), F.when(F.size(ids) > 0, F.slice(F.sort_array(ids), 1, 5)).alias("queued_ids"))
+    """All queued jobs below each customer's folder, with their place in it."""
+    rows = tree.by_ancestor(foldered(spark, sf_dir).filter("status = 'queued'").select("path", "queue_order", "id")).filter("folder like '%/%/%'")
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("queue_order", "id"))
+    return rows.select("folder", "id", place.cast("bigint").alias("place"))
 
 
 RATIO = "sum(finished_at - started_at) FILTER (status = 'done' AND duration > 0)::DOUBLE / sum(duration * 1000.0::DOUBLE) FILTER (status = 'done' AND duration > 0)"

@@ -118,3 +118,37 @@ def container_frames(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "frame", "time", "data"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, frame bigint, time bigint, data binary")
+
+
+def path_listing(spark: SparkSession, path: str) -> DataFrame:
+    """The listing of a folder, or of the one file that ``path`` names; a path that is missing gives no rows."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return _named(spark.createDataFrame([], _LISTING))
+    return listing(spark, path)
+
+
+def write_offset_zones(zones: DataFrame, offset: int, path: str, key: str = "video") -> None:
+    """The zones behind ``offset`` as texts; a key of which nothing is left has no file."""
+    from ..operators.intervals import shifted_zones
+    from ..operators.scenes import zones_text
+
+    write_zone_texts(zones_text(shifted_zones(zones, F.lit(offset)), key), path, key)
+
+
+def write_scene_files(scenes: DataFrame, path: str, key: str = "video") -> None:
+    """A text for each row, as ``scene_file`` reads them: flag, key frames, and the trailer, each on a line."""
+    trailer = [F.col(c).cast("string") for c in ("nframe", "width", "height", "fps_num", "fps_den")]
+    flag = F.when(F.col("high_resolution"), "True").otherwise("False")
+    lines = F.concat(F.array(flag), F.transform("keyframes", lambda k: k.cast("string")), F.array(*trailer))
+    scenes.select(key, F.array_join(lines, "\n").alias("value")).write.partitionBy(key).text(path)
+
+
+def tag_document(tags: Column) -> Column:
+    """The XML document of a map of tags, in order of their names, with values escaped."""
+    from ..functions.text import xml_escaped
+
+    simple = lambda name: F.concat(F.lit("    <Simple>\n      <Name>"), xml_escaped(name), F.lit("</Name>\n      <String>"), xml_escaped(F.element_at(tags, name)), F.lit("</String>\n    </Simple>\n"))
+    body = F.array_join(F.transform(F.array_sort(F.map_keys(tags)), simple), "")
+    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<Tags>\n  <Tag>\n'), body, F.lit("  </Tag>\n</Tags>\n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,8 +47,8 @@ def step_states(events: DataFrame) -> DataFrame:
             if row.event == "stage_complete":
                 status, progress, finished = "done", 100.0, int(row.at)
             else:
-                known = row.event == "progress" and not pd.isna(row.current) and not pd.isna(row.total) and row.total
-                status, progress, finished = "active", row.current * 100.0 / row.total if known else 0.0, None
+                known = row.event == "progress" and not pd.isna(row.current) and not pd.isna(row.total) and row.total > 0
+                status, progress, finished = "active", math.floor(row.current / row.total * 10_000 + 0.5) / 100 if known else 0.0, None
         state.update((seq, status, progress, started, finished))
         yield pd.DataFrame({"id": [name[0]], "step": [name[1]], "status": [status], "progress": [progress], "started_at": [started], "finished_at": pd.array([finished], "Int64")})
 

@@ -50,6 +50,52 @@ def test_natural_order(spark):
     assert [r[0] for r in rows.orderBy(text.natural_key(F.col("n"))).collect()] == ["Ep 9", "Ep 9 part 2", "ep 9 part 11", "Ep 10"]
 
 
+def test_digit_runs_of_any_length(spark):
+    names = ["a" + d for d in ("9" * 30, "1" + "0" * 30, "007", "8", "9" * 21)]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.natural_key(F.col("n")), "n").collect()]
+    assert got == ["a007", "a8", "a" + "9" * 21, "a" + "9" * 30, "a1" + "0" * 30]
+
+
+@pytest.mark.parametrize(("size", "label"), [(0, "0.00 B"), (1152, "1.13 KiB"), (1023, "1023.00 B"), (1024**2 - 1, "1024.00 KiB"), (5 * 1024**4 + 1, "5.00 TiB"), (2**60, "1048576.00 TiB")])
+def test_sizes(spark, size, label):
+    assert one(spark, text.human_size(F.col("n")), n=size) == label
+
+
+def test_walk_of_folders(spark):
+    rows = [(1, "b/x/1", -7), (2, "a/2", 5), (3, "a/3", -9), (4, "4", -100), (5, "b/5", 0), (6, "b/x/6", 123_456_789_012_345), (7, "c/7", None), (8, "a/z/8", 9)]
+    df = spark.createDataFrame([(i, p, "queued" if o is not None else "done", o) for i, p, o in rows], "id int, path string, status string, queue_order bigint")
+    got = [r.id for r in tree.depth_first_places(df).orderBy("place").collect()]
+    assert got == [8, 3, 2, 1, 6, 5, 4]  # a before b by -9 and -7; files after folders
+
+
+def test_paired_frames(spark):
+    rows = lambda n: spark.range(n).select(F.lit("v").alias("video"), F.col("id").alias("frame"))
+    assert intervals.paired_frames(rows(4), rows(4)).count() == 4
+    with pytest.raises(Exception, match="frames of v: 4 and 3"):
+        intervals.paired_frames(rows(4), rows(3)).collect()
+    assert sorted(r.frame for r in intervals.skipped(rows(4), F.lit(2)).collect()) == [2, 3]
+
+
+def test_hdr_metadata(spark):
+    said = "HDR_Format : HDR10\ntransfer_characteristics: PQ\ncolour_primaries: BT.2020\nMaxCLL: 1000 cd/m2\nMaxFALL: 400 cd/m2\nMasteringDisplay_ColorPrimaries: Display P3\nMasteringDisplay_Luminance: min: 0.005 cd/m2, max: 1000 cd/m2"
+    fields = probe.probe_fields(spark.createDataFrame([("a", said), ("b", None)], "file string, text string"))
+    got = {r.file: r for r in probe.hdr_metadata(fields).collect()}
+    assert (got["a"].transfer, got["a"].primaries, got["a"].matrix) == (16, 9, None)
+    assert tuple(got["a"].levels) == (1000, 400) and tuple(got["a"].luminance) == (0.005, 1000.0)
+    assert got["a"].white == [0.3127, 0.329] and got["a"].chromaticity[:2] == [0.68, 0.32]
+    assert got["b"].white is None and got["b"].levels is None
+
+
+def test_small_expressions(spark):
+    assert one(spark, text.last_characters(F.col("t"), 3), t="abcdef") == "def"
+    assert len(one(spark, text.short_id(F.col("t")), t="a/b")) == 8
+    assert one(spark, scenes.high_resolution(F.col("w"), F.col("h")), w=1920, h=1081) and not one(spark, scenes.high_resolution(F.col("w"), F.col("h")), w=1920, h=1080)
+    row = tree.nodes_with_defaults(spark.createDataFrame([("n", "p", "folder", None, 3, None)], "name string, path string, type string, size bigint, videos int, encoded_videos int")).first()
+    assert (row.is_folder, row["size"], row.videos, row.encoded_videos) == (True, 0, 3, 0)
+    new = jobs.with_defaults(spark.createDataFrame([("p",)], "input_path string"), F.struct(F.lit("high").alias("quality"))).first()
+    assert (new.status, new.progress, new.settings.quality) == ("queued", 0.0, "high")
+
+
 def frames(spark, keys, scores):
     return spark.createDataFrame([("v", i, i in keys, s) for i, s in enumerate(scores)], "video string, frame bigint, is_key boolean, score double")
 

@@ -5,6 +5,7 @@ import os
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import events
 from millrace.sources import config, files
@@ -92,3 +93,35 @@ def test_scene_file_and_config(spark, tmp_path):
     assert (row.high_resolution, row.keyframes, row.nframe, row.fps_den) == (True, [0, 48, 100], 240, 1)
     made = config.load({"AUDIO_BITRATE_5_1": "300k", "AUDIO_BITRATE_MONO": "0", "LIBRARY_DIRS": " a, ,b "})
     assert (made.bitrates["5.1"], made.bitrates["mono"], made.library_dirs, made.quality) == (300, 64, ("a", "b"), "medium")
+
+
+def test_path_listing(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a.mkv", "sub/b.mkv"):
+        (tmp_path / name).write_text("1")
+    names = lambda p: sorted(r.name for r in files.path_listing(spark, str(p)).collect())
+    assert names(tmp_path) == ["a.mkv", "b.mkv"] and names(tmp_path / "a.mkv") == ["a.mkv"] and names(tmp_path / "none") == []
+
+
+def test_scene_and_zone_writers(spark, tmp_path):
+    row = (1, True, [0, 48], 240, 1920, 1080, 24, 1)
+    rows = spark.createDataFrame([row], "video int, high_resolution boolean, keyframes array<bigint>, nframe int, width int, height int, fps_num int, fps_den int")
+    files.write_scene_files(rows, str(tmp_path / "scenes"))
+    assert tuple(files.scene_file(spark, str(tmp_path / "scenes/video=1")).first())[1:] == row[1:]
+    zones = spark.createDataFrame([(1, 0, 9, 30.0), (1, 10, 50, 25.0), (2, 0, 5, 20.0)], "video int, start bigint, end_incl bigint, crf double")
+    files.write_offset_zones(zones, 20, str(tmp_path / "zones"))
+    assert sorted(p.name for p in (tmp_path / "zones").glob("video=*")) == ["video=1"]
+    assert files.zone_texts(spark, str(tmp_path / "zones/video=1")).first().text.strip() == "Zones : 0,30,25.0;"
+
+
+def test_event_lines(spark, tmp_path):
+    files.write_events(spark.createDataFrame([("stage", 1)], "event string, stage int"), str(tmp_path / "e"))
+    assert files.event_stream(spark, str(tmp_path / "e")).isStreaming
+    assert spark.read.text(str(tmp_path / "e")).first()[0] == '{"event":"stage","stage":1}'
+
+
+def test_tag_document(spark):
+    import xml.etree.ElementTree as ET
+
+    made = spark.createDataFrame([({"b": "x < y", "a": "1"},)], "tags map<string,string>").select(files.tag_document(F.col("tags"))).first()[0]
+    assert [(s.find("Name").text, s.find("String").text) for s in ET.fromstring(made.encode()).iter("Simple")] == [("a", "1"), ("b", "x < y")]
