@@ -34,7 +34,7 @@ from .shared import in_batches
 
 #: Bytes that a worker spends on remembered words, and on pairs of tokens whose compatibility it knows.  At half of them the newer half
 #: becomes the older one, which is forgotten then but for what was looked up meanwhile.
-REMEMBERED_WORD_BYTES, REMEMBERED_PAIR_BYTES = 24 << 20, 8 << 20
+REMEMBERED_WORD_BYTES, REMEMBERED_PAIR_BYTES = 64 << 20, 16 << 20
 #: Longer words are encoded anew each time.
 REMEMBERED_SYMBOLS = 64
 #: Bytes of a dictionary's entry, and of one whose key is a number.
