@@ -20,9 +20,15 @@ def folder_tree(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def by_ancestor(rows: DataFrame, path: str = "path", include_root: bool = True) -> DataFrame:
-    """Each row once for every folder that holds it, as ``folder``; '' is the root."""
-    above = prefixes(dirname(F.col(path)))
-    return rows.withColumn("folder", F.explode(F.concat(F.array(F.lit("")), above) if include_root else above))
+    """Each row once for every folder that holds it, as ``folder``; '' is the root.
+
+    Rows are made for depths, and paths are cut after that, so that all of it is compiled code.
+    """
+    clean = F.trim(F.regexp_replace(dirname(F.col(path)), "/+", "/"), F.lit("/"))
+    depth = F.when(F.col("_above") == "", 0).otherwise(F.length("_above") - F.length(F.replace("_above", F.lit("/"), F.lit(""))) + 1)
+    first = 0 if include_root else 1
+    placed = rows.withColumn("_above", clean).withColumn("_depth", F.explode(F.when(depth >= first, F.sequence(F.lit(first), depth))))
+    return placed.withColumn("folder", F.expr("substring_index(_above, '/', _depth)")).drop("_above", "_depth")
 
 
 def recursive_counts(files: DataFrame, **conditions: Column) -> DataFrame:
