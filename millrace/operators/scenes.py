@@ -64,13 +64,14 @@ def metrics(frames: DataFrame, key: str = "video") -> DataFrame:
     ranked = frames.select(key, clamped_score(F.col("score")).alias("s"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("s"))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
     low = F.greatest(F.lit(1), F.least(F.floor(15 * (F.col("n") + 1) / 100), F.col("n") - 1))
-    return ranked.withColumn("low", low).groupBy(key).agg(
-        F.avg("s").alias("mean"),
+    p15 = ranked.withColumn("low", low).groupBy(F.col(key).alias("_of")).agg(
         F.when(F.max("n") == 1, F.max("s")).otherwise(
             (F.max(F.when(F.col("rank") == F.col("low"), F.col("s"))) * (100 - (15 * (F.max("n") + 1) - 100 * F.max("low"))) + F.max(F.when(F.col("rank") == F.col("low") + 1, F.col("s"))) * (15 * (F.max("n") + 1) - 100 * F.max("low"))) / 100.0
         ).alias("p15"),
-        F.min("s").alias("least"),
     )
+    clamped = clamped_score(F.col("score"))
+    rest = frames.groupBy(key).agg(F.avg(clamped).alias("mean"), F.min(clamped).alias("least"))
+    return rest.join(p15, F.col(key).eqNullSafe(F.col("_of"))).select(key, "mean", "p15", "least")
 
 
 def high_resolution(width: Column, height: Column) -> Column:
