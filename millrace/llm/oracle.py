@@ -90,3 +90,25 @@ t AS (SELECT greatest(sum(a), 1)::DOUBLE AS a, greatest(sum(b), 1)::DOUBLE AS b,
 s AS (SELECT host, h.b / t.b * n AS distrust, h.a / t.a * n AS trust FROM h, t)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > {least}::DOUBLE AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN s USING (host)
 """
+
+
+EXACT_CLASSES = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+COLLOCATIONS = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array({lowered("text")}, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d, unnest(pieces) t(piece)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+counts AS (SELECT lang, w[s:s + k - 1] AS g, count(*) AS f FROM p, unnest([1, 2, 3, 4, 5]) x(k), unnest(range(1, len(w) - k + 2)) t(s) GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM counts c JOIN totals USING (lang), unnest(range(1, len(c.g))) t(k)
+  JOIN counts l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN counts r ON r.lang = c.lang AND r.g = c.g[k + 1:]),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ones AS (SELECT DISTINCT c.lang, c.g FROM counts b, unnest(range(2, len(b.g))) m(m), unnest(range(1, len(b.g) - m + 2)) t(s) JOIN counts c ON c.lang = b.lang AND c.g = b.g[s:s + m - 1] WHERE 100 * b.f >= 100 * c.f),
+kept AS (SELECT s.* FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = s.lang AND i.g = s.g)),
+named AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM named QUALIFY rank <= 2000
+"""

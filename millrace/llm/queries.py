@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, oracle, quality, substring_dedup, token_counts, url_filter, warc
+from . import bpe, collocations, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, oracle, quality, substring_dedup, token_counts, url_filter, warc, whitening
 from .shared import fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -78,6 +78,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).filter("n_removed > 0")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -89,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,4 +112,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality": oracle.QUALITY,
     "op7_ngram_join": oracle.SIMILAR,
     "op9_url_filter": oracle.verdicts(url_filter.parsed_rules(URL_RULES), url_filter.LEAST_DISTRUST),
+    "op11_exact_dedup": oracle.EXACT_CLASSES,
+    "op12_collocations": oracle.COLLOCATIONS,
 }
