@@ -36,6 +36,37 @@ def dirname(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def normal_path(path: Column, backslashes: bool = False) -> Column:
+    """``path`` with single slashes and none at its end; a path that begins with one is absolute and keeps it.
+
+    The roots are ``/`` and, of relative paths, the empty path.  With ``backslashes`` these separate as well.
+    """
+    plain = F.translate(path, "\\", "/") if backslashes else path
+    return F.regexp_replace(plain, "(?s)(?<=.)/+$|(?<=/)/+", "")
+
+
+def is_root(path: Column) -> Column:
+    return path.isin("", "/")
+
+
+def folder_of(path: Column) -> Column:
+    """The folder that holds a normal path: ``/`` of ``/a``, the empty path of ``a``; null of a root."""
+    return F.when(~is_root(path), F.regexp_extract(path, "(?s)^(/(?=[^/]+$)|.*(?=/[^/]*$)|)", 1))
+
+
+def depth_of(folder: Column) -> Column:
+    """How many folders a normal path has below its root; 0 of a root."""
+    slashes = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit("")))
+    return F.when(is_root(folder), 0).otherwise(F.when(folder.startswith("/"), slashes).otherwise(slashes + 1))
+
+
+def ancestor(folder: Column, depth: Column) -> Column:
+    """The folder at ``depth`` on the way from the root to a normal path."""
+    absolute = folder.startswith("/")
+    below = F.call_function("substring_index", folder, F.lit("/"), depth + F.when(absolute, 1).otherwise(0))
+    return F.when(depth > 0, below).otherwise(F.when(absolute, "/").otherwise(""))
+
+
 def is_media(path: Column) -> Column:
     return F.lower(extension(path)).isin(*MEDIA_EXTENSIONS)
 
@@ -143,14 +174,6 @@ def split_trim(text: Column, separator: str = ",") -> Column:
     return F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def prefixes(path: Column) -> Column:
-    """The path of every folder above and at ``path``: a/b/c gives a, a/b, a/b/c."""
-    clean = F.array(F.trim(F.regexp_replace(path, "/+", "/"), F.lit("/")))
-    count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit(""))) + 1
-    above = lambda c: F.transform(F.sequence(F.lit(1), count(c)), lambda n: F.call_function("substring_index", c, F.lit("/"), n))
-    return F.flatten(F.transform(F.filter(clean, lambda c: c != ""), above))
-
-
 def last_characters(text: Column, n: int = 500) -> Column:
     """The end of a long message."""
     return F.right(text, F.lit(n))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from .scan import block_of, running_sum
+
+#: The place of a chunk without a suffix: behind all others.
+LAST = (1 << 63) - 1
 
 
 def parsed_zones(texts: DataFrame, key: str = "video") -> DataFrame:
@@ -21,20 +24,21 @@ def shifted_zones(zones: DataFrame, offset: Column) -> DataFrame:
     return moved.withColumn("start", F.greatest(F.lit(0).cast("bigint"), F.col("start") - offset))
 
 
-def _chunk_order(key: str) -> Window:
-    return Window.partitionBy(key).orderBy(F.col("suffix").asc_nulls_last())
+def _place(suffix: str = "suffix") -> Column:
+    return F.coalesce(F.col(suffix).cast("bigint"), F.lit(LAST))
 
 
 def chunk_offsets(chunks: DataFrame, key: str = "video") -> DataFrame:
     """Adds ``before``: the frames of all chunks in front; the one without a suffix comes last."""
-    before = F.sum("frame_count").over(_chunk_order(key).rowsBetween(Window.unboundedPreceding, -1))
-    return chunks.withColumn("before", F.coalesce(before, F.lit(0).cast("bigint")))
+    upto = running_sum(chunks, "before", F.col("frame_count"), [key], {"_block": block_of(_place())}, [_place()])
+    return upto.withColumn("before", F.col("before") - F.coalesce("frame_count", F.lit(0)))
 
 
 def merged_chunks(chunk_frames: DataFrame, key: str = "video") -> DataFrame:
-    """Frames (key, suffix, frame) of all chunks in order, renumbered from 0 as ``merged``."""
-    order = Window.partitionBy(key).orderBy(F.col("suffix").asc_nulls_last(), "frame")
-    return chunk_frames.withColumn("merged", (F.row_number().over(order) - 1).cast("bigint"))
+    """Frames (key, suffix, frame) of all chunks in order, renumbered from 0 as ``merged``; blocks are parts of chunks."""
+    blocks = {"_chunk": _place(), "_block": block_of(F.col("frame"))}
+    numbered = running_sum(chunk_frames, "merged", F.lit(1), [key], blocks, ["frame"])
+    return numbered.withColumn("merged", F.col("merged") - 1)
 
 
 def chunk_totals(chunks: DataFrame, key: str = "video") -> DataFrame:

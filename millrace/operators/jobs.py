@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,6 +93,50 @@ def slots_reassigned(jobs: DataFrame, place: Column, queue: str = "queue") -> Da
     return ranked.join(slots, [queue, "k"]).drop("k")
 
 
+def _edited(orders: dict, kind: str, target: object, ids: list | None) -> None:
+    """Applies one edit to the queue orders of a queue's jobs."""
+    if kind in ("reorder", "slots"):
+        known = [i for i in (ids if ids is not None else []) if i in orders]
+        places = range(1, len(known) + 1) if kind == "reorder" else sorted(orders[i] for i in known)
+        orders.update(zip(known, places, strict=True))
+        return
+    if target not in orders:
+        return
+    ranked = sorted(orders, key=lambda i: (orders[i], i))
+    at = ranked.index(target)
+    other = at - 1 if kind == "up" else at + 1
+    if kind in ("up", "down") and 0 <= other < len(ranked):
+        orders[target], orders[ranked[other]] = orders[ranked[other]], orders[target]
+    elif kind == "top" and at > 0:
+        orders[target] = orders[ranked[0]] - 1
+    elif kind == "bottom" and at < len(ranked) - 1:
+        orders[target] = orders[ranked[-1]] + 1
+
+
+def edited_in_order(jobs: DataFrame, edits: DataFrame, queue: str = "queue") -> DataFrame:
+    """Queued jobs (queue, id, queue_order) with ``new_order`` after a log of edits (queue, place, kind, id, ids), one after the other.
+
+    ``up`` and ``down`` swap with the neighbour, ``top`` and ``bottom`` go before the least and after the largest order, ``reorder`` numbers
+    ``ids`` from 1, ``slots`` deals the orders of ``ids`` out to them as listed.  An edit of an unknown id does nothing.  Each queue is folded on its own:
+    an edit depends on all edits before it, so a queue is the unit of work.
+    """
+
+    def fold(own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        orders = dict(zip(own["id"], own["queue_order"], strict=True))
+        for row in log.sort_values("place").itertuples(index=False):
+            _edited(orders, row.kind, row.id, row.ids)
+        return own.assign(new_order=own["id"].map(orders)).astype({"new_order": "int64"}) if len(own) else own.assign(new_order=pd.Series(dtype="int64"))
+
+    kinds = dict(jobs.dtypes)
+    schema = f"{queue} {kinds[queue]}, id {kinds['id']}, queue_order {kinds['queue_order']}, new_order bigint"
+    return jobs.select(queue, "id", "queue_order").groupBy(queue).cogroup(edits.select(queue, "place", "kind", "id", "ids").groupBy(queue)).applyInPandas(fold, schema)
+
+
+def by_id(jobs: DataFrame, job_id: object) -> DataFrame:
+    """The job of an id; no row if there is none."""
+    return jobs.filter(F.col("id") == job_id)
+
+
 def patched(settings: Column, patch: Column) -> Column:
     """Settings (quality, speed, bitrates) with the patch's non-empty fields; bit rates merge by layout."""
     text = lambda name: F.coalesce(F.nullif(patch[name], F.lit("")), settings[name])
@@ -100,10 +145,9 @@ def patched(settings: Column, patch: Column) -> Column:
     return F.struct(text("quality").alias("quality"), text("speed").alias("speed"), F.map_concat(kept, fresh).alias("bitrates"))
 
 
-def job_progress(steps: Column) -> Column:
-    """The mean progress of an array of steps, to two digits."""
-    total = F.aggregate(steps, F.lit(0.0), lambda held, s: held + s)
-    return half_up(total / F.size(steps), 2)
+def job_progress(step: Column) -> Column:
+    """The mean progress of the steps of a group, to two digits; an aggregate."""
+    return half_up(F.avg(step), 2)
 
 
 def step_eta(started: Column, progress: Column, status: Column, now: Column) -> Column:

@@ -28,8 +28,8 @@ def scan_counts(files: DataFrame, jobs: DataFrame, organisation: str) -> DataFra
 
 
 def listing_key(name: Column, is_folder: Column) -> Column:
-    """Sorts folders first, then names with numbers by value."""
-    return F.struct((~is_folder).alias("file"), natural_key(name).alias("name"), name.alias("exact"))
+    """Sorts folders first, then names by the Unicode collation, so that accents count less than letters, with numbers by value."""
+    return F.struct((~is_folder).alias("file"), F.collate(natural_key(name), "UNICODE").alias("name"), name.alias("exact"))
 
 
 def sidecars(files: DataFrame, videos: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import clamped_score, crf_adjustment, exclusive_quantile
+from ..functions.numbers import clamped_score, crf_adjustment
+from .scan import block_of, exclusive_percentile, running_sum
 
 #: Every so many frames one is scored.
 SAMPLE_STEP = 3
@@ -25,9 +26,10 @@ def keyframes(frames: DataFrame, key: str = "video") -> DataFrame:
 
 
 def with_scenes(frames: DataFrame, key: str = "video") -> DataFrame:
-    """Adds ``scene``, numbered from 0: a running count of key frames, no join."""
-    starts = (F.col("is_key") | (F.col("frame") == 0)).cast("bigint")
-    return frames.withColumn("scene", F.sum(starts).over(in_order(key).rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    """Adds ``scene``, numbered from 0: a running count of key frames, no join with the frames; a long video is in many tasks."""
+    starts = F.col("is_key") | (F.col("frame") == 0)
+    numbered = running_sum(frames, "scene", starts.cast("bigint"), [key], {"_block": block_of(F.col("frame"))}, ["frame"])
+    return numbered.withColumn("scene", F.col("scene") - 1)
 
 
 def scene_bounds(frames: DataFrame, key: str = "video") -> DataFrame:
@@ -45,33 +47,26 @@ def scene_range_join(frames: DataFrame, bounds: DataFrame, key: str = "video", b
     return held.filter((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("stop"))).drop("bucket")
 
 
-def aggregated(scores: Column) -> tuple[Column, Column, Column]:
-    """Mean, 15th percentile by the exclusive method, and least of scores clamped at 0."""
-    clamped = clamped_score(scores)
-    return F.avg(clamped).alias("mean"), exclusive_quantile(F.sort_array(F.collect_list(clamped)), 15).alias("p15"), F.min(clamped).alias("least")
+def score_stats(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, p15, least) of scores clamped at 0; p15 is the 15th percentile by the exclusive method.
+
+    No key has its scores in one place.
+    """
+    clamped = frames.select(*keys, clamped_score(F.col("score")).alias("_score"))
+    p15 = exclusive_percentile(clamped, keys, "_score", 15, "p15").withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    rest = clamped.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_score").alias("mean"), F.min("_score").alias("least"))
+    same = F.struct(*(F.col(k).alias(k) for k in keys)) == F.struct(*(F.col(f"_of_{k}").alias(k) for k in keys))
+    return rest.join(p15, same).select(*keys, "n", "mean", "p15", "least")
 
 
 def scene_stats(frames: DataFrame, key: str = "video") -> DataFrame:
     """(key, scene, n, mean, p15, least)."""
-    return with_scenes(frames, key).groupBy(key, "scene").agg(F.count("*").alias("n"), *aggregated(F.col("score")))
+    return score_stats(with_scenes(frames, key), [key, "scene"])
 
 
 def metrics(frames: DataFrame, key: str = "video") -> DataFrame:
-    """(key, mean, p15, least) of all frames of a video.
-
-    The percentile lies between two neighbours of the sorted scores: the frames are ranked, and only these two are kept.
-    """
-    ranked = frames.select(key, clamped_score(F.col("score")).alias("s"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("s"))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    low = F.greatest(F.lit(1), F.least(F.floor(15 * (F.col("n") + 1) / 100), F.col("n") - 1))
-    p15 = ranked.withColumn("low", low).groupBy(F.col(key).alias("_of")).agg(
-        F.when(F.max("n") == 1, F.max("s")).otherwise(
-            (F.max(F.when(F.col("rank") == F.col("low"), F.col("s"))) * (100 - (15 * (F.max("n") + 1) - 100 * F.max("low"))) + F.max(F.when(F.col("rank") == F.col("low") + 1, F.col("s"))) * (15 * (F.max("n") + 1) - 100 * F.max("low"))) / 100.0
-        ).alias("p15"),
-    )
-    clamped = clamped_score(F.col("score"))
-    rest = frames.groupBy(key).agg(F.avg(clamped).alias("mean"), F.min(clamped).alias("least"))
-    return rest.join(p15, F.col(key).eqNullSafe(F.col("_of"))).select(key, "mean", "p15", "least")
+    """(key, mean, p15, least) of all frames of a video."""
+    return score_stats(frames, [key]).drop("n")
 
 
 def high_resolution(width: Column, height: Column) -> Column:
@@ -85,16 +80,13 @@ def worst_frames(frames: DataFrame, key: str = "video") -> DataFrame:
 
 
 def scenes_against_mean(frames: DataFrame, key: str = "video") -> DataFrame:
-    """(key, scene, start, last, p15, overall): each scene's percentile next to the mean of all frames of its video.
-
-    Scenes are made from one shuffle on the key: the mean is a window over it.
-    """
-    scored = with_scenes(frames, key).withColumn("clamped", clamped_score(F.col("score")))
-    scored = scored.withColumn("overall", F.avg("clamped").over(Window.partitionBy(key)))
-    return scored.groupBy(key, "scene").agg(
-        F.min("frame").alias("start"), F.max("frame").alias("last"),
-        exclusive_quantile(F.sort_array(F.collect_list("clamped")), 15).alias("p15"), F.first("overall").alias("overall"),
-    )
+    """(key, scene, start, last, p15, overall): each scene's percentile next to the mean of all frames of its video."""
+    placed = with_scenes(frames, key).withColumn("_score", clamped_score(F.col("score")))
+    ranges = placed.groupBy(key, "scene").agg(F.min("frame").alias("start"), F.max("frame").alias("last"))
+    p15 = exclusive_percentile(placed, [key, "scene"], "_score", 15, "p15").withColumnsRenamed({key: "_of", "scene": "_scene"})
+    overall = frames.groupBy(F.col(key).alias("_whole")).agg(F.avg(clamped_score(F.col("score"))).alias("overall"))
+    joined = ranges.join(p15, F.col(key).eqNullSafe(F.col("_of")) & (F.col("scene") == F.col("_scene")))
+    return joined.join(overall, F.col(key).eqNullSafe(F.col("_whole"))).select(key, "scene", "start", "last", "p15", "overall")
 
 
 def crf_zones(frames: DataFrame, base: float, strength: float = 20.0, limit: float = 5.0, key: str = "video") -> DataFrame:

@@ -1,7 +1,7 @@
-"""Folder trees as tables: a folder is its path, and a subtree is the rows with the path as a prefix.
+"""Folder trees as tables of paths, absolute (below ``/``), relative (below the empty path) or both.
 
-Rollups explode each row's ancestor paths and group by them, so depth is free and
-nothing is recursive.
+Every path is brought to one form first (``text.normal_path``), and so are the folders and roots that are asked for.  Rollups
+aggregate rows by the folder that holds them; only these folders are repeated for the folders above, not the rows.
 """
 
 from __future__ import annotations
@@ -10,81 +10,164 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import basename, dirname, prefixes
+from ..functions.text import ancestor, basename, depth_of, folder_of, is_root, normal_path
+from ..stored import stored
 
 
-def folder_tree(paths: DataFrame, path: str = "path") -> DataFrame:
-    """(path, parent, name) of every folder above the files; the parent of the first level is ''."""
-    folders = paths.select(F.explode(prefixes(dirname(F.col(path)))).alias("path")).distinct()
-    return folders.select("path", dirname(F.col("path")).alias("parent"), basename(F.col("path")).alias("name"))
+def holder(path: Column) -> Column:
+    """The folder that a row of ``path`` lies in; a root lies in itself."""
+    clean = normal_path(path)
+    return F.coalesce(folder_of(clean), clean)
+
+
+def with_ancestors(rows: DataFrame, at: str, name: str = "folder", include_root: bool = True) -> DataFrame:
+    """Each row once for its folder ``at`` and every folder above, as ``name``."""
+    first = 0 if include_root else 1
+    depth = depth_of(F.col(at))
+    placed = rows.withColumn("_depth", F.explode(F.when(depth >= first, F.sequence(F.lit(first), depth))))
+    return placed.withColumn(name, ancestor(F.col(at), F.col("_depth"))).drop("_depth")
 
 
 def by_ancestor(rows: DataFrame, path: str = "path", include_root: bool = True) -> DataFrame:
-    """Each row once for every folder that holds it, as ``folder``; '' is the root.
+    """Each row once for every folder that holds it, as ``folder``."""
+    return with_ancestors(rows.withColumn("_above", holder(F.col(path))), "_above", "folder", include_root).drop("_above")
+
 
-    Rows are made for depths, and paths are cut after that, so that all of it is compiled code.
+def job_folder(input_path: Column, relative_path: Column, replaces_source: Column) -> Column:
+    """The folder of a job, as a relative path: that of its input without the leading slash if the job replaces its source, else the relative
+    path, in which backslashes separate too."""
+    of_input = F.coalesce(folder_of(normal_path(input_path)), F.lit(""))
+    own = F.ltrim(normal_path(F.coalesce(relative_path, F.lit("")), backslashes=True), F.lit("/"))
+    return F.when(F.coalesce(replaces_source, F.lit(False)) & (F.coalesce(input_path, F.lit("")) != ""), F.ltrim(of_input, F.lit("/"))).otherwise(own)
+
+
+def all_folders(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(folder) above the files, roots included."""
+    direct = paths.select(holder(F.col(path)).alias("_at")).distinct()
+    return with_ancestors(direct, "_at").select("folder").distinct()
+
+
+def folder_tree(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, parent, name) of every folder above the files but the roots."""
+    folders = all_folders(paths, path).filter(~is_root(F.col("folder")))
+    return folders.select(F.col("folder").alias("path"), folder_of(F.col("folder")).alias("parent"), basename(F.col("folder")).alias("name"))
+
+
+def nested_sets(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(folder, parent, depth, first, last): the folders of each root numbered from 1 on in order of a walk, siblings by name.
+
+    A folder lies in another of the same root if its ``first`` is between the other's ``first`` and ``last``, so containment is an
+    interval.  A number is the sum of what comes before on each level, so windows are over the children of one folder only.
     """
-    clean = F.trim(F.regexp_replace(dirname(F.col(path)), "/+", "/"), F.lit("/"))
-    depth = F.when(F.col("_above") == "", 0).otherwise(F.length("_above") - F.length(F.replace("_above", F.lit("/"), F.lit(""))) + 1)
-    first = 0 if include_root else 1
-    placed = rows.withColumn("_above", clean).withColumn("_depth", F.explode(F.when(depth >= first, F.sequence(F.lit(first), depth))))
-    return placed.withColumn("folder", F.expr("substring_index(_above, '/', _depth)")).drop("_above", "_depth")
+    folders = stored(all_folders(paths, path), "folders")
+    sizes = stored(with_ancestors(folders.withColumnRenamed("folder", "_at"), "_at").groupBy("folder").agg(F.count("*").alias("size")), "folder-sizes")
+    earlier = Window.partitionBy("parent").orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)
+    children = sizes.withColumn("parent", folder_of(F.col("folder"))).filter("parent is not null")
+    steps = children.select("folder", (1 + F.coalesce(F.sum("size").over(earlier), F.lit(0))).alias("step"))
+    walked = with_ancestors(folders.withColumnRenamed("folder", "_at"), "_at").join(steps, "folder", "left")
+    firsts = walked.groupBy("_at").agg((1 + F.coalesce(F.sum("step"), F.lit(0))).alias("first"))
+    joined = firsts.join(sizes, firsts["_at"] == sizes["folder"])
+    return joined.select("folder", folder_of(F.col("folder")).alias("parent"), depth_of(F.col("folder")).alias("depth"), "first", (F.col("first") + F.col("size") - 1).alias("last"))
 
 
 def recursive_counts(files: DataFrame, **conditions: Column) -> DataFrame:
     """Files and those that meet each condition, in every folder's subtree."""
-    return by_ancestor(files).groupBy("folder").agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+    own = files.groupBy(holder(F.col("path")).alias("_at")).agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+    return with_ancestors(own, "_at").groupBy("folder").agg(*(F.sum(n).alias(n) for n in ("total", *conditions)))
+
+
+def _checks(leaves: DataFrame) -> DataFrame:
+    """(folder, every, some): whether all and any of a subtree's leaves (path, checked) are checked."""
+    own = leaves.groupBy(holder(F.col("path")).alias("_at")).agg(F.bool_and("checked").alias("every"), F.bool_or("checked").alias("some"))
+    return with_ancestors(own, "_at").groupBy("folder").agg(F.bool_and("every").alias("every"), F.bool_or("some").alias("some"))
 
 
 def check_states(leaves: DataFrame) -> DataFrame:
     """(folder, state): all, some or none of a subtree's leaves (path, checked) are checked."""
-    found = by_ancestor(leaves).groupBy("folder").agg(F.bool_and("checked").alias("every"), F.bool_or("checked").alias("any"))
-    return found.select("folder", F.when(F.col("every"), "all").when(F.col("any"), "some").otherwise("none").alias("state"))
+    return _checks(leaves).select("folder", F.when(F.col("every"), "all").when(F.col("some"), "some").otherwise("none").alias("state"))
 
 
 def toggled(leaves: DataFrame, folders: DataFrame) -> DataFrame:
-    """Leaves after a toggle of ``folders`` (folder): all are checked below one that was unchecked, else unchecked.
+    """Leaves after a toggle of ``folders`` (folder) at one moment: all are checked below one that was unchecked, else unchecked.
 
     A folder that is partly checked becomes unchecked.  Of nested folders the outermost counts.
     """
-    states = check_states(leaves).join(folders, "folder").withColumn("to", F.col("state") == "none")
-    hit = by_ancestor(leaves).join(states.select("folder", "to"), "folder")
-    chosen = hit.groupBy("path").agg(F.min_by("to", F.length("folder")).alias("to"))
-    return leaves.join(chosen, "path", "left").select("path", F.coalesce("to", "checked").alias("checked"))
+    asked = folders.select(normal_path(F.col("folder")).alias("folder")).distinct()
+    goals = _checks(leaves).join(asked, "folder").select("folder", (~F.col("some")).alias("to"))
+    placed = leaves.withColumn("_at", holder(F.col("path")))
+    hit = with_ancestors(placed.select("_at").distinct(), "_at").join(goals, "folder")
+    chosen = hit.groupBy("_at").agg(F.min_by("to", F.length("folder")).alias("to"))
+    return placed.join(chosen, "_at", "left").select("path", F.coalesce("to", "checked").alias("checked"))
+
 
+def toggled_in_order(leaves: DataFrame, toggles: DataFrame) -> DataFrame:
+    """Leaves (path, checked) after clicks (place, path) on folders or leaves, one after the other; places are distinct.
 
-def maximal_checked(leaves: DataFrame) -> DataFrame:
-    """(path): a fully checked folder stands for its subtree, and single checked leaves for themselves."""
-    full = check_states(leaves).filter("state = 'all'").select("folder")
-    parent_full = full.select(F.col("folder").alias("parent"))
-    tops = full.withColumn("parent", dirname(F.col("folder"))).filter("folder <> ''").join(parent_full, "parent", "left_anti").select(F.col("folder").alias("path"))
-    root = full.filter("folder = ''").select(F.col("folder").alias("path"))
-    own = leaves.filter("checked").withColumn("parent", dirname(F.col("path"))).join(parent_full, "parent", "left_anti").select("path")
-    return tops.union(root).union(own)
+    A click finds what the ones before it left: if anything below it is checked all of it becomes unchecked, else checked.  A leaf is as the last
+    click that covers it left it, and a click depends, for each leaf below it, on the click that covered the leaf before.  Leaves
+    that the same clicks cover are one row from the start: those of a folder that are not clicked themselves.  Clicks are
+    resolved in rounds, each those whose dependencies are known; without clicks nothing changes.
+    """
+    clicks = stored(toggles.select("place", normal_path(F.col("path")).alias("folder")), "clicks")
+    targets = clicks.select(F.col("folder").alias("_target")).distinct()
+    placed = leaves.withColumn("_path", normal_path(F.col("path"))).join(targets, F.col("_path") == F.col("_target"), "left")
+    placed = placed.withColumn("_at", F.when(F.col("_target").isNotNull(), F.col("_path")).otherwise(holder(F.col("path"))))
+    groups = placed.groupBy("_at").agg(F.bool_or("checked").alias("some"))
+    covered = with_ancestors(groups, "_at").join(clicks, "folder").select("_at", "some", "place")
+    before = F.lag("place").over(Window.partitionBy("_at").orderBy("place"))
+    covered = stored(covered.withColumn("earlier", before), "clicks-of-groups")
+    needs = stored(covered.groupBy("place", "earlier").agg(F.bool_or(F.when(F.col("earlier").isNull(), F.col("some"))).alias("some")), "clicks-before")
+    known = clicks.sparkSession.createDataFrame([], "click long, checks boolean")
+    found = 0
+    while True:
+        seen = needs.join(known, F.col("earlier") == F.col("click"), "left")
+        some, open_ones = F.bool_or(F.coalesce("checks", "some")), F.count_if(F.col("earlier").isNotNull() & F.col("click").isNull())
+        states = seen.groupBy("place").agg(some.alias("some"), open_ones.alias("open"))
+        ready = states.filter("coalesce(some, false) or open = 0").select(F.col("place").alias("click"), (~F.coalesce("some", F.lit(False))).alias("checks"))
+        known = stored(ready, "clicks-known")
+        now = known.count()
+        if now == found:
+            break
+        found = now
+    last = covered.groupBy("_at").agg(F.max("place").alias("click")).join(known, "click").select("_at", "checks")
+    return placed.join(last, "_at", "left").select("path", F.coalesce("checks", "checked").alias("checked"))
+
+
+def maximal_checked(leaves: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(path): a fully checked folder stands for its subtree, and single checked leaves for themselves.
+
+    With ``roots`` (root), folders above them stand for nothing.
+    """
+    full = check_states(leaves).filter("state = 'all'").select(F.col("folder").alias("path"))
+    full = full if roots is None else within(full, roots)
+    full = full.withColumn("parent", folder_of(F.col("path")))
+    parents = full.select(F.col("path").alias("parent"))
+    own = leaves.filter("checked").select("path", holder(F.col("path")).alias("parent"))
+    return full.select("path", "parent").union(own).join(parents, "parent", "left_anti").select("path")
 
 
 def subtree_least_order(jobs: DataFrame) -> DataFrame:
     """The least queue order of queued jobs in each subtree; null where none is queued."""
-    order = F.min(F.when(F.col("status") == "queued", F.col("queue_order")))
-    return by_ancestor(jobs).groupBy("folder").agg(order.alias("least_order"))
+    own = jobs.groupBy(holder(F.col("path")).alias("_at")).agg(F.min(F.when(F.col("status") == "queued", F.col("queue_order"))).alias("least_order"))
+    return with_ancestors(own, "_at").groupBy("folder").agg(F.min("least_order").alias("least_order"))
 
 
 def depth_first_places(jobs: DataFrame) -> DataFrame:
     """(id, path, place) of the queued jobs (id, path, status, queue_order) in order of a walk from the root, from 1 on.
 
     On each level folders come before files; folders by the least queue order below them and then by name, files by
-    queue order.  A place is the number of jobs in folders that come before, level by level, so windows are over the
-    children of one folder only.
+    queue order.  The root of absolute paths is a folder among the first level of the relative ones.  A place is the number of jobs in
+    folders that come before, level by level, so windows are over the children of one folder only.
     """
-    queued = jobs.filter(F.col("status") == "queued").select("id", "path", "queue_order", dirname(F.col("path")).alias("in_folder"))
-    below = by_ancestor(queued).groupBy("folder").agg(F.min("queue_order").alias("least"), F.count("*").alias("n"))
-    direct = queued.groupBy("in_folder").agg(F.count("*").alias("own"))
-    children = below.filter("folder <> ''").withColumn("parent", dirname(F.col("folder")))
+    queued = jobs.filter(F.col("status") == "queued").select("id", "path", "queue_order", holder(F.col("path")).alias("in_folder"))
+    direct = queued.groupBy("in_folder").agg(F.min("queue_order").alias("least"), F.count("*").alias("n"))
+    below = with_ancestors(direct, "in_folder").groupBy("folder").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+    children = below.filter("folder <> ''").withColumn("parent", F.coalesce(folder_of(F.col("folder")), F.lit("")))
     earlier = Window.partitionBy("parent").orderBy("least", "folder").rowsBetween(Window.unboundedPreceding, -1)
     skipped = children.select("folder", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"))
-    inside = below.join(direct, F.col("folder") == F.col("in_folder")).select("in_folder", (F.col("n") - F.col("own")).alias("in_children"))
-    starts = inside.withColumn("folder", F.explode_outer(prefixes(F.col("in_folder")))).join(skipped, "folder", "left")
-    starts = starts.groupBy("in_folder").agg((F.first("in_children") + F.coalesce(F.sum("skipped"), F.lit(0))).alias("start"))
+    inside = children.groupBy(F.col("parent").alias("in_folder")).agg(F.sum("n").alias("in_children"))
+    starts = with_ancestors(direct.select("in_folder"), "in_folder").join(skipped, "folder", "left").groupBy("in_folder").agg(F.sum("skipped").alias("skipped"))
+    starts = starts.join(inside, "in_folder", "left").select("in_folder", (F.coalesce("in_children", F.lit(0)) + F.coalesce("skipped", F.lit(0))).alias("start"))
     rank = F.row_number().over(Window.partitionBy("in_folder").orderBy("queue_order", "id"))
     return queued.withColumn("rank", rank).join(starts, "in_folder").select("id", "path", (F.col("start") + F.col("rank")).cast("bigint").alias("place"))
 
@@ -95,7 +178,9 @@ def nodes_with_defaults(entries: DataFrame) -> DataFrame:
 
 
 def within(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """Paths that equal a root (root) or lie under one: a semi join on the exploded ancestors, not on a prefix."""
-    places = paths.withColumn("root", F.explode(prefixes(F.col("path"))))
-    hit = places.join(roots.select("root").distinct(), "root", "left_semi")
-    return hit.drop("root").distinct()
+    """Paths that equal a root (root) or lie under one: folders are looked up on their ancestors, paths by their folder."""
+    asked = roots.select(normal_path(F.col("root")).alias("folder")).distinct()
+    placed = paths.withColumn("_path", normal_path(F.col("path"))).withColumn("_at", holder(F.col("path")))
+    folders = with_ancestors(placed.select("_at").distinct(), "_at").join(asked, "folder", "left_semi").select(F.col("_at").alias("_held")).distinct()
+    hit = placed.join(folders, F.col("_at") == F.col("_held"), "left").join(asked, F.col("_path") == F.col("folder"), "left")
+    return hit.filter("_held is not null or folder is not null").select(*paths.columns)

@@ -304,6 +304,114 @@ def selected_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.join(held.withColumn("one", F.lit(1)), "path", "left").groupBy("root").agg(F.count("one").alias("pending"))
 
 
+ROOTED = (
+    PAGE_PATHS.replace("above AS", "unrooted AS")
+    + """, rooted AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN path ELSE '/data/lib/' || path END AS path, checked, encoded FROM files),
+leaves AS (SELECT path, bool_and(checked) AS checked, bool_or(encoded) AS encoded FROM rooted GROUP BY path),
+above AS (SELECT path, checked, encoded, CASE WHEN n = 1 AND starts_with(path, '/') THEN '/' ELSE array_to_string(string_split(path, '/')[1:n], '/') END AS folder
+  FROM leaves, unnest(range(CASE WHEN starts_with(path, '/') THEN 1 ELSE 0 END, len(string_split(path, '/')))) t(n)),
+states AS (SELECT folder, CASE WHEN bool_and(checked) THEN 'all' WHEN bool_or(checked) THEN 'some' ELSE 'none' END AS state FROM above GROUP BY folder)"""
+)
+#: The folder that holds a path, in SQL.
+SQL_PARENT = "CASE WHEN path IN ('', '/') THEN NULL WHEN path NOT LIKE '%/%' THEN '' WHEN path NOT LIKE '_%/%' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END"
+
+
+def rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of a library: four fifths below /data/lib, the rest on relative paths; some are spelt with slashes too many."""
+    path = F.when(F.col("page_id") % 5 == 0, F.col("path")).otherwise(F.concat(F.lit("/data/lib/"), "path"))
+    return page_paths(spark, sf_dir).withColumn("path", path)
+
+
+def rooted_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rooted(spark, sf_dir).groupBy("path").agg(F.bool_and("checked").alias("checked"), F.bool_or("encoded").alias("encoded"))
+
+
+def misspelt(paths: DataFrame, column: str) -> DataFrame:
+    """The same paths with doubled slashes and one at the end."""
+    return paths.withColumn(column, F.concat(F.replace(column, F.lit("/"), F.lit("//")), F.lit("/")))
+
+
+@query(f"""WITH {ROOTED} SELECT page_id, path FROM rooted WHERE starts_with(path, '/data/lib/m.') OR starts_with(path, 'www.') OR path LIKE '/data/lib/%/en/%' OR path LIKE '/data/lib/%/en'""")
+def allowed_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below roots that are absolute, relative, and misspelt."""
+    files = rooted(spark, sf_dir).select("page_id", "path")
+    wanted = F.col("folder").rlike("^/data/lib/m[.][^/]*$|^www[.][^/]*$|^/data/lib/[^/]*(/.*)?/en$")
+    found = tree.all_folders(files).unionByName(files.select(F.col("path").alias("folder"))).filter(wanted).distinct()
+    return tree.within(files, misspelt(found.select(F.col("folder").alias("root")), "root"))
+
+
+@query(f"WITH {ROOTED} SELECT folder, state FROM states")
+def tristate_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.check_states(rooted_leaves(spark, sf_dir))
+
+
+@query(f"""WITH {ROOTED}, hit AS (SELECT a.path, min_by(s.state = 'none', length(s.folder)) AS goal FROM above a JOIN states s USING (folder) WHERE s.folder LIKE '%/es' OR s.folder LIKE '/data/lib/m.%' GROUP BY a.path)
+SELECT path, coalesce(goal, checked) AS checked FROM leaves LEFT JOIN hit USING (path)""")
+def toggled_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rooted_leaves(spark, sf_dir)
+    folders = tree.all_folders(rows).filter("folder like '%/es' or folder like '/data/lib/m.%'")
+    return tree.toggled(rows.select("path", "checked"), misspelt(folders, "folder"))
+
+
+MAXIMAL_ROOTED = (
+    ROOTED
+    + f""", held AS (SELECT folder AS path FROM states WHERE state = 'all' AND (NOT starts_with(folder, '/') OR starts_with(folder, '/data/lib/'))),
+parented AS (SELECT path, {SQL_PARENT} AS parent FROM (SELECT path FROM held UNION ALL SELECT path FROM leaves WHERE checked)),
+maximal AS (SELECT path FROM parented WHERE parent IS NULL OR parent NOT IN (SELECT path FROM held))"""
+)
+
+
+@query(f"WITH {MAXIMAL_ROOTED} SELECT path FROM maximal")
+def maximal_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's hosts and the relative root are the roots; /data and /data/lib stand for nothing."""
+    rows = rooted_leaves(spark, sf_dir)
+    hosts = tree.all_folders(rows).filter("folder rlike '^/data/lib/[^/]+$' or folder = ''").select(F.col("folder").alias("root"))
+    return tree.maximal_checked(rows.select("path", "checked"), hosts)
+
+
+@query(f"WITH {ROOTED} SELECT CASE WHEN starts_with(path, '/') THEN split_part(path, '/', 4) ELSE split_part(path, '/', 1) END AS host, count(*) FILTER (checked AND NOT encoded) AS pending FROM leaves GROUP BY 1")
+def pending_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rooted_leaves(spark, sf_dir)
+    chosen = tree.maximal_checked(rows.select("path", "checked")).withColumnRenamed("path", "root")
+    held = tree.within(rows.filter("not encoded").select("path"), chosen).withColumn("one", F.lit(1))
+    host = F.split_part("path", F.lit("/"), F.when(F.col("path").startswith("/"), 4).otherwise(1)).alias("host")
+    return rows.select("path", host).join(held, "path", "left").groupBy("host").agg(F.count("one").alias("pending"))
+
+
+@query(f"""WITH {ROOTED}, folders AS (SELECT DISTINCT folder, starts_with(folder, '/') AS absolute FROM above),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY absolute ORDER BY CASE WHEN folder = '/' THEN '' ELSE replace(folder, '/', chr(1)) END) AS first FROM folders)
+SELECT folder, {SQL_PARENT.replace("path", "folder")} AS parent, CASE WHEN folder IN ('', '/') THEN 0 ELSE len(string_split(folder, '/')) - absolute::BIGINT END::BIGINT AS depth, first,
+first + (SELECT count(*) FROM folders b WHERE a.absolute = b.absolute AND a.folder <> b.folder AND (a.folder IN ('', '/') OR starts_with(b.folder, a.folder || '/'))) AS last FROM numbered a""")
+def nested_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.nested_sets(rooted(spark, sf_dir)).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+@query(f"""WITH RECURSIVE {ROOTED}, picked AS (SELECT page_id AS place, CASE page_id % 3 WHEN 0 THEN path WHEN 1 THEN {SQL_PARENT} ELSE regexp_extract(path, '^(/data/lib/)?[^/]+') END AS path FROM rooted),
+clicks AS (SELECT path, row_number() OVER (ORDER BY place) AS k FROM picked WHERE path NOT IN ('', '/')),
+start AS (SELECT list(struct_pack(p := path, c := checked) ORDER BY path) AS l FROM leaves),
+steps AS (SELECT 0::BIGINT AS k, l FROM start UNION ALL
+  SELECT clicks.k, list_transform(l, lambda x: struct_pack(p := x.p, c := CASE WHEN x.p = path OR starts_with(x.p, path || '/')
+    THEN len(list_filter(l, lambda y: y.c AND (y.p = path OR starts_with(y.p, path || '/')))) = 0 ELSE x.c END)) FROM steps JOIN clicks ON clicks.k = steps.k + 1),
+ended AS (SELECT unnest(l) AS x FROM steps WHERE k = (SELECT max(k) FROM steps)) SELECT x.p AS path, x.c AS checked FROM ended""")
+def toggles_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A click for each page: on its file, its folder or its host."""
+    files = rooted(spark, sf_dir)
+    host = F.regexp_extract("path", "^(/data/lib/)?[^/]+", 0)
+    target = F.when(F.col("page_id") % 3 == 0, F.col("path")).when(F.col("page_id") % 3 == 1, text.folder_of(F.col("path"))).otherwise(host)
+    clicks = files.select(F.col("page_id").alias("place"), target.alias("path")).filter(~text.is_root(F.col("path")))
+    return tree.toggled_in_order(rooted_leaves(spark, sf_dir).select("path", "checked"), clicks)
+
+
+@query(f"""WITH {NAMES}, p AS (SELECT id, 'a' || id % 5 || CASE id % 3 WHEN 0 THEN '/' ELSE '\\' END || 'b' || id % 7 AS rel, '/lib/x' || id % 4 || '/' || file AS input, id % 4 = 0 AS replaces FROM names)
+SELECT id, CASE WHEN replaces THEN 'lib/x' || id % 4 WHEN id % 11 = 0 THEN '' ELSE replace(rel, '\\', '/') END AS folder FROM p""")
+def job_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that replace their source lie in the folder of their input, others in their relative path, which may have backslashes or be null."""
+    word = lambda c: c.cast("string")
+    rel = F.concat(F.lit("a"), word(F.col("id") % 5), F.when(F.col("id") % 3 == 0, "/").otherwise("\\"), F.lit("b"), word(F.col("id") % 7))
+    rows = names(spark, sf_dir).withColumn("rel", F.when(F.col("id") % 11 > 0, rel)).withColumn("input", F.concat(F.lit("/lib/x"), word(F.col("id") % 4), F.lit("/"), "file"))
+    return rows.select("id", tree.job_folder(F.col("input"), F.col("rel"), F.col("id") % 4 == 0).alias("folder"))
+
+
 @query("""SELECT page_id, coalesce(nullif(try_cast(regexp_extract(t, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0), 7) AS number FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS t FROM pages)""")
 def tolerant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", numbers.leading_int(F.regexp_extract("url", "[^/]*$", 0), 7).alias("number"))

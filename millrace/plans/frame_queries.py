@@ -40,6 +40,27 @@ def scene_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.scene_bounds(frames(spark, sf_dir))
 
 
+@query("""SELECT event_id AS frame, sum(CASE WHEN event_type = 'signup' OR event_id = 0 THEN 1 ELSE 0 END) OVER (ORDER BY event_id)::BIGINT - 1 AS scene,
+row_number() OVER (ORDER BY event_id) - 1 AS merged FROM events""")
+def one_long_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the frames of a single video, and of a single chunk: scenes and new numbers by blocks of 4,096 frames."""
+    from ..operators.scan import block_of, running_sum
+
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("video"), F.col("event_id").alias("frame"), (F.col("event_type") == "signup").alias("is_key"))
+    block = {"_block": block_of(F.col("frame"), 4_096)}
+    placed = running_sum(rows, "scene", (F.col("is_key") | (F.col("frame") == 0)).cast("bigint"), ["video"], block, ["frame"])
+    numbered = running_sum(placed, "merged", F.lit(1), ["video"], block, ["frame"])
+    return numbered.select("frame", (F.col("scene") - 1).alias("scene"), (F.col("merged") - 1).alias("merged"))
+
+
+@query("""WITH s AS (SELECT list_sort(list(greatest(value / 5.0::DOUBLE, 0.0::DOUBLE))) AS xs, count(*) AS n FROM events), j AS (SELECT xs, n, greatest(1, least(15 * (n + 1) // 100, n - 1)) AS j FROM s)
+SELECT n, round((xs[j] * (100 - (15 * (n + 1) - 100 * j)) + xs[j + 1] * (15 * (n + 1) - 100 * j)) / 100.0::DOUBLE, 6) AS p15 FROM j""")
+def one_video_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15th percentile of all events as one video: no task has all its scores."""
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("video"), (F.col("value") / 5.0).alias("score"))
+    return scenes.score_stats(rows, ["video"]).select("n", rounded("p15"))
+
+
 @query(f"""WITH {SCENES}, bounds AS (SELECT video, scene, min(frame) AS start, max(frame) + 1 AS stop FROM placed GROUP BY ALL)
 SELECT f.video, f.frame, b.scene FROM frames f JOIN bounds b ON f.video = b.video AND f.frame >= b.start AND f.frame < b.stop""")
 def scene_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +124,9 @@ def upsample_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.upsampled(scenes.systematic_sample(rows).select("video", "frame", "score"), lengths).select("video", "frame", "score")
 
 
-@query(f"WITH {CHUNKS} SELECT video, event_id, row_number() OVER (PARTITION BY video ORDER BY suffix NULLS LAST, frame) - 1 AS merged FROM chunk_frames WHERE frame % 5 > 0")
+@query(f"WITH {CHUNKS} SELECT video, event_id, row_number() OVER (PARTITION BY video ORDER BY suffix NULLS LAST, frame) - 1 AS merged FROM chunk_frames")
 def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merged_chunks(chunks(spark, sf_dir).filter("frame % 5 > 0")).select("video", "event_id", "merged")
+    return intervals.merged_chunks(chunks(spark, sf_dir)).select("video", "event_id", "merged")
 
 
 @query(f"WITH {FRAMES} SELECT video, max(frame) AS last_gop, count(*) AS n_keyframes FROM frames WHERE is_key GROUP BY ALL")
@@ -244,3 +265,28 @@ def throttle_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.events import first_in_window
 
     return first_in_window(table(spark, sf_dir, "events"), "user_id", 60_000).select("user_id", "event_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM e), firsts AS (SELECT user_id, ms, min(event_id) AS event_id FROM e GROUP BY ALL),
+next AS MATERIALIZED (SELECT a.user_id, a.event_id, b.event_id AS follows FROM e a ASOF JOIN firsts b ON a.user_id = b.user_id AND a.ms + 86400000 <= b.ms),
+passed AS (SELECT user_id, event_id FROM ordered WHERE k = 1 UNION ALL SELECT n.user_id, n.follows FROM passed p JOIN next n ON p.user_id = n.user_id AND p.event_id = n.event_id)
+SELECT user_id, event_id FROM passed""")
+def throttle_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user's events at most one a day, counted from the last that passed."""
+    from ..operators.throttle import throttled
+
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return throttled(rows, ["user_id"], "ms", "event_id", 86_400_000, 7 * 86_400_000).select("user_id", "event_id")
+
+
+@query("""SELECT doc_id, unnest(lines) AS value, unnest(range(len(lines))) AS line FROM
+(SELECT doc_id, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS lines FROM documents WHERE text IS NOT NULL)""")
+def lines_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into chunks of seven bytes, which also cut characters, and put together line by line."""
+    from ..operators.lines import lines_of_chunks as put_together
+
+    content = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("bytes"), F.lit(1)) - 1) / 7).cast("int"))
+    cut = content.select("doc_id", "bytes", F.explode(starts).alias("seq"))
+    return put_together(cut.select("doc_id", "seq", F.substring(F.col("bytes"), F.col("seq") * 7 + 1, F.lit(7)).alias("chunk")), "doc_id")

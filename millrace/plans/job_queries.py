@@ -130,6 +130,16 @@ def dfs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.depth_first_places(foldered(spark, sf_dir).withColumn("queue_order", order)).select("id", "place")
 
 
+@query(f"""WITH {FOLDERED}, q AS (SELECT id, r_name, n_name, c_name, id % 4 > 0 AS absolute, (id * 7919) % 10007 - 5000 AS o FROM foldered WHERE status = 'queued'),
+l AS (SELECT *, min(o) OVER (PARTITION BY absolute) AS z, min(o) OVER (PARTITION BY absolute, r_name) AS a, min(o) OVER (PARTITION BY absolute, r_name, n_name) AS b, min(o) OVER (PARTITION BY absolute, r_name, n_name, c_name) AS c FROM q)
+SELECT id, row_number() OVER (ORDER BY CASE WHEN absolute THEN z ELSE a END, CASE WHEN absolute THEN '/' ELSE r_name END, a, r_name, b, n_name, c, c_name, o, id) AS place FROM l""")
+def dfs_order_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of the jobs lie below /, which is one folder among the others of the first level."""
+    rows = foldered(spark, sf_dir).withColumn("queue_order", F.col("id") * 7919 % 10007 - 5000)
+    rows = rows.withColumn("path", F.when(F.col("id") % 4 > 0, F.concat(F.lit("/"), "path")).otherwise(F.col("path")))
+    return tree.depth_first_places(rows).select("id", "place")
+
+
 @query(f"WITH {FOLDERED} SELECT DISTINCT folder AS path, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '' END AS parent, regexp_extract(folder, '[^/]*$') AS name FROM above WHERE folder <> ''")
 def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.folder_tree(foldered(spark, sf_dir))
@@ -215,8 +225,36 @@ def step_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey AS id, floor(sum(least(l_quantity * 2, 100)) / count(*) * 100 + 0.5) / 100 AS progress FROM lineitem GROUP BY l_orderkey""")
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.least(F.col("l_quantity") * 2, F.lit(100.0))).alias("steps"))
-    return steps.select("id", queue.job_progress(F.col("steps")).alias("progress"))
+    step = F.least(F.col("l_quantity") * 2, F.lit(100.0))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(queue.job_progress(step).alias("progress"))
+
+
+@query(None)
+def edits_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is an edit of its customer's queue, in order of the keys: of the job itself, or of all jobs of the queue listed by a mixed order."""
+    orders = table(spark, sf_dir, "orders")
+    n = F.col("o_orderkey")
+    kind = F.when(n % 13 == 0, "reorder").when(n % 11 == 0, "slots").otherwise(F.element_at(F.array(*map(F.lit, ("up", "down", "top", "bottom"))), (n % 4 + 1).cast("int")))
+    listed = orders.groupBy(F.col("o_custkey").alias("queue")).agg(F.transform(F.sort_array(F.collect_list(F.struct((n * 7919 % 10007).alias("k"), n.alias("id")))), lambda x: x["id"]).alias("all"))
+    log = orders.select(F.col("o_custkey").alias("queue"), n.alias("place"), kind.alias("kind"), n.alias("id")).join(listed, "queue")
+    log = log.withColumn("ids", F.when(F.col("kind").isin("reorder", "slots"), F.col("all"))).drop("all")
+    return queue.edited_in_order(queued(spark, sf_dir), log).select("queue", "id", "new_order")
+
+
+@query("""WITH old AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 19 > 0),
+new AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 17 > 0)
+SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
+CASE WHEN o.o_orderkey IS NULL OR n.o_orderkey IS NULL THEN [] ELSE list_filter([CASE WHEN o.o_orderstatus IS DISTINCT FROM n.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN o.o_totalprice IS DISTINCT FROM n.o_totalprice THEN 'o_totalprice' END], lambda x: x IS NOT NULL) END::VARCHAR[] AS columns
+FROM old o FULL JOIN new n ON o.o_orderkey = n.o_orderkey
+WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR o.o_orderstatus IS DISTINCT FROM n.o_orderstatus OR o.o_totalprice IS DISTINCT FROM n.o_totalprice""")
+def snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of the orders: some came, some went, some have another price or no status."""
+    from ..operators.snapshots import difference
+
+    n = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    after = rows.filter(n % 17 > 0).withColumns({"o_orderstatus": F.when(n % 5 > 0, F.col("o_orderstatus")), "o_totalprice": F.col("o_totalprice") + F.when(n % 7 == 0, 1).otherwise(0)})
+    return difference(rows.filter(n % 19 > 0), after, "o_orderkey")
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 11 > 0 THEN floor((o_orderkey % 977) / (o_custkey % 11 * 100)::DOUBLE * 10000 + 0.5) / 100 ELSE 0.0 END::DOUBLE AS pct FROM orders")

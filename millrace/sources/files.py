@@ -1,10 +1,8 @@
-"""File listings, text formats of the pipeline, and the IVF container, as DataFrames."""
+"""File listings and text formats of the pipeline, as DataFrames."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +10,6 @@ from pyspark.sql import types as T
 from ..functions.text import basename, dirname, is_hidden, is_media
 
 _LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-#: Sizes of the container's file and frame headers in bytes.
-FILE_HEADER, FRAME_HEADER = 32, 12
 #: Fixed value: lines of a scene file behind the key frames: frames, width, height, and the two parts of the frame rate.
 SCENE_TRAILER = 5
 
@@ -86,47 +82,26 @@ def scene_file(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", (F.lower(F.get("l", F.lit(0))) == "true").alias("high_resolution"), keys.alias("keyframes"), *(end(k).alias(c) for k, c in enumerate(names)))
 
 
-def little_endian(content: Column, start: int, size: int) -> Column:
-    """An unsigned whole number of ``size`` bytes from the 0-based ``start`` on."""
-    digits = F.hex(F.substring(content, start + 1, size))
-    pairs = F.transform(F.sequence(F.lit(size - 1), F.lit(0)), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
-    return F.conv(F.array_join(pairs, ""), 16, 10).cast("bigint")
-
-
-def container_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, frames) from the header of each IVF file."""
-    rows = spark.read.format("binaryFile").load(path).filter(F.col("length") >= FILE_HEADER)
-    head = F.substring("content", 1, FILE_HEADER)
-    return rows.select("path", *(little_endian(head, at, n).alias(c) for c, at, n in (("width", 12, 2), ("height", 14, 2), ("frames", 24, 4))))
-
-
-def container_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(path, frame, time, data) of each whole frame; a frame that is cut short ends its file."""
+def path_listing(spark: SparkSession, path: str) -> DataFrame:
+    """The listing of a folder, or of the one file that ``path`` names; a path that is missing gives no rows."""
+    try:
+        return listing(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return _named(spark.createDataFrame([], _LISTING))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, at = [], FILE_HEADER
-                while at + FRAME_HEADER <= len(content):
-                    size, time = int.from_bytes(content[at : at + 4], "little"), int.from_bytes(content[at + 4 : at + 12], "little")
-                    at += FRAME_HEADER + size
-                    if at > len(content):
-                        break
-                    rows.append((name, len(rows), time, content[at - size : at]))
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "frame", "time", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, frame bigint, time bigint, data binary")
+def path_counts(spark: SparkSession, path: str, live: DataFrame, organisation: str) -> DataFrame:
+    """One row (added, skipped, already_encoded) of the media below a folder, or of one file; zeros if the path is missing or holds none.
 
+    ``live`` has the paths of jobs that are waiting or running (input_path), as full URIs.
+    """
+    from ..operators.library import scan_counts
 
-def path_listing(spark: SparkSession, path: str) -> DataFrame:
-    """The listing of a folder, or of the one file that ``path`` names; a path that is missing gives no rows."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return _named(spark.createDataFrame([], _LISTING))
-    return listing(spark, path)
+    counts = scan_counts(path_listing(spark, path).select("path", F.lit(path).alias("root")), live, organisation)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return counts.agg(total("added"), total("skipped"), total("already_encoded"))
 
 
 def write_offset_zones(zones: DataFrame, offset: int, path: str, key: str = "video") -> None:

@@ -1,14 +1,11 @@
-"""The stability gate: a file is ready after its size was the same, and not 0, for some polls in a row."""
+"""The stability gate in batch (streaming.polling has it on streams): a file is ready after its size was the same, and not 0, for some polls in a row."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 POLL_SECONDS, COOLDOWN_SECONDS = 10, 30
@@ -31,29 +28,3 @@ def ready_files(polls: DataFrame, needed: int) -> DataFrame:
     """(path, poll, size): the first poll at which each file is ready, in batch; null sizes are files that vanished."""
     runs = stable_counts(polls.withColumn("size", F.coalesce("size", F.lit(-1))))
     return runs.filter((F.col("stable") >= needed) & (F.col("size") > 0)).groupBy("path").agg(F.min(F.struct("poll", "size")).alias("first")).select("path", "first.*")
-
-
-def gate(polls: DataFrame, needed: int) -> DataFrame:
-    """The same on a stream of (path, poll, size): a row when a file becomes ready, once.
-
-    A file that vanishes is forgotten; one that was ready is remembered and not reported again.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, stable, done = state.get if state.exists else (-1, 0, False)
-        rows = pd.concat(list(batches)).sort_values("poll")
-        for poll, now in zip(rows["poll"], rows["size"], strict=True):
-            if done:
-                break
-            if pd.isna(now):
-                size, stable = -1, 0
-                continue
-            stable = stable + 1 if now == size else 0
-            size = int(now)
-            if stable >= needed and size > 0:
-                done = True
-                yield pd.DataFrame({"path": [key[0]], "poll": [int(poll)], "size": [size]})
-        state.update((size, stable, done))
-
-    kind = dict(polls.dtypes)["path"]
-    return polls.groupBy("path").applyInPandasWithState(step, f"path {kind}, poll bigint, size bigint", "size bigint, stable bigint, done boolean", "append", GroupStateTimeout.NoTimeout)

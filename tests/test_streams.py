@@ -1,15 +1,18 @@
 """Streams give what their batch twins give, and sources read what sinks write."""
 
+import base64
 import json
 import os
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import events
-from millrace.sources import config, files
-from millrace.streaming import progress, stability
+from millrace.operators import lines
+from millrace.sources import config, containers, files
+from millrace.streaming import polling, progress, sinks, stability
 
 
 def drained(stream, name, mode="append"):
@@ -36,7 +39,12 @@ def test_stability_gate(spark, tmp_path):
     sizes = {"a": [5, 5, 5, 5, 5], "b": [1, 2, 2, 3, 3, 3], "c": [0, 0, 0, 0], "d": [7, 7, None, 7, 7], "e": [4, 4, None, 4, 4, 4]}
     rows = sorted([(p, i, s) for p, xs in sizes.items() for i, s in enumerate(xs)], key=lambda r: r[1])
     schema = "path string, poll bigint, size bigint"
-    got = drained(stability.gate(streamed(spark, tmp_path, rows, schema), 2), "gate")
+    query = polling.gate(streamed(spark, tmp_path, rows, schema), 2, 3_600_000).writeStream.format("memory").queryName("gate").start()
+    until = time.time() + 60  # a state with timers is looked at again and again, so there is no end of the available data
+    while sum(p.numInputRows for p in query.recentProgress) < len(rows) and time.time() < until:
+        time.sleep(0.5)
+    query.stop()
+    got = spark.table("gate")
     twin = stability.ready_files(spark.createDataFrame(rows, schema), 2)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, twin.collect())) == [("a", 2, 5), ("b", 5, 3), ("e", 5, 4)]
     assert stability.polls_needed(25) == 3
@@ -78,13 +86,123 @@ def test_metric_log(spark, tmp_path):
         files.metric_log(spark, str(tmp_path / "bad")).collect()
 
 
+def polled_once(stream, out, checkpoint):
+    """One micro-batch: a poll and what it makes ready."""
+    query = sinks.written_once(stream, out, checkpoint).trigger(once=True).start()
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_folder_is_polled_until_files_are_ready(spark, tmp_path):
+    """A growing file, a steady one, one that vanishes and comes back; the query is stopped and started at every poll."""
+    folder = tmp_path / "library" / "sub"
+    folder.mkdir(parents=True)
+    sizes = {"grows": [1, 2, 3, 3, 3, 3], "steady": [5] * 6, "goes": [4, 4, None, 4, 4, 4], "empty": [0] * 6}
+    out, log, checkpoint = (str(tmp_path / n) for n in ("out", "log", "checkpoint"))
+    for k in range(6):
+        for name, xs in sizes.items():
+            file = folder / f"{name} %20.mkv"
+            file.unlink(missing_ok=True) if xs[k] is None else file.write_bytes(b"x" * xs[k])
+        polled_once(polling.gate(polling.polls(spark, str(tmp_path / "library"), log, 0), 2, 3_600_000), out, checkpoint)
+    rows = [(f"{folder}/{n} %20.mkv", k + 1, x) for n, xs in sizes.items() for k, x in enumerate(xs)]
+    twin = stability.ready_files(spark.createDataFrame(rows, "path string, poll bigint, size bigint"), 2)
+    got = sorted(map(tuple, sinks.read_written(spark, out).collect()))
+    assert got == sorted(map(tuple, twin.collect())) and len(got) == 3
+    assert len(list((tmp_path / "log").glob("*.json"))) <= 2  # listings that are worked off go
+
+
+def test_gate_forgets(spark, tmp_path):
+    folder = tmp_path / "library"
+    folder.mkdir()
+    (folder / "a.mkv").write_bytes(b"x")
+    out, log, checkpoint = (str(tmp_path / n) for n in ("out", "log", "checkpoint"))
+    held = lambda: spark.read.format("statestore").load(checkpoint).count()
+    for _ in range(2):
+        polled_once(polling.gate(polling.polls(spark, str(folder), log, 0), 1, 8_000), out, checkpoint)
+    assert held() == 1 and sinks.read_written(spark, out).count() == 1
+    (folder / "a.mkv").unlink()
+    time.sleep(9)
+    for _ in range(2):
+        (folder / "b.mkv").write_bytes(b"")
+        polled_once(polling.gate(polling.polls(spark, str(folder), log, 0), 1, 8_000), out, checkpoint)
+        (folder / "b.mkv").unlink()
+        time.sleep(1)
+    polled_once(polling.gate(polling.polls(spark, str(folder), log, 0), 1, 8_000), out, checkpoint)
+    time.sleep(9)
+    polled_once(polling.gate(polling.polls(spark, str(folder), log, 0), 1, 8_000), out, checkpoint)
+    assert held() == 0
+
+
+def test_a_restarted_stream_writes_each_row_once(spark, tmp_path):
+    rows = [(i, f"r{i}") for i in range(30)]
+    stream = streamed(spark, tmp_path, rows, "id bigint, name string", batches=6)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    failing = {"left": 2}
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        failing["left"] -= 1
+        if failing["left"] == 0:
+            raise RuntimeError("stopped between the files and the commit")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    with pytest.raises(Exception, match="stopped between"):
+        query.processAllAvailable()
+    assert 0 < sinks.read_written(spark, out).count() < 30
+    again = sinks.written_once(stream, out, checkpoint).start()
+    again.processAllAvailable()
+    again.stop()
+    assert sorted(map(tuple, sinks.read_written(spark, out).collect())) == rows
+
+
+def test_lines_out_of_chunks(spark, tmp_path):
+    texts = {1: "one\ntwö\n\nfour", 2: "a\n", 3: "no end", 4: "", 5: "\n\n", 6: "漢字かな\n😀" * 4}
+    rows = []
+    for key, text in texts.items():
+        data = text.encode()
+        cut = [data[i : i + 3] for i in range(0, len(data), 3)] or [b""]
+        rows += [(key, i, c, i == len(cut) - 1) for i, c in enumerate(cut)]
+    want = sorted((k, i, x) for k, t in texts.items() for i, x in enumerate(t.split("\n")[:-1] if t.endswith("\n") or not t else t.split("\n")))
+    chunks = spark.createDataFrame(rows, "key int, seq int, chunk binary, last boolean")
+    assert sorted(map(tuple, lines.lines_of_chunks(chunks).collect())) == want
+    rows.sort(key=lambda r: r[1])
+    encoded = [(k, s, base64.b64encode(c).decode(), last) for k, s, c, last in rows]
+    stream = streamed(spark, tmp_path, encoded, "key int, seq int, chunk string, last boolean", batches=8).withColumn("chunk", F.unbase64("chunk"))
+    assert sorted(map(tuple, drained(lines.lines_as_they_end(stream), "ended_lines").collect())) == want
+
+
+def ivf(frames, tail=b""):
+    head = b"DKIF" + struct.pack("<HH4sHHIIII", 0, 32, b"AV01", 640, 360, 30, 1, len(frames), 0)
+    return head + b"".join(struct.pack("<IQ", len(x), t) + x for t, x in enumerate(frames)) + tail
+
+
 def test_containers(spark, tmp_path):
-    head = b"DKIF" + struct.pack("<HH4sHHIIII", 0, 32, b"AV01", 640, 360, 30, 1, 3, 0)
-    body = b"".join(struct.pack("<IQ", len(x), t) + x for t, x in enumerate((b"one", b"three")))
-    (tmp_path / "a.ivf").write_bytes(head + body + struct.pack("<IQ", 99, 7) + b"cut")
-    row = files.container_headers(spark, str(tmp_path)).first()
-    assert (row.width, row.height, row.frames) == (640, 360, 3)
-    assert [(r.frame, r.time, bytes(r.data)) for r in files.container_frames(spark, str(tmp_path)).orderBy("frame").collect()] == [(0, 0, b"one"), (1, 1, b"three")]
+    folder = tmp_path / "c d"
+    folder.mkdir()
+    (folder / "a.ivf").write_bytes(ivf([b"one", b"three"], struct.pack("<IQ", 99, 7) + b"cut"))
+    large = [bytes([i % 251]) * (i * 37 % 5_000) for i in range(400)]
+    (folder / "b.ivf").write_bytes(ivf(large))
+    (folder / "short.ivf").write_bytes(b"DKIF")
+    (folder / "none.ivf").write_bytes(ivf([]))
+    heads = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.frames) for r in containers.container_headers(spark, str(folder)).collect()}
+    assert heads == {"a.ivf": (640, 360, 2), "b.ivf": (640, 360, 400), "none.ivf": (640, 360, 0)}
+    got = containers.container_frames(spark, str(folder), 100_000).withColumn("task", F.spark_partition_id()).collect()
+    by = {n: sorted((r.frame, r.time, bytes(r.data)) for r in got if r.path.endswith(n)) for n in ("a.ivf", "b.ivf")}
+    assert by["a.ivf"] == [(0, 0, b"one"), (1, 1, b"three")]
+    assert by["b.ivf"] == [(i, i, x) for i, x in enumerate(large)]
+    assert len({r.task for r in got if r.path.endswith("b.ivf")}) > 1
+
+
+def test_headers_alone_are_read():
+    data = ivf([bytes(200_000)] * 5)
+    asked = []
+
+    def read(at, size):
+        asked.append(size)
+        return data[at : at + size]
+
+    assert [n for _, n, _ in containers.walked(read, len(data))] == [200_000] * 5
+    assert sum(asked) == 5 * containers.FRAME_HEADER
 
 
 def test_scene_file_and_config(spark, tmp_path):
@@ -101,6 +219,12 @@ def test_path_listing(spark, tmp_path):
         (tmp_path / name).write_text("1")
     names = lambda p: sorted(r.name for r in files.path_listing(spark, str(p)).collect())
     assert names(tmp_path) == ["a.mkv", "b.mkv"] and names(tmp_path / "a.mkv") == ["a.mkv"] and names(tmp_path / "none") == []
+    live = spark.createDataFrame([], "input_path string")
+    counts = lambda p: tuple(files.path_counts(spark, str(p), live, "org").first())
+    (tmp_path / "x-org.mkv").write_text("1")
+    (tmp_path / "y.txt").write_text("1")
+    assert counts(tmp_path) == (2, 0, 1) and counts(tmp_path / "a.mkv") == (1, 0, 0)
+    assert counts(tmp_path / "y.txt") == counts(tmp_path / "none") == (0, 0, 0)
 
 
 def test_scene_and_zone_writers(spark, tmp_path):
