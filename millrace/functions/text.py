@@ -10,6 +10,9 @@ MEDIA_EXTENSIONS = ("mp4", "mkv", "avi", "webm", "flv", "ts", "mov")
 #: Source tags in order of priority, with their spelling in names.
 SOURCE_TAGS = (("REMUX", "Bluray"), ("WEBDL", "WEBDL"), ("WEBRIP", "WEBRip"), ("BLURAY", "Bluray"), ("HDTV", "HDTV"), ("DVD", "DVD"), ("SDTV", "SDTV"), ("CAM", "CAM"))
 DEFAULT_SOURCE_TAG = "Bluray"
+#: Resolution tags with the least width or height of each; below them, and without a size.
+RESOLUTION_TAGS = (("2160p", 3200, 2100), ("1080p", 1800, 1000), ("720p", 1200, 700), ("576p", 1000, 560))
+SMALLEST_TAG, DEFAULT_TAG = "480p", "1080p"
 #: Fixed value: the pattern of codec names in audio titles; they become the new codec's name.
 CODEC_NAMES = r"(?i)\b(?:TrueHD(?:\s+Atmos)?|E-?AC-?3|DDP?|AC-?3|DTS(?:-?HD(?:[\s-]?MA)?|-?ES|-?X|-?MA)?|FLAC|AAC|L?PCM|MP3|Vorbis|WMA|Opus|Atmos)\b"
 #: What each job status is called.
@@ -107,14 +110,15 @@ def sanitized_title(title: Column) -> Column:
 
 
 def resolution_tag(width: Column, height: Column) -> Column:
-    return (
-        F.when((width >= 3200) | (height >= 2100), "2160p")
-        .when((width >= 1800) | (height >= 1000), "1080p")
-        .when((width >= 1200) | (height >= 700), "720p")
-        .when((width >= 1000) | (height >= 560), "576p")
-        .when((width > 0) & (height > 0), "480p")
-        .otherwise("1080p")
-    )
+    tag = F.when((width > 0) & (height > 0), SMALLEST_TAG).otherwise(DEFAULT_TAG)
+    for label, least_width, least_height in reversed(RESOLUTION_TAGS):
+        tag = F.when((width >= least_width) | (height >= least_height), label).otherwise(tag)
+    return tag
+
+
+def frames_label(current: Column, total: Column) -> Column:
+    """``1,234 / 5,678 frames``."""
+    return F.concat(F.format_number(current, 0), F.lit(" / "), F.format_number(total, 0), F.lit(" frames"))
 
 
 def output_name(title: Column, tag: Column, resolution: Column, audio: Column, organisation: str) -> Column:

@@ -37,6 +37,13 @@ def next_job(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("status") == "queued").orderBy("queue_order", "id").limit(1)
 
 
+def next_jobs(jobs: DataFrame, queue: str = "queue") -> DataFrame:
+    """The same for each queue, as one aggregation."""
+    rest = [c for c in jobs.columns if c != queue]
+    first = F.min_by(F.struct(*rest), F.struct("queue_order", "id")).alias("first")
+    return jobs.filter(F.col("status") == "queued").groupBy(queue).agg(first).select(queue, "first.*")
+
+
 def to_enqueue(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     """Candidates (input_path) without a live job of the path; live is neither error nor done."""
     live = jobs.filter(~F.col("status").isin("error", "done")).select("input_path")

@@ -210,7 +210,7 @@ def format_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, format('{:,}', o_orderkey * 37) || ' / ' || format('{:,}', o_custkey * 1000) || ' frames' AS label FROM orders")
 def frames_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.concat(F.format_number(F.col("o_orderkey") * 37, 0), F.lit(" / "), F.format_number(F.col("o_custkey") * 1000, 0), F.lit(" frames"))
+    label = text.frames_label(F.col("o_orderkey") * 37, F.col("o_custkey") * 1000)
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), label.alias("label"))
 
 
@@ -435,3 +435,49 @@ def hdr_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size % 2 == 0, "BT.2020").otherwise("Display P3").alias("colour"),
     )
     return rows.select("id", *flags(F.col("transfer"), F.col("format")), primaries_code(F.col("colour")).cast("bigint").alias("primaries"))
+
+
+HDR = """hdr AS (SELECT p_partkey AS id, p_size AS n FROM part)"""
+
+
+@query(f"""WITH {HDR} SELECT id, CASE WHEN n % 2 = 0 THEN 16 END::BIGINT AS transfer, CASE WHEN n % 3 = 0 THEN 9 END::BIGINT AS primaries, CASE WHEN n % 5 = 0 THEN 9 END::BIGINT AS matrix,
+CASE WHEN n % 7 = 0 THEN 1 END::BIGINT AS range, CASE WHEN n % 4 > 0 AND n % 3 > 0 THEN n * 10 END::BIGINT AS content, CASE WHEN n % 4 > 0 AND n % 3 > 0 THEN n END::BIGINT AS frame,
+CASE WHEN n % 6 > 0 THEN (n % 6)::DOUBLE / 1000.0::DOUBLE END AS least, CASE WHEN n % 6 > 0 THEN (n * 20)::DOUBLE END AS most,
+CASE WHEN n % 9 = 0 THEN NULL WHEN n % 9 < 5 THEN 0.68::DOUBLE ELSE 0.708::DOUBLE END AS red_x, CASE WHEN n % 9 > 0 THEN 0.3127::DOUBLE END AS white_x FROM hdr""")
+def hdr_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a media probe prints of each part: names and values, line by line, some of which are missing or no numbers."""
+    from ..operators import probe
+
+    n = F.col("p_size")
+    line = lambda name, value, when=F.lit(True): F.when(when, F.concat(F.lit(f"{name} : "), value.cast("string"), F.lit("\n"))).otherwise("")
+    said = F.concat(
+        line("transfer_characteristics", F.when(n % 2 == 0, "PQ").otherwise("BT.709")), line("colour_primaries", F.when(n % 3 == 0, "BT.2020").otherwise("Display P3")),
+        line("matrix_coefficients", F.lit("BT.2020 non-constant"), n % 5 == 0), line("colour_range", F.when(n % 7 == 0, "Limited").otherwise("Full")),
+        line("MaxCLL", F.when(n % 4 > 0, F.concat((n * 10).cast("string"), F.lit(" cd/m2"))).otherwise("n/a")), line("MaxFALL", n, n % 3 > 0),
+        line("MasteringDisplay_Luminance", F.concat(F.lit("min: "), ((n % 6) / 1000.0).cast("string"), F.lit(" cd/m2, max: "), (n * 20).cast("string"), F.lit(" cd/m2")), n % 6 > 0),
+        line("MasteringDisplay_ColorPrimaries", F.when(n % 9 < 5, "Display P3").otherwise("BT.2020"), n % 9 > 0),
+    )
+    found = probe.hdr_metadata(probe.probe_fields(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), said.alias("text"))))
+    whole = lambda c: F.col(c).cast("bigint").alias(c.split(".")[-1])
+    return found.select(
+        F.col("file").alias("id"), *map(whole, ("transfer", "primaries", "matrix", "range", "levels.content", "levels.frame")), "luminance.least", "luminance.most",
+        F.get("chromaticity", F.lit(0)).alias("red_x"), F.get("white", F.lit(0)).alias("white_x"),
+    )
+
+
+@query("""SELECT p_partkey AS id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Tags>' || chr(10) || '  <Tag>' || chr(10) ||
+'    <Simple>' || chr(10) || '      <Name>BRAND</Name>' || chr(10) || '      <String>' || p_brand || ' &amp; &lt;co&gt;</String>' || chr(10) || '    </Simple>' || chr(10) ||
+'    <Simple>' || chr(10) || '      <Name>TITLE</Name>' || chr(10) || '      <String>' || p_name || ' &quot;' || p_size || '&quot;</String>' || chr(10) || '    </Simple>' || chr(10) ||
+'  </Tag>' || chr(10) || '</Tags>' || chr(10) AS document FROM part""")
+def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.files import tag_document
+
+    tags = F.create_map(F.lit("TITLE"), F.concat("p_name", F.lit(' "'), F.col("p_size").cast("string"), F.lit('"')), F.lit("BRAND"), F.concat("p_brand", F.lit(" & <co>")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tag_document(tags).alias("document"))
+
+
+@query("SELECT p_partkey AS id, (p_size * 80)::BIGINT * (p_size * 45) > 1920 * 1080 AS high FROM part")
+def high_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scenes import high_resolution as is_high
+
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), is_high(F.col("p_size") * 80, F.col("p_size") * 45).alias("high"))

@@ -290,3 +290,11 @@ def lines_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("bytes"), F.lit(1)) - 1) / 7).cast("int"))
     cut = content.select("doc_id", "bytes", F.explode(starts).alias("seq"))
     return put_together(cut.select("doc_id", "seq", F.substring(F.col("bytes"), F.col("seq") * 7 + 1, F.lit(7)).alias("chunk")), "doc_id")
+
+
+@query(f"WITH {FRAMES} SELECT video, frame, score, score - frame % 3 AS encoded FROM frames")
+def paired_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame next to the one that stands for it in an encoded video of as many frames."""
+    rows = frames(spark, sf_dir).select("video", "frame", "score")
+    encoded = rows.select("video", "frame", (F.col("score") - F.col("frame") % 3).alias("encoded"))
+    return intervals.paired_frames(rows, encoded).select("video", "frame", "score", "encoded")

@@ -52,6 +52,19 @@ def enqueue_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.to_enqueue(candidates, jobs(spark, sf_dir).withColumnRenamed("queue", "input_path"))
 
 
+@query(f"WITH {JOBS} SELECT queue, min(id) AS id FROM jobs WHERE status = 'queued' GROUP BY queue")
+def next_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.next_jobs(jobs(spark, sf_dir)).select("queue", "id")
+
+
+@query("SELECT p_partkey AS input_path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R')")
+def enqueue_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files; first line items as their jobs, done where they were returned."""
+    status = F.when(F.col("l_returnflag") == "R", "done").when(F.col("l_returnflag") == "A", "muxing").otherwise("queued")
+    live = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("input_path"), status.alias("status"))
+    return queue.to_enqueue(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("input_path")), live)
+
+
 @query(f"""WITH {QUEUED}, n AS (SELECT *, row_number() OVER w AS k, lag(queue_order) OVER w AS before, lead(queue_order) OVER w AS after, lead(row_number) OVER w AS nk FROM
 (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY queue_order, id) AS row_number FROM queued) WINDOW w AS (PARTITION BY queue ORDER BY queue_order, id))
 SELECT queue, id, CASE WHEN k = 3 THEN before WHEN nk = 3 THEN after ELSE queue_order END AS new_order FROM n""")

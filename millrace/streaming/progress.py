@@ -14,13 +14,20 @@ from ..operators.events import step_of_stage
 SECOND_MS = 1_000
 
 
-def throttled(events: DataFrame, key: str = "id", least_ms: int = SECOND_MS) -> DataFrame:
+def _timeout(keep_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+
+
+def throttled(events: DataFrame, key: str = "id", least_ms: int = SECOND_MS, keep_ms: int | None = None) -> DataFrame:
     """Events (key, seq, at) that are ``least_ms`` or more after the last one that was let through.
 
-    One clock for each key, whatever the stage.
+    One clock for each key, whatever the stage.  With ``keep_ms``, which should be above ``least_ms``, a key is forgotten so long after its last event.
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         kept = []
         for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
@@ -28,16 +35,24 @@ def throttled(events: DataFrame, key: str = "id", least_ms: int = SECOND_MS) ->
                 last = int(row.at)
                 kept.append((name[0], int(row.seq), last))
         state.update((last,))
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(kept, columns=[key, "seq", "at"])
 
     kind = dict(events.dtypes)[key]
-    return events.select(key, "seq", "at").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq bigint, at bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, "seq", "at").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq bigint, at bigint", "last bigint", "append", _timeout(keep_ms))
 
 
-def step_states(events: DataFrame) -> DataFrame:
-    """The state of each step after each micro-batch, from events (id, seq, at, event, stage, current, total)."""
+def step_states(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """The state of each step after each micro-batch, from events (id, seq, at, event, stage, current, total).
+
+    With ``keep_ms`` a step is forgotten so long after its last event.
+    """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seq, status, progress, started, finished = state.get if state.exists else (-1, "pending", 0.0, None, None)
         for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
             started = int(row.at) if started is None else min(started, int(row.at))
@@ -50,13 +65,15 @@ def step_states(events: DataFrame) -> DataFrame:
                 known = row.event == "progress" and not pd.isna(row.current) and not pd.isna(row.total) and row.total > 0
                 status, progress, finished = "active", math.floor(row.current / row.total * 10_000 + 0.5) / 100 if known else 0.0, None
         state.update((seq, status, progress, started, finished))
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame({"id": [name[0]], "step": [name[1]], "status": [status], "progress": [progress], "started_at": [started], "finished_at": pd.array([finished], "Int64")})
 
     known = events.withColumn("step", step_of_stage(events["stage"])).filter("step is not null and event in ('stage', 'progress', 'stage_complete')")
     kind = dict(events.dtypes)["id"]
     schema = f"id {kind}, step int, status string, progress double, started_at bigint, finished_at bigint"
     kept = "seq bigint, status string, progress double, started_at bigint, finished_at bigint"
-    return known.groupBy("id", "step").applyInPandasWithState(step, schema, kept, "update", GroupStateTimeout.NoTimeout)
+    return known.groupBy("id", "step").applyInPandasWithState(step, schema, kept, "update", _timeout(keep_ms))
 
 
 def first_seen(files: DataFrame, horizon: str | None = None, at: str = "modified") -> DataFrame:

@@ -133,6 +133,18 @@ def test_gate_forgets(spark, tmp_path):
     assert held() == 0
 
 
+def test_a_key_of_the_throttle_is_forgotten(spark, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text('{"id": "a", "seq": 1, "at": 5}\n{"id": "a", "seq": 2, "at": 7}\n')
+    stream = spark.readStream.schema("id string, seq bigint, at bigint").json(str(tmp_path / "in"))
+    for _ in range(3):
+        polled_once(progress.throttled(stream, keep_ms=2_000), out, checkpoint)
+        time.sleep(3)
+    assert [tuple(r) for r in sinks.read_written(spark, out).collect()] == [("a", 1, 5)]
+    assert spark.read.format("statestore").load(checkpoint).count() == 0
+
+
 def test_a_restarted_stream_writes_each_row_once(spark, tmp_path):
     rows = [(i, f"r{i}") for i in range(30)]
     stream = streamed(spark, tmp_path, rows, "id bigint, name string", batches=6)
