@@ -11,6 +11,13 @@ their lengths and the letters that occur an odd number of times allow it; a key
 of many lines is cut into blocks.  Candidates are verified by edit distance in a
 diagonal band, with the differences of a column held in the bits of a long.
 
+A segment that many unlike lines share, as the time stamps of a log, is not a
+sufficient key.  Around it, of at most two edits, all are on its right (then the
+left sides are equal), all on its left, or one is on each side.  So such a key is
+replaced by keys with the equal side and a segment of the other, and by keys with a half
+of either side; those that are still shared by many unlike lines are
+replaced again.  No link is lost by it, and pairs stay in proportion to the lines.
+
 All of it is DataFrame operations.  Equal lines are one node from the start, so
 copies are never paired; they are removed at any length.  Only a caller's own
 ``least_chars`` keeps lines below it, which match equal lines and stay.
@@ -30,22 +37,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import free_names, small_side, staged
+from .shared import BROADCAST_ROWS, free_names, small_side, staged
 
 
 #: Rows of a key that are compared with all its others in one place.
 BLOCK_ROWS = 512
+#: A key of more rows than this is replaced where fewer than this part of them could be within reach of its first one.
+HOT_ROWS, LIKE_PART = 64, 0.5
+#: How often keys are replaced at most; what is left is compared in blocks.
+HOT_ROUNDS = 5
 
 
 class EditJoin(NamedTuple):
     """Lines of ``least_chars`` code points or more link within ``edits`` insertions, deletions and substitutions.
 
-    Fewer are allowed where the longer line has less than ``chars_per_edit`` code points (3 at least) for each.
+    Fewer are allowed where the longer line has less than ``chars_per_edit`` code points (3 at least) for each.  With
+    ``same_digits``, lines whose runs of digits differ do not link.
     """
 
     edits: int = 2
     least_chars: int = 1
     chars_per_edit: int = 6
+    same_digits: bool = False
 
 
 def allowed(size: Column, how: EditJoin) -> Column:
@@ -79,9 +92,10 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
 
 
 def index_rows(lines: DataFrame, how: EditJoin) -> DataFrame:
-    """(key, node, indexed): the line's own segments, and the substrings under which it looks for others.
+    """(key, node, indexed, ...): the line's own segments, and the substrings under which it looks for others.
 
-    The segments of a length are equal parts, the longer ones last; a line looks for those of its own threshold, and
+    ``level`` is the threshold, ``at`` and ``chars`` are the substring's place, ``shorter`` and ``shift`` say by how much the line and what stands
+    before the substring are longer than those of the line that is looked for.  The segments of a length are equal parts, the longer ones last; a line looks for those of its own threshold, and
     indexes those of each threshold that a longer line may have.  One row of the plan's constants is
     made for each probe first, so the generated code stays small enough to be compiled.
     """
@@ -103,7 +117,51 @@ def index_rows(lines: DataFrame, how: EditJoin) -> DataFrame:
     first, chars = F.col("at") + 1, F.col("chars")
     by_bytes, by_symbols = (F.xxhash64("level", "length", "part", F.substring(F.col(c), first, chars)) for c in ("plain", "line"))
     key = F.when(F.col("plain").isNotNull(), by_bytes).otherwise(by_symbols)
-    return rows.select(key.alias("key"), "node", own.alias("indexed"))
+    return rows.select(key.alias("key"), "node", own.alias("indexed"), "level", "line", "at", "chars", "shorter", "shift")
+
+
+def _segment(size: Column, parts: Column, part: Column) -> tuple[Column, Column]:
+    """Start and length of one of ``parts`` equal segments, the longer ones last."""
+    base, long_from = F.floor(size / parts).cast("int"), parts - size % parts
+    return base * part + F.greatest(F.lit(0), part - long_from), base + F.when(part >= long_from, 1).otherwise(0)
+
+
+def narrowed(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, indexed, level, line, at, chars, shorter, shift) of keys that are replaced, as rows of the new keys.
+
+    ``level`` is 1 or 2.  A row with an equal side goes on with the other side as its ``line``; one of a half of either side is
+    ``last``, with hashes of both sides, which must differ.
+    """
+    left, right = F.substring(F.col("line"), F.lit(1), F.col("at")), F.substring(F.col("line"), F.col("at") + F.col("chars") + 1, F.length("line"))
+    rows = rows.withColumns({"left": left, "right": right, "d_left": F.col("shift"), "d_right": F.col("shorter") - F.col("shift")})
+    rows = rows.withColumns({"n_left": F.length("left") - F.col("d_left"), "n_right": F.length("right") - F.col("d_right")})
+    # one side is equal: the other is searched for a segment, as a whole line is
+    steps = [(side, k, j, t) for side in (0, 1) for k in (1, 2) for j in range(k + 1) for t in range(-j, j + 1)]
+    constant = lambda names, values: F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, x, strict=True))) for x in values)))
+    one = rows.select("*", constant(("side", "k", "part", "t"), steps)).filter("k = level")
+    pick = lambda a, b: F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b))
+    one = one.withColumns({"same": pick("left", "right"), "other": pick("right", "left"), "d": pick("d_right", "d_left"), "n": pick("n_right", "n_left"), "d_same": pick("d_left", "d_right")})
+    one = one.filter("d_same = 0 and n >= 0 and abs(d - t) <= level - part")
+    start, chars = _segment(F.col("n"), F.col("level") + 1, F.col("part"))
+    one = one.withColumns({"start": (start + F.col("t")).cast("int"), "long": chars.cast("int")}).filter("start >= 0 and start + long <= length(other)")
+    key = F.xxhash64("key", "side", "part", "same", F.substring(F.col("other"), F.col("start") + 1, F.col("long")))
+    none = F.lit(None).cast("long")
+    one = one.select(
+        key.alias("key"), "node", (F.col("indexed") & (F.col("t") == 0)).alias("indexed"), "level", F.col("other").alias("line"), F.col("start").alias("at"),
+        F.col("long").alias("chars"), F.col("d").alias("shorter"), F.col("t").alias("shift"), F.lit(False).alias("last"), none.alias("of_left"), none.alias("of_right"),
+    )
+    # one edit is on each side: a half of either is unchanged
+    both = rows.filter("level = 2 and abs(d_left) <= 1 and abs(d_right) <= 1 and (n_left > 0 or d_left <> 0) and (n_right > 0 or d_right <> 0) and n_left >= 0 and n_right >= 0")
+    both = both.select("*", constant(("l", "r"), [(0, 0), (0, 1), (1, 0), (1, 1)]))
+    for side, half in (("left", "l"), ("right", "r")):
+        start, chars = _segment(F.col(f"n_{side}"), F.lit(2), F.col(half))
+        both = both.withColumns({f"s_{half}": (start + F.col(half) * F.col(f"d_{side}")).cast("int"), f"c_{half}": chars.cast("int")})
+        both = both.filter(f"s_{half} >= 0 and s_{half} + c_{half} <= length({side})").withColumn(f"h_{half}", F.substring(F.col(side), F.col(f"s_{half}") + 1, F.col(f"c_{half}")))
+    both = both.select(
+        F.xxhash64("key", F.lit(2), "l", "r", "h_l", "h_r").alias("key"), "node", "indexed", "level", F.lit("").alias("line"), F.lit(0).alias("at"), F.lit(0).alias("chars"),
+        "shorter", "shift", F.lit(True).alias("last"), F.xxhash64("left").alias("of_left"), F.xxhash64("right").alias("of_right"),
+    )
+    return one.union(both)
 
 
 def letter_parity(line: Column) -> Column:
@@ -204,6 +262,9 @@ def verified(pairs: DataFrame, texts: DataFrame, how: EditJoin) -> DataFrame:
     for name in "ab":
         rows = rows.join(texts.select(F.col("node").alias(name), F.struct("size", "parity").alias(f"sign_{name}"), F.col("line").alias(f"line_{name}")), name)
     rows = rows.filter(may_link(F.col("sign_a"), F.col("sign_b"), how))
+    if how.same_digits:
+        digits = lambda c: F.regexp_replace(c, "[^0-9]+", " ")
+        rows = rows.filter(digits("line_a") == digits("line_b"))
     rows = rows.withColumn("most", allowed(F.greatest("sign_a.size", "sign_b.size"), how)).drop("sign_a", "sign_b")
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _without_common_start(rows, how.edits).withColumns({"line_a": F.reverse("line_a"), "line_b": F.reverse("line_b")})
@@ -215,23 +276,57 @@ def verified(pairs: DataFrame, texts: DataFrame, how: EditJoin) -> DataFrame:
     return staged(rows.filter(near).select("a", "b"), "line-links")
 
 
-def line_links(docs: DataFrame, how: EditJoin) -> DataFrame:
-    """Every link (a, b) of the edit join between distinct nodes, once each."""
-    lines = lines_of(docs)
+def _signed(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members (key, node, indexed) with the number of their key's rows, and the parity and size of their lines; a stored table."""
+    sizes = small_side(staged(members.groupBy("key").agg(F.count("*").alias("rows")), "line-key-sizes"))
+    return staged(members.join(sizes, "key").join(texts.select("node", "parity", "size"), "node"), "line-signed")
+
+
+def _hot_keys(signed: DataFrame, how: EditJoin) -> DataFrame:
+    """Keys (key) of many rows most of which cannot link with the first of them; a stored table."""
+    many = signed.filter(F.col("rows") > HOT_ROWS)
+    heads = many.groupBy("key").agg(F.min_by(F.struct("parity", "size"), "node").alias("head"))
+    near = may_link({c: F.col(f"head.{c}") for c in ("parity", "size")}, {c: F.col(c) for c in ("parity", "size")}, how)
+    shares = many.join(heads, "key").groupBy("key").agg(F.avg(near.cast("int")).alias("like"))
+    return staged(shares.filter(F.col("like") < LIKE_PART).select("key"), "line-hot-keys")
+
+
+def candidates(lines: DataFrame, how: EditJoin) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes that may link, once each, and the texts (node, line, size, parity) of all nodes that met; stored tables."""
     rows = index_rows(lines, how)
     met = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"))
     met = small_side(staged(met.filter("low <> high and any").select("key"), "line-keys"))
     members = rows.join(met, "key").groupBy("key", "node").agg(F.max("indexed").alias("indexed"))
     members = staged(members, "line-members")
-    blocks = F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int")
-    sizes = small_side(staged(members.groupBy("key").agg(blocks.alias("blocks")), "line-key-sizes"))
 
     nodes = small_side(staged(members.select("node").distinct(), "line-nodes"))
     texts = lines.filter(F.col("size") >= how.least_chars).select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     texts = staged(texts.select("node", "line", F.length("line").alias("size"), letter_parity(F.col("line")).alias("parity")), "line-texts")
 
-    signed = staged(members.join(sizes, "key").join(texts.select("node", "parity", "size"), "node"), "line-signed")
+    signed = _signed(members, texts)
+    settled: list[DataFrame] = []
+    for _ in range(HOT_ROUNDS if how.edits <= 2 else 0):
+        hot = _hot_keys(signed.filter("not last") if "last" in signed.columns else signed, how)
+        n_hot = hot.count()
+        if not n_hot:
+            break
+        side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        settled.append(signed.join(side, "key", "left_anti").select("key", "node", "indexed", "rows", "parity", "size"))
+        # every place at which a line meets the others; a line that repeats is one node, so it is taken once
+        place = ["key", "node", "indexed", "level", "line", "at", "chars", "shorter", "shift"]
+        met_there = staged(rows.select(*place).join(side, "key").dropDuplicates([c for c in place if c != "line"]), "line-hot-rows")
+        narrow = staged(narrowed(met_there), "line-narrow-all")
+        apart = F.max("last") & ((F.min("of_left") == F.max("of_left")) | (F.min("of_right") == F.max("of_right")))
+        met = narrow.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"), apart.alias("one_side"))
+        met = small_side(staged(met.filter("low <> high and any and not coalesce(one_side, false)").select("key"), "line-keys"))
+        rows = staged(narrow.join(met, "key"), "line-narrow")
+        members = rows.groupBy("key", "node").agg(F.max("indexed").alias("indexed"), F.max("last").alias("last"))
+        signed = _signed(members, texts)
+    for part in settled:
+        signed = signed.select("key", "node", "indexed", "rows", "parity", "size").union(part)
+
     # a key of many lines is dealt out: each indexed line to one block, the lines that look it up to all
+    signed = signed.withColumn("blocks", F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)).cast("int"))
     dealt = {"left": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "right": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}
     side = lambda rows, x, end: rows.select("key", dealt[end].alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "indexed", "parity", "size")))
     left, right = side(signed.filter("indexed"), "a", "left"), side(signed, "b", "right")
@@ -239,7 +334,13 @@ def line_links(docs: DataFrame, how: EditJoin) -> DataFrame:
     once = (F.col("node_a") < F.col("node_b")) | (~F.col("indexed_b") & (F.col("node_a") != F.col("node_b")))
     pairs = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & once & may_link(sign("a"), sign("b"), how))
     pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    return verified(staged(pairs, "line-pairs"), texts, how)
+    return staged(pairs, "line-pairs"), texts
+
+
+def line_links(docs: DataFrame, how: EditJoin) -> DataFrame:
+    """Every link (a, b) of the edit join between distinct nodes, once each."""
+    pairs, texts = candidates(lines_of(docs), how)
+    return verified(pairs, texts, how)
 
 
 def line_classes(docs: DataFrame, how: EditJoin = EditJoin()) -> DataFrame:

@@ -74,8 +74,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is removed: a row for each document that repeats earlier text, with the documents that keep it."""
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).filter("n_removed > 0")
+    """What is removed of each document, with the documents that keep it."""
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), least_points=1, every_line=True)
+    return spans.drop("text_hash")
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,17 +12,19 @@ that put no blanks between words, each code point is a word.
 Digests of units are grouped over all documents.  The document with the
 smallest doc_id keeps a unit, at its first place.  Other places that touch are
 merged, and removed where they have ``least_points`` code points or are the
-whole text: a short line that many texts share is no passage, and stays.
-The result names the removed spans by code points of the original text.
+whole text.  The result names the removed spans by code points of the original text.
+With ``least_points`` 1 and ``every_line``, as registered, no repeated line stays
+for its size; the defaults leave short lines that many texts share.
 
 A passage inside a line keeps what stands before its first and after its last
 border (half of these ends have four words or fewer).
 
 Defined results: null and blank texts have no units; a line is a unit from
-``LEAST_LINE_WORDS`` words or ``LEAST_LINE_POINTS`` code points on, a paragraph
-or a whole text at any length; rows that repeat a doc_id keep the
-same units, so an identical row changes nothing; rows without doc_id keep all
-but their own repeats.
+``LEAST_LINE_WORDS`` words or ``LEAST_LINE_POINTS`` code points on (with
+``every_line`` from one word on), a paragraph or a whole text at any length; rows
+that repeat a doc_id keep the same units, so an identical row changes nothing, and
+other texts of that doc_id are told apart by ``text_hash``; rows without doc_id
+keep all but their own repeats.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, origin[starts], origin[ends - 1] + 1
 
 
-def units(text: str | None, inside_lines: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def units(text: str | None, inside_lines: bool = True, every_line: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, start and end (code points) of each unit."""
     raw = (text or "").encode("utf-8")
     hashes, starts, ends = _words(raw)
@@ -107,7 +109,7 @@ def units(text: str | None, inside_lines: bool = True) -> tuple[np.ndarray, np.n
     line_firsts = np.concatenate([[0], line_stops[:-1]])
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     line_points = points[ends[line_stops - 1]] - points[starts[line_firsts]]
-    long_lines = (line_stops - line_firsts >= LEAST_LINE_WORDS) | (line_points >= LEAST_LINE_POINTS)
+    long_lines = (line_stops - line_firsts >= LEAST_LINE_WORDS) | (line_points >= LEAST_LINE_POINTS) | every_line
     parts = [(line_firsts[long_lines], line_stops[long_lines], 2), (np.array([0]), np.array([n]), 3)]
     paragraph_stops = np.flatnonzero(new_paragraph) + 1
     if len(paragraph_stops) > 1:
@@ -118,20 +120,20 @@ def units(text: str | None, inside_lines: bool = True) -> tuple[np.ndarray, np.n
     return digests, np.concatenate([points[starts[a]] for a, _, _ in parts]), np.concatenate([points[ends[b - 1]] for _, b, _ in parts])
 
 
-def document_units(docs: DataFrame, inside_lines: bool = True) -> DataFrame:
-    """(doc_id, digests, starts, ends) of each text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digests", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+def document_units(docs: DataFrame, inside_lines: bool = True, every_line: bool = False) -> DataFrame:
+    """(doc_id, text_hash, digests, starts, ends) of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("digests", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(at, OUT_ROWS)
-                made = [units(t.as_py(), inside_lines) for t in part.column(1)]
-                columns = [pa.array([m[0].view(np.int64) for m in made], schema.field(1).type)]
-                columns += [pa.array([m[k].astype(np.int32) for m in made], schema.field(k + 1).type) for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema)
+                made = [units(t.as_py(), inside_lines, every_line) for t in part.column(2)]
+                columns = [pa.array([m[0].view(np.int64) for m in made], schema.field(2).type)]
+                columns += [pa.array([m[k].astype(np.int32) for m in made], schema.field(k + 2).type) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], schema=schema)
 
-    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, digests array<long>, starts array<int>, ends array<int>")
+    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, digests array<long>, starts array<int>, ends array<int>")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -159,32 +161,32 @@ def removed_spans(digests: np.ndarray, starts: np.ndarray, ends: np.ndarray, els
     return gone & inside, spans
 
 
-def repeated_spans(docs: DataFrame, least_points: int = LEAST_POINTS, inside_lines: bool = True) -> DataFrame:
-    """(doc_id, n_units, n_removed, removed_chars, spans, kept_in) of each row.
+def repeated_spans(docs: DataFrame, least_points: int = LEAST_POINTS, inside_lines: bool = True, every_line: bool = False) -> DataFrame:
+    """(doc_id, text_hash, n_units, n_removed, removed_chars, spans, kept_in) of each row.
 
     The spans are what repeats earlier text; kept_in lists the documents that keep it.
     """
-    made = staged(document_units(docs, inside_lines), "units")
+    made = staged(document_units(docs, inside_lines, every_line), "units")
     rows = made.filter("doc_id is not null").select("doc_id", F.explode(F.array_distinct("digests")).alias("digest"))
     owners = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last")
     owners = staged(owners.select("digest", "owner"), "unit-owners")  # about as many as repeated passages: always shuffled
     lost = rows.join(owners, "digest").filter("doc_id <> owner").groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list(F.struct("digest", "owner")).alias("lost"))
     joined = made.join(lost, F.col("doc_id") == F.col("of_doc"), "left")
-    joined = joined.select("doc_id", "digests", "starts", "ends", F.col("lost.digest").alias("elsewhere"), F.col("lost.owner").alias("owners"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_in", pa.list_(pa.int64()))])
+    joined = joined.select("doc_id", "text_hash", "digests", "starts", "ends", F.col("lost.digest").alias("elsewhere"), F.col("lost.owner").alias("owners"))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_in", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 out = []
-                for doc_id, *lists in zip(*batch.slice(at, OUT_ROWS).columns, strict=True):
+                for doc_id, text_hash, *lists in zip(*batch.slice(at, OUT_ROWS).columns, strict=True):
                     digests, starts, ends, elsewhere, owned = (np.asarray(x.values) if x.is_valid else np.empty(0, np.int64) for x in lists)
                     gone, spans = removed_spans(digests, starts, ends, elsewhere, least_points)
                     kept_in = np.unique(owned[np.isin(elsewhere, digests[gone])]).tolist()
-                    out.append((doc_id.as_py(), len(digests), int(gone.sum()), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept_in))
+                    out.append((doc_id.as_py(), text_hash.as_py(), len(digests), int(gone.sum()), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept_in))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return in_batches(joined, run, f"doc_id long, n_units long, n_removed long, removed_chars long, spans {SPANS}, kept_in array<long>")
+    return in_batches(joined, run, f"doc_id long, text_hash long, n_units long, n_removed long, removed_chars long, spans {SPANS}, kept_in array<long>")
 
 
 def cut(text: Column, spans: Column) -> Column:
@@ -198,9 +200,10 @@ def cut(text: Column, spans: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the removed spans cut out of the text; rows of a repeated doc_id need equal texts."""
-    of_doc, removed = free_names(docs, "of_doc", "removed")
-    found = spans.filter("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(of_doc), F.col("spans").alias(removed))
-    joined = docs.join(found, F.col("doc_id") == F.col(of_doc), "left")
+    """``docs`` with the removed spans cut out of the text that they were found in."""
+    of_doc, of_text, removed = free_names(docs, "of_doc", "of_text", "removed")
+    found = spans.filter("n_removed > 0").dropDuplicates(["doc_id", "text_hash"])
+    found = found.select(F.col("doc_id").alias(of_doc), F.col("text_hash").alias(of_text), F.col("spans").alias(removed))
+    same = F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.xxhash64("text") == F.col(of_text))
     text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(removed)))
-    return joined.withColumn("text", text).select(*docs.columns)
+    return docs.join(found, same, "left").withColumn("text", text).select(*docs.columns)

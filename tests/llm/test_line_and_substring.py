@@ -50,7 +50,6 @@ def test_line_classes_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(100)], SCHEMA)
     texts = sorted({x for x in lines if len(x) >= how.least_chars})
     group = {x: x for x in texts}
-    links = {x: 0 for x in texts}
     for i, a in enumerate(texts):
         for b in texts[i + 1 :]:
             if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
@@ -66,7 +65,6 @@ def test_line_classes_equal_brute_force(spark):
         if x:
             assert (r.class_doc, r.class_line) == first[group.get(x, x)]
             assert r.kept == (divmod(n, 4) == first[group.get(x, x)] or len(x) < how.least_chars)
-    assert any(links) or texts
 
 
 LONG = "a line that is long enough to be compared with others"
@@ -223,3 +221,77 @@ def test_passages_of_short_pieces_and_unspaced_scripts(spark):
         assert [tuple(s) for s in got[i + len(whole)].spans] == [(0, len(t))]
     assert got[50].removed_chars > 0.6 * len(menu) and got[51].removed_chars > 0.6 * len(chinese)
     assert not got[52].spans and [tuple(s) for s in got[53].spans] == [(6, 26)]
+
+
+def test_spans_are_cut_from_their_own_text(spark):
+    rng = random.Random(7)
+    copied = passage(rng, 40)
+    rows = [(1, copied), (5, f"{copied}\nnew end"), (5, passage(rng, 60)), (6, f"{copied}\nnew end")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    left = sorted(map(tuple, substring_dedup.deduplicated(docs, substring_dedup.repeated_spans(docs)).collect()))
+    assert left == sorted([(1, copied), (5, "\nnew end"), (5, rows[2][1]), (6, "")])
+
+
+def test_spans_as_registered_equal_brute_force(spark):
+    rng = random.Random(8)
+    pool = [passage(rng, rng.choice([1, 2, 4, 9, 30])) for _ in range(40)]
+    rows = [(i, rng.choice(["\n", "\n\n", " "]).join(rng.sample(pool, rng.randint(1, 6)))) for i in range(90)] + [(200, None), (201, " ")]
+    owner, made = {}, {i: list(zip(*(x.tolist() for x in substring_dedup.units(t, True, True)), strict=True)) for i, t in rows}
+    for i, found in made.items():
+        for digest, *_ in found:
+            owner.setdefault(digest, i)
+    spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA), least_points=1, every_line=True)
+    got = {r.doc_id: r for r in spans.collect()}
+    assert len(got) == len(rows)
+    for i, found in made.items():
+        gone, seen = set(), set()
+        for digest, a, b in found:
+            if owner[digest] != i or digest in seen:
+                gone |= set(range(a, b))
+            seen.add(digest)
+        assert {k for s in got[i].spans for k in range(s.start, s.end)} == gone
+    lines = {}
+    for i, t in rows:  # every line that an earlier document has goes, whatever its size
+        for at, line in enumerate((t or "").split("\n")):
+            if line.split():
+                start = sum(len(x) + 1 for x in t.split("\n")[:at])
+                if lines.setdefault(" ".join(line.split()), i) != i:
+                    assert any(s.start <= start and start + len(line.rstrip()) <= s.end for s in got[i].spans)
+
+
+@pytest.mark.parametrize(("n", "how"), [(150, "start"), (300, "start"), (200, "end"), (200, "middle")])
+def test_lines_with_a_common_part_are_not_all_paired(spark, n, how):
+    rng = random.Random(n)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    common = "2024-05-06T07:08:09.123Z INFO worker 7"
+    lines = {"start": [common + word(24) for _ in range(n)], "end": [word(24) + common for _ in range(n)], "middle": [word(15) + common + word(15) for _ in range(n)]}[how]
+    near = [x[:-3] + y + x[-2:] for x, y in zip(lines[:9], "!?#!?#!?#", strict=True)] + [lines[0][0] + "~" + lines[0][1:], lines[1][:20] + lines[1][21:-5] + lines[1][-4:]]
+    docs = spark.createDataFrame(list(enumerate(lines + near)), SCHEMA)
+    texts = lines + near
+    want = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[i + 1 :] if a != b and distance(a, b) <= 2}
+    pairs, nodes = line_dedup.candidates(line_dedup.lines_of(docs), line_dedup.EditJoin())
+    name = {r.node: r.line for r in nodes.select("node", "line").collect()}
+    met = {frozenset((name[r.a], name[r.b])) for r in pairs.collect()}
+    assert want <= met and len(want) >= 11
+    assert len(met) < 8 * n  # in proportion to the lines, and not to their pairs
+
+
+@pytest.mark.parametrize("like", [0.5, 2.0])
+def test_links_by_narrow_keys_equal_brute_force(spark, monkeypatch, like):
+    """Every key of more than four rows is replaced (2.0: also those whose lines are alike)."""
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 4)
+    monkeypatch.setattr(line_dedup, "LIKE_PART", like)
+    monkeypatch.setattr(line_dedup, "HOT_ROUNDS", 2)
+    rng = random.Random(21)
+    bases = ["".join(rng.choice("abé ") for _ in range(k)).strip() for k in (8, 13, 20, 26)]
+    lines = sorted({varied(rng, rng.choice(bases), "abé") for _ in range(110)} - {""})
+    docs = spark.createDataFrame(list(enumerate(lines)), SCHEMA)
+    want = {x: sum(a != x and distance(a, x) <= min(2, max(len(a), len(x)) // 6) for a in lines) for x in lines}
+    got = line_dedup.line_classes(docs).collect()
+    assert {lines[r.doc_id]: r.n_links for r in got} == want
+
+
+def test_lines_with_other_digits_may_be_told_apart(spark):
+    docs = spark.createDataFrame([(1, "Chapter 2 of the book"), (2, "Chapter 1 of the book"), (3, "Chapter 1 of the books")], SCHEMA)
+    kept = lambda how: [r.doc_id for r in line_dedup.line_classes(docs, how).filter("kept").orderBy("doc_id").collect()]
+    assert kept(line_dedup.EditJoin()) == [1] and kept(line_dedup.EditJoin(same_digits=True)) == [1, 2]

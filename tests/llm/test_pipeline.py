@@ -1,7 +1,11 @@
 """The pipeline's stages on rows made by hand, and the registered queries' contracts."""
 
+import hashlib
+
+import public_tokenizers
 import pytest
 from conftest import DATA
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -47,12 +51,41 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.001").count() > 150
 
 
+def test_run_end_to_end(spark, tmp_path):
+    """Planted cases among the documents: what goes is gone, and what stays is encoded as the library does."""
+    base = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    known = {r.text for r in base.collect()}
+    other = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").filter("lang = 'en' and length(text) > 2500").orderBy("doc_id").collect()
+    prose = [" ".join(r.text.split()[:150]) for r in other if r.text not in known][:6]
+    item = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet").filter("length(text) > 80").first()["text"]
+    words = prose[0].split()
+    planted = {
+        10_001: prose[0], 10_002: " ".join([*words[:70], "anotherword", *words[71:]]), 10_003: prose[1], 10_004: f"{prose[2]}\n{prose[1]}",
+        10_005: "1234 5678 !", 10_006: f"{prose[3]} {item}", 10_007: None, 10_008: f"{prose[4]}\nChapter 1 of the book\n{prose[5][:400]}", 10_009: "",
+    }
+    rows = spark.createDataFrame([(i, t, None, "planted", len(t or "")) for i, t in planted.items()], base.schema)
+    for name, table in (("documents", base.union(rows)), ("benchmark", spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet"))):
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(planted) & set(got) == {10_001, 10_003, 10_004, 10_008}
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    for i, text in {10_001: prose[0], 10_003: prose[1], 10_004: prose[2], 10_008: planted[10_008]}.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    clean = [r.doc_id for r in base.collect() if r.doc_id in got]
+    assert len(clean) > 150
+
+
 @pytest.mark.parametrize("name", [q for q in entry.queries() if q.startswith("op")])
 def test_queries_run_on_whole_tables(spark, name):
     table = "pages" if name.startswith(("op3_", "op9_")) else "documents"
     found = entry.queries()[name](spark, f"{DATA}/sf0.001")
     rows = spark.read.parquet(f"{DATA}/sf0.001/{table}.parquet").count()
     if name.startswith("op10_"):
-        assert 0 < found.count() < rows and found.filter("size(spans) = 0").count() == 0
+        assert found.count() == rows and 0 < found.filter("n_removed > 0").count() < rows
+    elif name.startswith("op12_"):
+        assert found.groupBy("lang").count().filter("count > 2000").isEmpty()
+    elif name.startswith("op13_"):
+        assert found.count() == 32 * spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").count()
     else:
         assert found.count() >= rows
