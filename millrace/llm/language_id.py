@@ -1,6 +1,6 @@
 """Operator 6: language identification by compression.
 
-Each language has a zstandard dictionary of raw text from whole labelled
+Each language has a zstandard dictionary of raw text from labelled
 documents.  A text gets the language whose dictionary makes it smallest; of
 equal sizes, the language with more labelled documents.  Texts are compressed
 whole, in blocks that fit the window next to the dictionary.
@@ -31,11 +31,11 @@ from pyspark.sql.window import Window
 
 from .shared import in_batches, staged
 
-#: The bounded sample: of each language so many documents of so many bytes at most each, whole ones to so many bytes in a dictionary,
-#: and the others to learn the least margin from.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 240, 20_000, 100_000
-#: All dictionaries together; with many languages each gets its part of it.
-ALL_DICTIONARIES_BYTES = 20_000_000
+#: The bounded sample: of each language so many documents, those of so many bytes at most first and of longer ones a part of
+#: so many code points; they fill so many bytes of a dictionary, and the others are there to learn the least margin from.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_POINTS, DICTIONARY_BYTES = 240, 20_000, 5_000, 100_000
+#: All dictionaries together; with many languages each gets its part of it, but not less than it takes to tell languages apart.
+ALL_DICTIONARIES_BYTES, LEAST_DICTIONARY_BYTES = 20_000_000, 10_000
 #: A block and a dictionary fit the window of 128 kB.
 BLOCK_BYTES, WINDOW_LOG = 16_000, 17
 #: The least margin as a part of the second size, and the largest number of bytes that may be learned.
@@ -51,24 +51,31 @@ class Languages(NamedTuple):
 
 
 def fit(labelled: DataFrame) -> Languages:
-    """Dictionaries and least margin from ``labelled`` (doc_id, text, lang); rows that lack text or lang are left out."""
-    usable = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    """Dictionaries and least margin from ``labelled`` (doc_id, text, lang); rows that lack text or lang are left out.
+
+    Every language that has a text gets a dictionary, however long its texts and however many languages there are.
+    """
+    usable = labelled.filter("lang is not null and text <> ''").select("doc_id", "lang", "text")
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Languages([], [])
     # a share of each language's rows that holds the sample with room, so that few rows are ranked
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (4 * SAMPLE_DOCS + 40) / r["count"]))])
     drawn = usable.withColumn("draw", F.xxhash64("doc_id", F.lit("sample"))).filter(F.pmod("draw", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    ranked = drawn.filter(F.octet_length("text") <= SAMPLE_BYTES).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")))
+    long = F.octet_length("text") > SAMPLE_BYTES
+    start = F.pmod("draw", F.greatest(F.lit(1), F.length("text") - SAMPLE_POINTS + 1)).cast("int")  # where the part of a long text is taken
+    part = F.when(long, F.substring(F.col("text"), start + 1, F.lit(SAMPLE_POINTS))).otherwise(F.col("text"))
+    drawn = drawn.select("lang", "doc_id", "draw", long.alias("long"), part.alias("text"))
+    ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("long", "draw", "doc_id", "text")))
     sample = staged(ranked.filter(F.col("place") <= SAMPLE_DOCS).withColumn("text", F.lower("text")), "language-sample")
     before = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    size = min(DICTIONARY_BYTES, ALL_DICTIONARIES_BYTES // len(counts))
-    sample = sample.withColumn("inside", before <= size)
+    size = max(LEAST_DICTIONARY_BYTES, min(DICTIONARY_BYTES, ALL_DICTIONARIES_BYTES // len(counts)))
+    sample = sample.withColumn("inside", (before <= size) | (F.col("place") == 1))
     texts: dict[str, list[str]] = {}
     for r in sample.filter("inside").select("lang", "place", "text").orderBy("lang", "place").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
     names = [r["lang"] for r in counts if r["lang"] in texts]
-    languages = Languages(names, ["\n".join(texts[n]).encode("utf-8") for n in names])
+    languages = Languages(names, ["\n".join(texts[n]).encode("utf-8")[:size].decode("utf-8", "ignore").encode("utf-8") for n in names])
     margin = F.least("margin_bytes", F.lit(MOST_LEAST_BYTES))
     right = F.when(F.col("lang_pred") == F.col("lang"), 1).otherwise(-1)
     trial = identify(sample.filter("not inside").select("lang", "text"), languages).filter("margin_bytes > 0")

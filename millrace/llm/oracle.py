@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality import (
-    _LINK, _NOTICE, _PUNCTUATION, _SENTENCE_END, _SHOUT, _SYMBOLS, BOILERPLATE, LEAST_WORDS, LONG_LINE_WORDS, MANY_MARKS, MANY_SHOUTS, MOST_LINKS, MOST_LOST,
+    _LINK, _NOTICE, _PHRASE, _PUNCTUATION, _SENTENCE_END, _SHOUT, _SYMBOLS, LEAST_PHRASES, LEAST_WORDS, LONG_LINE_WORDS, MANY_MARKS, MANY_SHOUTS, MOST_LINKS, MOST_LOST,
     MOST_REPEATED_PERCENT, MOST_SYMBOLS, NAVIGATION_MARKS, SHORT_LINE_WORDS,
 )
 
@@ -46,7 +46,7 @@ _FAILS = rf"""(length(t) > 0 AND (NOT regexp_matches(t, '\p{{L}}')
   OR ({_MARKS} > 0 AND ({_MARKS} >= {MANY_MARKS}::DOUBLE * {_LINE_WORDS} OR ({_MARKS} >= {NAVIGATION_MARKS} AND NOT regexp_matches(t, {quoted(_SENTENCE_END)}))))
   OR ({_LINE_WORDS} >= {LONG_LINE_WORDS} AND NOT regexp_matches(t, '{_PUNCTUATION}'))
   OR (contains(t, '!') AND len(regexp_extract_all(t, '{_SHOUT}')) > {MANY_SHOUTS}::DOUBLE * {_LINE_WORDS})
-  OR ({_LINE_WORDS} <= {SHORT_LINE_WORDS} AND (regexp_matches(lower(t), {quoted("|".join(BOILERPLATE))}) OR regexp_matches(lower(t), '{_NOTICE}')
+  OR ({_LINE_WORDS} <= {SHORT_LINE_WORDS} AND (length(lower(t)) - length(regexp_replace(lower(t), {quoted(_PHRASE)}, '', 'g')) >= greatest(1, length(lower(t)) * {LEAST_PHRASES}::DOUBLE) OR regexp_matches(lower(t), '{_NOTICE}')
     OR len(regexp_extract_all(lower(t), '{_LINK}')) > {MOST_LINKS}::DOUBLE * {_LINE_WORDS}))
   OR len(regexp_extract_all(t, {quoted(r"[^\p{L}\p{N}\s.,;:!?'" + chr(34) + r"()\-]")})) > length(t) * {MOST_SYMBOLS}::DOUBLE))"""
 QUALITY = f"""

@@ -3,8 +3,8 @@
 Lines that fail a rule are taken out first: by punctuation (long lines without
 any, and lines in which repeated exclamation or question marks abound), lines
 that are navigation, lines that are boilerplate (links, copyright notices, and
-the phrases of web templates in several languages), lines without letters, and
-lines of symbols.  A text that loses more than ``MOST_LOST`` of its word
+lines that consist of the phrases of web templates, as whole words, to a good
+part), lines without letters, and lines of symbols.  A text that loses more than ``MOST_LOST`` of its word
 characters is rejected, as is one whose base measures fail.  All of it is
 expressions on one row: no shuffle, no Python.
 
@@ -32,6 +32,8 @@ MOST_LOST = 0.5
 NAVIGATION_MARKS, MANY_MARKS = 3, 0.3
 #: Boilerplate removes lines of so many words or fewer.
 SHORT_LINE_WORDS = 16
+#: The part of such a line's characters that whole phrases make up: a sentence that only holds one stays.
+LEAST_PHRASES = 0.3
 #: A line of so many words has some punctuation; a line has fewer runs of exclamation and question marks a word.
 LONG_LINE_WORDS, MANY_SHOUTS = 20, 0.3
 #: The part of a line's words that may be links.
@@ -45,12 +47,14 @@ _BLANKS = r"[\x20\x09-\x0D]+"
 _SYMBOLS = r"[#*$%&|<>]"
 #: Beginnings or whole phrases of lines that web templates add.
 BOILERPLATE = (
-    "all rights reserved", "copyright ", "cookie", "click here", "javascript", "lorem ipsum", "privacy policy",
+    "all rights reserved", "copyright", "cookie", "cookies", "click here", "javascript", "lorem ipsum", "privacy policy",
     "read more", "share this", "sign in", "sign up", "skip to", "subscribe", "terms of use", "terms of service",
-    "alle rechte vorbehalten", "datenschutzerkl", "impressum", "weiterlesen", "jetzt anmelden",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "weiterlesen", "jetzt anmelden",
     "tous droits réservés", "politique de confidentialité", "mentions légales", "lire la suite", "se connecter",
     "todos los derechos reservados", "política de privacidad", "aviso legal", "leer más", "iniciar sesión",
 )
+#: A phrase as whole words.
+_PHRASE = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?:$|[^\p{L}\p{N}])"
 #: Links and copyright notices.
 _LINK, _NOTICE = r"https?://|www\.|[\w.+\-]+@[\w\-]+\.\w", r"^(©|\(c\)) ?[0-9]{4}"
 _PUNCTUATION, _SHOUT = r"[.!?…:;,。！？；：，、]", r"[!?]{2,}"
@@ -84,7 +88,8 @@ def fails(m: Column) -> Column:
     punctuation = ((words >= LONG_LINE_WORDS) & ~t.rlike(_PUNCTUATION)) | (t.contains("!") & (F.regexp_count(t, F.lit(_SHOUT)) > MANY_SHOUTS * words))
     navigation = (marks > 0) & ((marks >= MANY_MARKS * words) | ((marks >= NAVIGATION_MARKS) & ~t.rlike(_SENTENCE_END)))
     low = F.lower(t)
-    boilerplate = (words <= SHORT_LINE_WORDS) & (low.rlike("|".join(BOILERPLATE)) | low.rlike(_NOTICE) | (F.regexp_count(low, F.lit(_LINK)) > MOST_LINKS * words))
+    phrases = low.rlike(_PHRASE) & (F.length(low) - F.length(F.regexp_replace(low, _PHRASE, "")) >= F.length(low) * LEAST_PHRASES)
+    boilerplate = (words <= SHORT_LINE_WORDS) & (phrases | low.rlike(_NOTICE) | (F.regexp_count(low, F.lit(_LINK)) > MOST_LINKS * words))
     symbols = F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()\-]")) > size * MOST_SYMBOLS
     return (size > 0) & (~t.rlike(r"\p{L}") | navigation | punctuation | symbols | boilerplate)
 

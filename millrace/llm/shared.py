@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,6 +40,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark names it: without a scheme it is on Spark's default file system, which need not be a local one."""
+    marker = f"{path}/marker"
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(marker)
+    return spark.read.parquet(marker).inputFiles()[0].split("/marker/")[0]
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, as the executors reach it; a path without a scheme is a local one (``full_uri`` gives one)."""
+    return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more; on a file system that only Spark reaches it stays."""
+    try:
+        store, place = store_of(full_uri(spark, path))
+    except (pa.ArrowInvalid, OSError):
+        return
+    store.delete_dir(place)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, label)

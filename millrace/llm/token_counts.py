@@ -1,7 +1,7 @@
 """Operator 2: token counts through a cache of digests.
 
-A text's digest and the digest of the tokenizer file name its count in a
-stored table.  Distinct digests that the table lacks are encoded once, by the
+A text's digest, the digest of the tokenizer file and the version of its library
+name its count in a stored table.  Distinct digests that the table lacks are encoded once, by the
 tokenizer's own library in Arrow batches on the executors, and appended.  Then
 every row takes its count from the table.
 
@@ -47,6 +47,12 @@ def library_counter(spec: bytes, kind: str):
     return lambda texts: [len(e) for e in processor.encode(texts, num_threads=1)]
 
 
+def library_version(kind: str) -> str:
+    from importlib.metadata import version
+
+    return version("tokenizers" if kind == "json" else "sentencepiece")
+
+
 def drops_blanks(spec: bytes, kind: str) -> bool:
     """Whether the tokenizer's pre-tokeniser is known to keep no white space."""
     if kind != "json":
@@ -64,7 +70,7 @@ def token_counts(docs: DataFrame, path: str, cache: str) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, n_bytes, n_tokens); ``cache`` is a folder that all executors share."""
     spark = docs.sparkSession
     spec, kind = vocabulary(path), path.rsplit(".", 1)[-1]
-    version = hashlib.sha256(spec).hexdigest()
+    version = f"{hashlib.sha256(spec).hexdigest()}-{library_version(kind)}"
     sent = spark.sparkContext.broadcast(spec)
     table = f"{cache}/tokenizer={version}"
     stored_schema = "digest binary, n_tokens long"
@@ -90,7 +96,7 @@ def token_counts(docs: DataFrame, path: str, cache: str) -> DataFrame:
     if stored(docs, table):
         distinct = distinct.join(spark.read.schema(stored_schema).parquet(table), "digest", "left_anti")
     in_batches(distinct, count, stored_schema).write.mode("append").option("compression", "zstd").parquet(table)
-    counts = spark.read.schema(stored_schema).parquet(table)
+    counts = spark.read.schema(stored_schema).parquet(table).dropDuplicates(["digest"])  # two writers may have counted a text at the same time
     return keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 

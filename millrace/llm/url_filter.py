@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, staged
 
-#: Rules are literals in the plan; a longer list is refused.
-MOST_RULES = 1_000
+#: Rules up to this number are literals in the plan; more are a table, joined on hosts and beginnings of paths.
+LITERAL_RULES = 200
+#: Rules up to this number are broadcast.
+BROADCAST_RULES = 100_000
 DAMPING = 0.85
 #: Ranks are settled when a round's changes sum to less than this part of a host's mean rank.
 TOLERANCE = 1e-3
@@ -58,8 +60,9 @@ def path_of(url: Column) -> Column:
 
 def ruled(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``pages`` with host, path, rule and the rule's verdict (null without a rule)."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES}")
+    if len(rules) > LITERAL_RULES:
+        table = pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+        return ruled_by_table(pages, table)
     pages = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):  # the last that fits is the longest
@@ -68,6 +71,25 @@ def ruled(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return pages.withColumn("rule", rule).withColumn("verdict", verdict)
 
 
+def ruled_by_table(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same by a table of rules (verdict, host, path) of any size; of equal rules the last verdict in the alphabet counts.
+
+    Each different address looks up its host and the domains above it, cut to the lengths that the paths of their rules have.
+    """
+    pages = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    rules = staged(rules.groupBy(F.col("host").alias("domain"), F.col("path").alias("begins")).agg(F.max("verdict").alias("verdict")), "rules")
+    rules = F.broadcast(rules) if rules.count() <= BROADCAST_RULES else rules
+    lengths = rules.select("domain", F.length("begins").alias("length")).distinct()
+    labels = F.split("host", "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    places = pages.select("host", "path").distinct().withColumn("domain", F.explode(above)).join(lengths, "domain")
+    places = places.filter(F.length("path") >= F.col("length")).withColumn("begins", F.substring(F.col("path"), F.lit(1), F.col("length")))
+    fits = places.join(rules, ["domain", "begins"]).withColumn("rule", F.concat("domain", "begins"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
+    best = best.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best.rule", "best.verdict")
+    return pages.join(best, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left").drop("of_host", "of_path")
+
+
 def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts, with their number."""
     linking = pages.select("host", "html").filter(F.col("html").contains("//") & (F.col("host") != ""))

@@ -28,12 +28,11 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, in_batches, small_side, staged
+from .shared import fresh_path, full_uri, in_batches, small_side, staged, store_of
 
 #: A task starts another file at this size.
 FILE_BYTES = 256 << 20
@@ -96,11 +95,6 @@ def parsed(member: bytes) -> dict:
     }
 
 
-def store_of(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, as the executors reach it."""
-    return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
-
-
 def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in ``folder``; the result is the index, a stored table."""
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
@@ -176,5 +170,5 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder and read every record back."""
-    folder = fresh_path(pages.sparkSession, "warc")
+    folder = full_uri(pages.sparkSession, fresh_path(pages.sparkSession, "warc"))
     return read_records(write_archives(pages, folder), folder)

@@ -209,3 +209,82 @@ def test_distrust_goes_along_a_long_chain(spark, monkeypatch):
     pages = [(0, "http://bad.net/es/", "")] + [(k + 1, f"http://h{k}.org/", link(f"h{k - 1}.org" if k else "bad.net")) for k in range(20)] + [(100 + k, f"http://o{k}.org/", "") for k in range(400)]
     found = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
     assert all(found[k] == ("block" if k <= 20 else "allow") for k in found)
+
+
+def test_many_rules_equal_the_short_list(spark, monkeypatch):
+    rng = random.Random(6)
+    hosts = ["com", "example.com", "www.example.com", "net", "a.net", "b.a.net", "org"]
+    rules = [url_filter.parse_rule(rng.choice(["allow", "block"]), rng.choice(hosts) + "/" + rng.choice(["", "e", "en/", "en/x", "f/"])) for _ in range(25)]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    urls = [f"http://{rng.choice(['', 'm.', 'x.y.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/xy?q', '/e', '/f/', '/g'])}" for _ in range(150)] + [None, "none", "http://", "http://./en/"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    short = sorted(map(str, url_filter.judge(pages, rules).collect()))
+    monkeypatch.setattr(url_filter, "LITERAL_RULES", 3)
+    assert sorted(map(str, url_filter.judge(pages, rules).collect())) == short
+    many = rules + [("block", f"h{i}.zz", "/") for i in range(2_000)]
+    assert sorted(map(str, url_filter.judge(pages, many).collect())) == short
+
+
+def test_no_language_is_lost(spark, monkeypatch):
+    rng = random.Random(5)
+    word = {x: ["".join(rng.choice(x) for _ in range(5)) for _ in range(80)] for x in ("abcdefgh", "ijklmnop", "qrstuvwx")}
+    text = lambda x, n: " ".join(rng.choice(word[x]) for _ in range(n))
+    sizes = {"abcdefgh": 5_500, "ijklmnop": 60, "qrstuvwx": 9_000}  # two languages have long documents only
+    rows = [(i, text(x, sizes[x]), x[:2]) for i, x in enumerate(list(sizes) * 6)]
+    labelled = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    probes = [(i, text(x, 30), x[:2]) for i, x in enumerate(list(sizes) * 5)]
+    for budget in (language_id.ALL_DICTIONARIES_BYTES, 30):
+        monkeypatch.setattr(language_id, "ALL_DICTIONARIES_BYTES", budget)
+        languages = language_id.fit(labelled)
+        assert sorted(languages.names) == ["ab", "ij", "qr"]
+        assert all(0 < len(d) <= language_id.DICTIONARY_BYTES for d in languages.dictionaries)
+        got = language_id.identify(spark.createDataFrame(probes, SCHEMA + ", lang string"), languages).collect()
+        assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_sizes_equal_plain_zstandard(spark):
+    """The winner is that of plain zstandard with the dictionary before the text, and the margin its distance."""
+    import zstandard
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").filter("length(text) between 1 and 16000").collect()]
+    table = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    languages = language_id.fit(table)
+    how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    got = {r.doc_id: r for r in language_id.identify(table.select("doc_id", "text"), languages).collect()}
+    for i, t in docs:
+        data = t.lower().encode()
+        if len(data) > language_id.BLOCK_BYTES or got[i].lang_pred == "und":
+            continue
+        sizes = [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(data)) for d in languages.dictionaries]
+        best, second = sorted(sizes)[:2]
+        assert languages.names[sizes.index(best)] == got[i].lang_pred and got[i].margin_bytes == second - best
+
+
+@pytest.mark.parametrize(
+    ("line", "fails"),
+    [
+        ("He will resign in May.", False), ("The design in question was simple.", False), ("He could not assign up to ten more seats.", False), ("She baked a cookie for the children.", False),
+        ("They read more books in a year than most people do in ten.", False), ("Impressumspflicht gilt auch hier.", False), ("Sign in", True), ("Read more…", True), ("» Cookie policy", True),
+        ("Please subscribe, or sign up", True), ("© 2024 Somebody", True), ("Politique de confidentialité", True), ("Datenschutzerklärung und Impressum", True),
+    ],
+)
+def test_phrases_are_whole_words(spark, line, fails):
+    assert spark.createDataFrame([(line,)], "line string").select(quality.line_fails(F.col("line"))).first()[0] == fails
+
+
+def test_settled_ranks_equal_an_exact_solve(spark):
+    """At the registered tolerance, against the linear system that the ranks solve."""
+    import numpy as np
+
+    hosts = ["a", "b", "c", "d", "e", "f"]
+    edges = [("a", "b", 2), ("b", "c", 1), ("a", "c", 1), ("d", "e", 3), ("e", "d", 1), ("c", "d", 1)]
+    seeds = np.array([0.7, 0, 0, 0, 0, 0.3])
+    flow = np.zeros((6, 6))
+    for s, d, n in edges:
+        flow[hosts.index(d), hosts.index(s)] = n / sum(m for x, _, m in edges if x == s)
+    flow[:, 5] = seeds  # what a host without links holds goes back to the seeds
+    exact = np.linalg.solve(np.eye(6) - url_filter.DAMPING * flow, (1 - url_filter.DAMPING) * seeds)
+    got = url_filter.propagated(spark.createDataFrame(list(zip(hosts, seeds.tolist(), strict=True)), "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, n long"))
+    settled = {r.host: r["rank"] for r in got.collect()}
+    most = url_filter.TOLERANCE / len(hosts) * url_filter.DAMPING / (1 - url_filter.DAMPING)
+    assert all(abs(settled[h] - e) <= most for h, e in zip(hosts, exact, strict=True))

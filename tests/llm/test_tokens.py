@@ -98,3 +98,11 @@ def test_only_misses_are_encoded(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(more, PATH, str(tmp_path)).collect()} == {1: 2, 2: 2, 3: 1, 4: 3}
     assert cache() == 3
     assert token_counts.token_counts(rows.limit(0), PATH, str(tmp_path)).count() == 0
+
+
+def test_a_text_that_was_counted_twice_gives_one_row(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, "c d e")], SCHEMA)
+    token_counts.token_counts(rows, PATH, str(tmp_path)).collect()
+    folder = next(tmp_path.iterdir())
+    spark.read.parquet(str(folder)).write.mode("append").parquet(str(folder))  # as another writer would have
+    assert sorted(map(tuple, token_counts.token_counts(rows, PATH, str(tmp_path)).collect())) == [(1, 3, 2), (2, 5, 3)]
