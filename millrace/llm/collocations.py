@@ -1,14 +1,14 @@
 """Operator 12: phrases of words that stand together, mined on vertical positional inverted lists.
 
-A list is a row (block, phrase, positions): where in a block the phrase's last word stands.  Blocks are runs of whole
-pieces of about ``BLOCK_WORDS`` words of one language, so a phrase's list is cut into as many rows as there are blocks
-and no phrase is in one place, however frequent; the lengths of its rows add up to its exact frequency.
+The text is cut into blocks: runs of whole pieces of about ``BLOCK_WORDS`` words of one language.  A block is a row that holds, for each phrase
+in it, the list of positions of the phrase's last word.  A phrase's list is thus spread over all blocks, and no phrase is in one
+place, however frequent; the lengths of its lists add up to its exact frequency.
 
 1. Words of a block are numbered along it, with a gap between pieces, and each word's list is written.
-2. Words whose lists are long enough stay.  Lists of a block are merged by position, and where one position follows
-   another, the list at the first is extended by the last word of the list at the second.  A phrase of k + 1 words is
-   therefore only made where both of its phrases of k words are frequent.
-3. That is repeated to ``LONGEST`` words; only frequent lists are dealt out by block for the next step.
+2. Lists of frequent words stay.  The lists of a block are merged by position, and where one position follows another, the list
+   at the first is extended by the last word of the list at the second.  A phrase of k + 1 words is therefore only made where both
+   of its phrases of k words are frequent.
+3. That is repeated to ``LONGEST`` words; between two steps only the lengths of lists are shuffled, not the lists.
 4. Frequencies of all parts are joined to the candidates, cut by cut.
 
 Phrases are named by numbers that are stored with them, not by hashes, so counts are exact.
@@ -20,31 +20,41 @@ without any separator is one block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import in_batches, small_side, staged
+from .hashing import mixed
+from .shared import discard, fresh_path, in_batches, staged
 
 #: Bytes that end a piece.
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Words in a block, about; a block's lists are in one task.
-BLOCK_WORDS = 1 << 20
-#: Frequent phrases up to which their names may be broadcast.
-FREQUENT_ROWS = 200_000
+BLOCK_WORDS = 1 << 19
+#: Frequent phrases of a size, and bytes of frequent words, up to which their names are sent to all tasks; beyond that they are joined.
+FREQUENT_ROWS, FREQUENT_BYTES = 500_000, 16 << 20
+#: Names, of all blocks together, that are summed in one place.
+BUCKET_NAMES = 2_000_000
+#: Bytes of a row group of blocks, which a reader holds at once.
+GROUP_BYTES = 16 << 20
 #: Parts of a language whose best phrases are found first.
 PARTS = 64
 
 _BREAK = b"."
 _TO_BREAK = bytes(_BREAK[0] if c in SEPARATORS else c for c in range(256))
-_LISTS = "lang string, block long, word string, positions array<int>"
-_EXTENDED = "lang string, block long, head long, tail long, positions array<int>"
+_PACKED_WORDS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("names", pa.binary()), ("sizes", pa.binary())])
+_PACKED_PAIRS = pa.schema([("bucket", pa.int64()), ("heads", pa.binary()), ("tails", pa.binary()), ("sizes", pa.binary())])
+_WORD_BLOCKS = "lang string, block long, words array<string>, sizes array<int>, gaps array<int>"
+_BLOCKS = "lang string, block long, heads array<long>, tails array<long>, sizes array<int>, gaps array<int>"
 
 
 @dataclass(frozen=True)
@@ -58,8 +68,16 @@ class Mining:
     best: int = 2_000
 
 
-def _flat_lists(positions: np.ndarray, ends: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(positions, pa.int32()))
+def _gaps(positions: np.ndarray) -> pa.Array:
+    """The lists, one behind the other, as the distance of each position from the one before: they take less room."""
+    return pa.array(np.diff(positions, prepend=0).astype(np.int32))
+
+
+def _row(lang: str, block: int, **lists: pa.Array) -> pa.RecordBatch:
+    """One row of arrays."""
+    columns = [pa.array([lang], pa.string()), pa.array([block], pa.int64())]
+    columns += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists.values()]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "block", *lists])
 
 
 class _Block:
@@ -79,11 +97,9 @@ class _Block:
     def lists(self, lang: str, block: int) -> pa.RecordBatch:
         stream = np.concatenate(self.runs)
         order = np.argsort(stream, kind="stable").astype(np.int32)
-        sizes = np.bincount(stream, minlength=len(self.numbers))
+        sizes = np.bincount(stream, minlength=len(self.numbers)).astype(np.int32)
         words = pa.array(list(self.numbers)[1:], pa.binary()).cast(pa.string())
-        lists = _flat_lists(order[sizes[0] :], np.cumsum(sizes[1:]))
-        n = len(words)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, block)), words, lists], names=["lang", "block", "word", "positions"])
+        return _row(lang, block, words=words, sizes=pa.array(sizes[1:]), gaps=_gaps(order[sizes[0] :]))
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -104,8 +120,8 @@ def _parts(tokens: list[bytes], size: int) -> Iterator[list[bytes]]:
     yield tokens[at:]
 
 
-def word_lists(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(lang, block, word, positions) of ``docs`` (text, lang)."""
+def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(lang, block, words, sizes, gaps) of ``docs`` (text, lang): the lists of a block's words one behind the other."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = TaskContext.get().partitionId() << 32, 0
@@ -123,66 +139,209 @@ def word_lists(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             n += 1
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    return in_batches(rows, run, _LISTS)
+    return in_batches(rows, run, _WORD_BLOCKS)
 
 
-def extended(table: pa.Table) -> pa.Table:
-    """Lists (lang, block, id, tail, positions) of one block, each extended by the word that follows.
+def extended(ids: np.ndarray, tails: np.ndarray, sizes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The lists of one block, each extended by the word that follows: heads, tails, sizes and positions.
 
     The lists are merged by position; where the next position is the one after, the two phrases overlap in all but their
     ends, and the occurrence belongs to the list of the first phrase and the second one's last word.
     """
-    table = table.combine_chunks()
-    lang, block = table.column("lang")[0].as_py(), table.column("block")[0].as_py()
-    ids, tails = table.column("id").to_numpy(), table.column("tail").to_numpy()
-    lists = table.column("positions").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    values = lists.flatten().to_numpy()
-    owners = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owners = values[order], owners[order]
-    follows = np.flatnonzero(values[1:] == values[:-1] + 1)
-    head, after, at = ids[owners[follows]], tails[owners[follows + 1]], values[follows + 1]
+    owners = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    order = np.argsort(positions, kind="stable")
+    positions, owners = positions[order], owners[order]
+    follows = np.flatnonzero(positions[1:] == positions[:-1] + 1)
+    head, after, at = ids[owners[follows]], tails[owners[follows + 1]], positions[follows + 1]
     order = np.lexsort((at, after, head))
     head, after, at = head[order], after[order], at[order]
     fresh = np.ones(len(head), dtype=bool)
     fresh[1:] = (head[1:] != head[:-1]) | (after[1:] != after[:-1])
     starts = np.flatnonzero(fresh)
-    n = len(starts)
-    columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, block, dtype=np.int64)), pa.array(head[starts]), pa.array(after[starts])]
-    return pa.Table.from_arrays([*columns, _flat_lists(at, np.append(starts[1:], len(at)) if n else starts)], names=["lang", "block", "head", "tail", "positions"])
+    return head[starts], after[starts], np.diff(np.append(starts, len(at))).astype(np.int32), at
+
+
+class _Words:
+    """Numbers of frequent words by language."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.ids: dict[str, dict[str, int]] = {}
+        for lang, word, number in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "id")), strict=True):
+            self.ids.setdefault(lang, {})[word] = number
+
+    def of(self, row: dict) -> np.ndarray:
+        known = self.ids.get(row["lang"].as_py(), {})
+        return np.array([known.get(w, -1) for w in row["words"].values.to_pylist()], dtype=np.int64)
+
+
+class _Pairs:
+    """Numbers of frequent phrases by head and tail, as a sorted array of the places of both among all heads and all tails."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        head, tail, ids = (rows.column(c).to_numpy() for c in ("head", "tail", "id"))
+        self.heads, self.tails = np.unique(head), np.unique(tail)
+        codes = self._codes(head, tail)
+        order = np.argsort(codes)
+        self.codes, self.ids = codes[order], ids[order]
+
+    def _codes(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.heads, head) * np.int64(len(self.tails) + 1) + np.searchsorted(self.tails, tail)
+
+    def of(self, row: dict) -> np.ndarray:
+        head, tail = row["heads"].values.to_numpy(), row["tails"].values.to_numpy()
+        if not len(self.codes) or not len(head):
+            return np.full(len(head), -1, dtype=np.int64)
+        there = np.isin(head, self.heads) & np.isin(tail, self.tails)
+        codes = self._codes(head, tail)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(there & (self.codes[at] == codes), self.ids[at], -1)
+
+
+def _zipped(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values, dtype=np.int64).tobytes(), 1)
+
+
+def _unzipped(data: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data.as_py()), dtype=np.int64)
+
+
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs with its places, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for places in np.split(order, cuts) if len(order) else ():
+        yield int(bucket[places[0]]), places
+
+
+def _dealt_words(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, lang, names, sizes): the words of a block and the lengths of their lists, packed bucket by bucket."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words, sizes in zip(*(batch.column(c) for c in ("lang", "words", "sizes")), strict=True):
+                names, n = words.values.to_pylist(), sizes.values.to_numpy()
+                bucket = np.fromiter((crc32(w.encode()) % buckets for w in names), dtype=np.int64, count=len(names))
+                rows = [(b, lang.as_py(), zstandard.compress("\n".join([names[i] for i in at]).encode(), 1), _zipped(n[at])) for b, at in _runs(bucket)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "lang", "names", "sizes"), r, strict=True)) for r in rows], schema=_PACKED_WORDS)
 
+    return in_batches(blocks.select("lang", "words", "sizes"), run, "bucket long, lang string, names binary, sizes binary")
 
-def _frequent(lists: DataFrame, name: list[str], least: int) -> DataFrame:
-    """Phrases (lang, *name, f, id) whose lists have ``least`` positions or more in all, each with a number of its own."""
-    counts = lists.groupBy("lang", *name).agg(F.sum(F.size("positions").cast("bigint")).alias("f"))
-    return staged(counts.filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "phrases")
 
+def _dealt_pairs(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, heads, tails, sizes) in the same way; heads are sorted, and packed by their differences."""
 
-def _kept(lists: DataFrame, frequent: DataFrame, name: list[str]) -> DataFrame:
-    """The lists (lang, block, id, tail, positions) of frequent phrases."""
-    names = small_side(frequent.select("lang", *name, "id"), FREQUENT_ROWS)
-    return lists.join(names, ["lang", *name]).select("lang", "block", "id", (F.col("tail") if "tail" in name else F.col("id")).alias("tail"), "positions")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("heads", "tails", "sizes")), strict=True):
+                heads, tails, n = (x.values.to_numpy() for x in row)
+                bucket = (mixed(heads.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mixed(tails.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+                rows = [(b, _zipped(np.diff(heads[at], prepend=0)), _zipped(tails[at]), _zipped(n[at])) for b, at in _runs(bucket)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "heads", "tails", "sizes"), r, strict=True)) for r in rows], schema=_PACKED_PAIRS)
+
+    return in_batches(blocks.select("heads", "tails", "sizes"), run, "bucket long, heads binary, tails binary, sizes binary")
+
+
+def _summed_words(table: pa.Table, least: int) -> pa.Table:
+    counts: dict[tuple[str, str], int] = {}
+    for lang, names, sizes in zip(*(table.column(c) for c in ("lang", "names", "sizes")), strict=True):
+        of = lang.as_py()
+        for word, n in zip(zstandard.decompress(names.as_py()).decode().split("\n"), _unzipped(sizes).tolist(), strict=True):
+            counts[of, word] = counts.get((of, word), 0) + n
+    found = [(*k, n) for k, n in counts.items() if n >= least]
+    return pa.Table.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "f"])
+
+
+def _summed_pairs(table: pa.Table, least: int) -> pa.Table:
+    heads = np.concatenate([np.cumsum(_unzipped(v)) for v in table.column("heads")])
+    tails, sizes = (np.concatenate([_unzipped(v) for v in table.column(c)]) for c in ("tails", "sizes"))
+    order = np.lexsort((tails, heads))
+    heads, tails, sizes = heads[order], tails[order], sizes[order]
+    fresh = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]) | (tails[1:] != tails[:-1])]))
+    f = np.add.reduceat(sizes, fresh)
+    many = f >= least
+    return pa.table({"head": heads[fresh][many], "tail": tails[fresh][many], "f": f[many]})
+
+
+def _frequent(blocks: DataFrame, first: bool, least: int) -> DataFrame:
+    """Phrases (lang and word, or head and tail; f, id) whose lists have ``least`` positions or more in all, each with a number of its own.
+
+    What is shuffled are names and lengths, packed by buckets of about ``BUCKET_NAMES`` of them; a bucket is summed in one place.
+    """
+    names = blocks.agg(F.sum(F.size("sizes").cast("bigint"))).first()[0] or 0
+    buckets = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(names / BUCKET_NAMES))
+    dealt, summed, schema = (_dealt_words, _summed_words, "lang string, word string, f long") if first else (_dealt_pairs, _summed_pairs, "head long, tail long, f long")
+    counts = dealt(blocks, buckets).groupBy("bucket").applyInArrow(lambda table: summed(table, least), schema)
+    return staged(counts.withColumn("id", F.monotonically_increasing_id()), "phrases")
+
+
+def _may_send(frequent: DataFrame, first: bool) -> bool:
+    sizes = frequent.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.octet_length("word")), F.lit(0)) if first else F.lit(0)).alias("bytes")).first()
+    return sizes.n <= FREQUENT_ROWS and sizes.bytes <= FREQUENT_BYTES
+
+
+def _joined(blocks: DataFrame, frequent: DataFrame, first: bool) -> DataFrame:
+    """Blocks with ``kept``: the places and numbers of their frequent lists, found by joins of names without lists."""
+    name, lists = (["lang", "word"], ["words"]) if first else (["head", "tail"], ["heads", "tails"])
+    lead = ["block", "lang"] if first else ["block"]
+    rows = blocks.select(*lead, F.posexplode(F.arrays_zip(*lists)).alias("at", "names")).select(*lead, "at", "names.*")
+    rows = rows.toDF(*lead, "at", *name[-len(lists) :])
+    kept = rows.join(frequent.select(*name, "id"), name).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))
+    return blocks.join(kept, "block").select(*blocks.columns, "kept")
+
+
+def _stored(blocks: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The stored table and its folder.  Blocks are few and large rows, so row groups are cut by bytes at every row."""
+    path = fresh_path(blocks.sparkSession, label)
+    options = {"compression": "zstd", "parquet.block.size": str(GROUP_BYTES), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "2"}
+    blocks.write.options(**options).parquet(path)
+    return blocks.sparkSession.read.schema(blocks.schema).parquet(path), path
+
+
+def _next_blocks(blocks: DataFrame, frequent: DataFrame, first: bool) -> DataFrame:
+    """The blocks of phrases of one word more."""
+    sent = None
+    if _may_send(frequent, first):
+        sent = blocks.sparkSession.sparkContext.broadcast((_Words if first else _Pairs)(frequent.toArrow()))
+    else:
+        blocks = _joined(blocks, frequent, first)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                sizes, positions = row["sizes"].values.to_numpy(), np.cumsum(row["gaps"].values.to_numpy(), dtype=np.int32)
+                if sent is not None:
+                    ids = sent.value.of(row)
+                else:
+                    ids, kept = np.full(len(sizes), -1, dtype=np.int64), row["kept"].values
+                    ids[kept.field(0).to_numpy()] = kept.field(1).to_numpy()
+                stay = ids >= 0
+                tails = ids if first else row["tails"].values.to_numpy()
+                heads, after, n, at = extended(ids[stay], tails[stay], sizes[stay], positions[np.repeat(stay, sizes)])
+                if len(heads):
+                    yield _row(row["lang"].as_py(), row["block"].as_py(), heads=pa.array(heads), tails=pa.array(after), sizes=pa.array(n), gaps=_gaps(at))
+
+    return in_batches(blocks, run, _BLOCKS)
 
 
 def mined(docs: DataFrame, mining: Mining, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of the frequent phrases of 1 to ``longest`` words, and (lang, n): the words of a language."""
-    lists = staged(word_lists(docs, block_words), "lists-1")
-    totals = staged(lists.groupBy("lang").agg(F.sum(F.size("positions").cast("bigint")).alias("n")), "words-by-lang")
-    name = ["word"]
-    frequent = _frequent(lists, name, mining.least)
+    blocks, path = _stored(word_blocks(docs, block_words), "blocks-1")
+    totals = staged(blocks.groupBy("lang").agg(F.sum(F.size("gaps").cast("bigint")).alias("n")), "words-by-lang")
+    frequent = _frequent(blocks, True, mining.least)
     words = frequent.select(F.col("id").alias("tail"), "word")
     phrases = frequent.select("lang", "id", F.col("word").alias("phrase"), "f")
     found = phrases.select("lang", "phrase", F.lit(1).alias("size"), "f")
     for size in range(2, mining.longest + 1):
-        kept = _kept(lists, frequent, name)
-        lists = staged(kept.groupBy("block").applyInArrow(extended, _EXTENDED), f"lists-{size}")
-        name = ["head", "tail"]
-        frequent = _frequent(lists, name, mining.least)
-        heads = phrases.select(F.col("id").alias("head"), "phrase")
+        done = path
+        blocks, path = _stored(_next_blocks(blocks, frequent, size == 2), f"blocks-{size}")
+        discard(docs.sparkSession, done)
+        frequent = _frequent(blocks, False, mining.least)
+        heads = phrases.select(F.col("id").alias("head"), "lang", "phrase")
         phrases = frequent.join(heads, "head").join(words, "tail")
         phrases = staged(phrases.select("lang", "id", F.concat_ws(" ", "phrase", "word").alias("phrase"), "f"), "phrases")
         found = found.union(phrases.select("lang", "phrase", F.lit(size).alias("size"), "f"))
+    discard(docs.sparkSession, path)
     return found, totals
 
 
