@@ -17,10 +17,6 @@ from .scan import block_of, exclusive_percentile, running_sum
 SAMPLE_STEP = 3
 
 
-def in_order(key: str = "video") -> Window:
-    return Window.partitionBy(key).orderBy("frame")
-
-
 def keyframes(frames: DataFrame, key: str = "video") -> DataFrame:
     return frames.filter("is_key").select(key, "frame")
 
