@@ -8,7 +8,7 @@ place, however frequent; the lengths of its lists add up to its exact frequency.
 2. Lists of frequent words stay.  The lists of a block are merged by position, and where one position follows another, the list
    at the first is extended by the last word of the list at the second.  A phrase of k + 1 words is therefore only made where both
    of its phrases of k words are frequent.
-3. That is repeated to ``LONGEST`` words; between two steps only the lengths of lists are shuffled, not the lists.
+3. That is repeated to ``longest`` words; between two steps only the lengths of lists are shuffled, not the lists.
 4. Frequencies of all parts are joined to the candidates, cut by cut.
 
 Phrases are named by numbers that are stored with them, not by hashes, so counts are exact.
