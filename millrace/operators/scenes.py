@@ -75,12 +75,23 @@ def worst_frames(frames: DataFrame, key: str = "video") -> DataFrame:
     return frames.groupBy(key).agg(F.min(F.struct("score", "frame")).alias("worst")).select(key, F.col("worst.frame").alias("frame"), F.col("worst.score").alias("score"))
 
 
+def means_in_order(frames: DataFrame, key: str = "video") -> DataFrame:
+    """(key, overall): the mean of the clamped scores of a video, added up frame by frame.
+
+    A sum of doubles depends on its order, and a CRF is cut at quarters, so a mean that differs in its last digit moves zones whose
+    scores lie on a quarter.  The order of the frames is the one that does not depend on how rows are dealt out.
+    """
+    along = Window.partitionBy(key).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    summed = frames.select(key, "frame", F.sum(clamped_score(F.col("score"))).over(along).alias("_sum"))
+    return summed.groupBy(key).agg((F.max_by("_sum", "frame") / F.count("*")).alias("overall"))
+
+
 def scenes_against_mean(frames: DataFrame, key: str = "video") -> DataFrame:
     """(key, scene, start, last, p15, overall): each scene's percentile next to the mean of all frames of its video."""
     placed = with_scenes(frames, key).withColumn("_score", clamped_score(F.col("score")))
     ranges = placed.groupBy(key, "scene").agg(F.min("frame").alias("start"), F.max("frame").alias("last"))
     p15 = exclusive_percentile(placed, [key, "scene"], "_score", 15, "p15").withColumnsRenamed({key: "_of", "scene": "_scene"})
-    overall = frames.groupBy(F.col(key).alias("_whole")).agg(F.avg(clamped_score(F.col("score"))).alias("overall"))
+    overall = means_in_order(frames, key).withColumnRenamed(key, "_whole")
     joined = ranges.join(p15, F.col(key).eqNullSafe(F.col("_of")) & (F.col("scene") == F.col("_scene")))
     return joined.join(overall, F.col(key).eqNullSafe(F.col("_whole"))).select(key, "scene", "start", "last", "p15", "overall")
 

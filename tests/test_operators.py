@@ -109,6 +109,12 @@ def test_zones_cover_all_frames(spark, keys, scores):
     assert all(z[2] is None or abs(z[2] - 30) <= 5 for z in zones)
 
 
+def test_means_are_summed_in_order_of_frames(spark):
+    scores = [2.0**53, *[1.0] * 40]  # each 1 is lost behind the first score, but not if they are added up before it
+    rows = frames(spark, {0}, scores).repartition(7)
+    assert [r.overall for r in scenes.scenes_against_mean(rows).collect()] == [2.0**53 / len(scores)]
+
+
 def test_zero_mean_has_no_adjustment(spark):
     assert scenes.crf_zones(frames(spark, {0}, [0.0, 0.0]), 30.0).first()["crf"] is None
 
