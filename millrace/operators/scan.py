@@ -43,6 +43,17 @@ def running_sum(rows: DataFrame, name: str, value: Column, keys: Sequence[str],
     return local.join(before, ["_key", *names]).select(*rows.columns, (F.col("_before") + F.coalesce("_local", F.lit(0).cast("bigint"))).alias(name))
 
 
+def running_max(rows: DataFrame, name: str, value: Column, keys: Sequence[str], blocks: dict[str, Column], within: Sequence[Column | str], with_own: bool = True) -> DataFrame:
+    """Adds ``name``: the largest ``value`` of the rows of the same ``keys`` up to each row, which counts itself if ``with_own``; nulls are passed over."""
+    names = list(blocks)
+    cut = rows.withColumns(blocks | {"_key": _key(keys), "_value": value})
+    totals = cut.groupBy("_key", *names).agg(F.max("_value").alias("_total"))
+    earlier = Window.partitionBy("_key").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_key", *names, F.max("_total").over(earlier).alias("_before"))
+    along = Window.partitionBy("_key", *names).orderBy(*within).rowsBetween(Window.unboundedPreceding, 0 if with_own else -1)
+    return cut.withColumn("_local", F.max("_value").over(along)).join(before, ["_key", *names]).select(*rows.columns, F.greatest("_before", "_local").alias(name))
+
+
 def exclusive_percentile(rows: DataFrame, keys: Sequence[str], value: str, percent: int, name: str, bands: int = BANDS) -> DataFrame:
     """(keys, name): the percentile by the exclusive method of ``value`` (without nulls) for each of ``keys``.
 

@@ -99,6 +99,21 @@ def test_toggles_in_order(spark, seed):
     assert {r.path: r.checked for r in got.collect()} == clicked(dict(state), clicks)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_rounds_of_toggles_do_not_follow_the_clicks(spark, seed, monkeypatch):
+    """Clicks of which each depends on all before: there are few folders, and those of some leaves are all clicked."""
+    rng = random.Random(seed)
+    paths = [f"/{a}/{b}/f{i}" for a in "xy" for b in "mn" for i in range(2)] + (["r/f", "s"] if seed % 2 else ["/x/g"])
+    state = {p: rng.random() < 0.4 for p in paths}
+    targets = [*paths, *paths, *{p.rsplit("/", 1)[0] for p in paths if "/" in p}, "/x", "/y", "/"]
+    clicks = [(i, rng.choice(targets)) for i in range(200)]
+    stores = []
+    monkeypatch.setattr(tree, "stored", lambda df, label, store=tree.stored: stores.append(label) or store(df, label))
+    got = tree.toggled_in_order(leaves(spark, list(state.items())), spark.createDataFrame(clicks, "place bigint, path string"))
+    assert {r.path: r.checked for r in got.collect()} == clicked(dict(state), clicks)
+    assert len(stores) < 40
+
+
 def test_no_toggles(spark):
     assert sorted(map(tuple, tree.toggled_in_order(leaves(spark), spark.createDataFrame([], "place bigint, path string")).collect())) == sorted(LEAVES)
 
