@@ -44,6 +44,8 @@ from .shared import BROADCAST_ROWS, free_names, small_side, staged
 BLOCK_ROWS = 512
 #: A key of more rows than this is replaced where fewer than this part of them could be within reach of its first one.
 HOT_ROWS, LIKE_PART = 64, 0.5
+#: What tells of two lines that they cannot link, before their texts are compared.
+SIGNS = ("size", "parity", "pairs")
 #: How often keys are replaced at most; what is left is compared in blocks.
 HOT_ROUNDS = 5
 
@@ -164,13 +166,26 @@ def narrowed(rows: DataFrame) -> DataFrame:
     return one.union(both)
 
 
+def _odd(hashes: Column) -> Column:
+    """63 bits: those that an odd number of ``hashes`` set."""
+    def flip(bits: Column, value: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(value, F.lit(63)).cast("int")))
+
+    return F.aggregate(hashes, F.lit(0).cast("long"), flip)
+
+
 def letter_parity(line: Column) -> Column:
-    """64 bits: those set whose letters occur an odd number of times; an edit changes two of them at most."""
-    def flip(bits: Column, letter: Column) -> Column:
-        place = F.pmod(F.xxhash64(letter), F.lit(63)).cast("int")
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+    """Bits of the letters that occur an odd number of times; an edit changes two of them at most."""
+    return _odd(F.transform(F.split(line, ""), lambda letter: F.xxhash64(letter)))
 
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), flip)
+
+def pair_parity(line: Column) -> Column:
+    """Bits of the neighbouring letters that occur an odd number of times, the last one's neighbour being the end; an edit changes four at most.
+
+    Lines of one origin with a few words replaced have nearly the same letters, but not the same neighbours.
+    """
+    letters = F.split(line, "")
+    return _odd(F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
 
 
 def edit_distance(rows: Column, columns: Column, edits: int) -> Column:
@@ -237,9 +252,10 @@ def _without_common_start(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def may_link(a: Column, b: Column, how: EditJoin) -> Column:
-    """Whether lengths and odd letters of two rows (node, size, parity) leave a link possible."""
+    """Whether lengths, odd letters and odd neighbours of two rows (size, parity, pairs) leave a link possible."""
     most = allowed(F.greatest(a["size"], b["size"]), how)
-    return (F.abs(a["size"] - b["size"]) <= most) & (F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= 2 * most)
+    odd = lambda c: F.bit_count(a[c].bitwiseXOR(b[c]))
+    return (F.abs(a["size"] - b["size"]) <= most) & (odd("parity") <= 2 * most) & (odd("pairs") <= 4 * most)
 
 
 def middle_may_match(a: Column, b: Column, edits: int) -> Column:
@@ -254,13 +270,13 @@ def middle_may_match(a: Column, b: Column, edits: int) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, how: EditJoin) -> DataFrame:
-    """The pairs (a, b) within the threshold; ``texts`` is (node, line, size, parity).
+    """The pairs (a, b) within the threshold; ``texts`` is (node, line, size, parity, pairs).
 
     What two lines have in common at their ends is cut off first, which leaves their distance as it is.
     """
     rows = pairs.select("a", "b")
     for name in "ab":
-        rows = rows.join(texts.select(F.col("node").alias(name), F.struct("size", "parity").alias(f"sign_{name}"), F.col("line").alias(f"line_{name}")), name)
+        rows = rows.join(texts.select(F.col("node").alias(name), F.struct(*SIGNS).alias(f"sign_{name}"), F.col("line").alias(f"line_{name}")), name)
     rows = rows.filter(may_link(F.col("sign_a"), F.col("sign_b"), how))
     if how.same_digits:
         digits = lambda c: F.regexp_replace(c, "[^0-9]+", " ")
@@ -277,22 +293,22 @@ def verified(pairs: DataFrame, texts: DataFrame, how: EditJoin) -> DataFrame:
 
 
 def _signed(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members (key, node, indexed) with the number of their key's rows, and the parity and size of their lines; a stored table."""
+    """Members (key, node, indexed) with the number of their key's rows, and the signs of their lines; a stored table."""
     sizes = small_side(staged(members.groupBy("key").agg(F.count("*").alias("rows")), "line-key-sizes"))
-    return staged(members.join(sizes, "key").join(texts.select("node", "parity", "size"), "node"), "line-signed")
+    return staged(members.join(sizes, "key").join(texts.select("node", *SIGNS), "node"), "line-signed")
 
 
 def _hot_keys(signed: DataFrame, how: EditJoin) -> DataFrame:
     """Keys (key) of many rows most of which cannot link with the first of them; a stored table."""
     many = signed.filter(F.col("rows") > HOT_ROWS)
-    heads = many.groupBy("key").agg(F.min_by(F.struct("parity", "size"), "node").alias("head"))
-    near = may_link({c: F.col(f"head.{c}") for c in ("parity", "size")}, {c: F.col(c) for c in ("parity", "size")}, how)
+    heads = many.groupBy("key").agg(F.min_by(F.struct(*SIGNS), "node").alias("head"))
+    near = may_link({c: F.col(f"head.{c}") for c in SIGNS}, {c: F.col(c) for c in SIGNS}, how)
     shares = many.join(heads, "key").groupBy("key").agg(F.avg(near.cast("int")).alias("like"))
     return staged(shares.filter(F.col("like") < LIKE_PART).select("key"), "line-hot-keys")
 
 
 def candidates(lines: DataFrame, how: EditJoin) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes that may link, once each, and the texts (node, line, size, parity) of all nodes that met; stored tables."""
+    """Pairs (a, b) of nodes that may link, once each, and the texts (node, line, size, parity, pairs) of all nodes that met; stored tables."""
     rows = index_rows(lines, how)
     met = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"))
     met = small_side(staged(met.filter("low <> high and any").select("key"), "line-keys"))
@@ -301,7 +317,7 @@ def candidates(lines: DataFrame, how: EditJoin) -> tuple[DataFrame, DataFrame]:
 
     nodes = small_side(staged(members.select("node").distinct(), "line-nodes"))
     texts = lines.filter(F.col("size") >= how.least_chars).select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    texts = staged(texts.select("node", "line", F.length("line").alias("size"), letter_parity(F.col("line")).alias("parity")), "line-texts")
+    texts = staged(texts.select("node", "line", F.length("line").alias("size"), letter_parity(F.col("line")).alias("parity"), pair_parity(F.col("line")).alias("pairs")), "line-texts")
 
     signed = _signed(members, texts)
     settled: list[DataFrame] = []
@@ -311,7 +327,7 @@ def candidates(lines: DataFrame, how: EditJoin) -> tuple[DataFrame, DataFrame]:
         if not n_hot:
             break
         side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-        settled.append(signed.join(side, "key", "left_anti").select("key", "node", "indexed", "rows", "parity", "size"))
+        settled.append(signed.join(side, "key", "left_anti").select("key", "node", "indexed", "rows", *SIGNS))
         # every place at which a line meets the others; a line that repeats is one node, so it is taken once
         place = ["key", "node", "indexed", "level", "line", "at", "chars", "shorter", "shift"]
         met_there = staged(rows.select(*place).join(side, "key").dropDuplicates([c for c in place if c != "line"]), "line-hot-rows")
@@ -323,14 +339,14 @@ def candidates(lines: DataFrame, how: EditJoin) -> tuple[DataFrame, DataFrame]:
         members = rows.groupBy("key", "node").agg(F.max("indexed").alias("indexed"), F.max("last").alias("last"))
         signed = _signed(members, texts)
     for part in settled:
-        signed = signed.select("key", "node", "indexed", "rows", "parity", "size").union(part)
+        signed = signed.select("key", "node", "indexed", "rows", *SIGNS).union(part)
 
     # a key of many lines is dealt out: each indexed line to one block, the lines that look it up to all
     signed = signed.withColumn("blocks", F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)).cast("int"))
     dealt = {"left": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "right": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}
-    side = lambda rows, x, end: rows.select("key", dealt[end].alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "indexed", "parity", "size")))
+    side = lambda rows, x, end: rows.select("key", dealt[end].alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "indexed", *SIGNS)))
     left, right = side(signed.filter("indexed"), "a", "left"), side(signed, "b", "right")
-    sign = lambda x: {c: F.col(f"{c}_{x}") for c in ("parity", "size")}
+    sign = lambda x: {c: F.col(f"{c}_{x}") for c in SIGNS}
     once = (F.col("node_a") < F.col("node_b")) | (~F.col("indexed_b") & (F.col("node_a") != F.col("node_b")))
     pairs = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & once & may_link(sign("a"), sign("b"), how))
     pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()

@@ -276,6 +276,19 @@ def test_lines_with_a_common_part_are_not_all_paired(spark, n, how):
     assert len(met) < 8 * n  # in proportion to the lines, and not to their pairs
 
 
+def test_lines_of_the_same_letters_are_not_all_paired(spark):
+    """Their letters tell nothing, as all have the same; what stands next to each other does."""
+    rng = random.Random(8)
+    texts = ["all of these lines begin alike, and then " + "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)) for _ in range(150)]
+    texts += [texts[0][:-3] + "é" + texts[0][-2:], texts[1][:-5] + "#" + texts[1][-5:], texts[2][:-1] + "#"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    want = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[i + 1 :] if a != b and distance(a, b) <= 2}
+    pairs, nodes = line_dedup.candidates(line_dedup.lines_of(docs), line_dedup.EditJoin())
+    name = {r.node: r.line for r in nodes.select("node", "line").collect()}
+    met = {frozenset((name[r.a], name[r.b])) for r in pairs.collect()}
+    assert want <= met and len(want) >= 3 and len(met) < 8 * len(texts)
+
+
 @pytest.mark.parametrize("like", [0.5, 2.0])
 def test_links_by_narrow_keys_equal_brute_force(spark, monkeypatch, like):
     """Every key of more than four rows is replaced (2.0: also those whose lines are alike)."""
