@@ -16,7 +16,8 @@ sufficient key.  Around it, of at most two edits, all are on its right (then the
 left sides are equal), all on its left, or one is on each side.  So such a key is
 replaced by keys with the equal side and a segment of the other, and by keys with a half
 of either side; those that are still shared by many unlike lines are
-replaced again.  No link is lost by it, and pairs stay in proportion to the lines.
+replaced again.  This is done as long as such keys make more comparisons than ``COMPARED_A_ROW``
+for each row of the index.  No link is lost by it, and pairs stay in proportion to the lines.
 
 All of it is DataFrame operations.  Equal lines are one node from the start, so
 copies are never paired; they are removed at any length.  Only a caller's own
@@ -48,6 +49,8 @@ HOT_ROWS, LIKE_PART = 64, 0.5
 SIGNS = ("size", "parity", "pairs")
 #: How often keys are replaced at most; what is left is compared in blocks.
 HOT_ROUNDS = 5
+#: Comparisons of signs under such keys for each row of the index; as long as there are no more, no key is replaced.
+COMPARED_A_ROW = 64
 
 
 class EditJoin(NamedTuple):
@@ -293,26 +296,34 @@ def verified(pairs: DataFrame, texts: DataFrame, how: EditJoin) -> DataFrame:
 
 
 def _signed(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members (key, node, indexed) with the number of their key's rows, and the signs of their lines; a stored table."""
-    sizes = small_side(staged(members.groupBy("key").agg(F.count("*").alias("rows")), "line-key-sizes"))
-    return staged(members.join(sizes, "key").join(texts.select("node", *SIGNS), "node"), "line-signed")
+    """Members (key, node, indexed, last, met) with the signs of their lines; a stored table."""
+    return staged(members.join(texts.select("node", *SIGNS), "node"), "line-signed")
 
 
-def _hot_keys(signed: DataFrame, how: EditJoin) -> DataFrame:
-    """Keys (key) of many rows most of which cannot link with the first of them; a stored table."""
-    many = signed.filter(F.col("rows") > HOT_ROWS)
-    heads = many.groupBy("key").agg(F.min_by(F.struct(*SIGNS), "node").alias("head"))
+def _large_keys(signed: DataFrame, how: EditJoin) -> DataFrame:
+    """(key, rows, like, last) of the keys of many lines: how many, and which part of them could link with the first of them; a stored table.
+
+    ``met`` counts copies too, so only keys that many rows met are looked at.
+    """
+    many = signed.filter(F.col("met") > HOT_ROWS)
+    heads = many.groupBy("key").agg(F.min_by(F.struct(*SIGNS), "node").alias("head"), F.count("*").alias("rows")).filter(F.col("rows") > HOT_ROWS)
     near = may_link({c: F.col(f"head.{c}") for c in SIGNS}, {c: F.col(c) for c in SIGNS}, how)
-    shares = many.join(heads, "key").groupBy("key").agg(F.avg(near.cast("int")).alias("like"))
-    return staged(shares.filter(F.col("like") < LIKE_PART).select("key"), "line-hot-keys")
+    parts = many.join(heads, "key").groupBy("key").agg(F.first("rows").alias("rows"), F.avg(near.cast("int")).alias("like"), F.max("last").alias("last"))
+    return staged(parts, "line-large-keys")
+
+
+def _counted(signed: DataFrame, large: DataFrame) -> DataFrame:
+    """Signed rows with the ``rows`` of large keys, null for others."""
+    sizes = small_side(large.filter(F.col("rows") > BLOCK_ROWS).select("key", "rows"))
+    return signed.select("key", "node", "indexed", *SIGNS).join(sizes, "key", "left")
 
 
 def candidates(lines: DataFrame, how: EditJoin) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes that may link, once each, and the texts (node, line, size, parity, pairs) of all nodes that met; stored tables."""
     rows = index_rows(lines, how)
-    met = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"))
-    met = small_side(staged(met.filter("low <> high and any").select("key"), "line-keys"))
-    members = rows.join(met, "key").groupBy("key", "node").agg(F.max("indexed").alias("indexed"))
+    met = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"), F.count("*").alias("met"))
+    met = small_side(staged(met.filter("low <> high and any").select("key", "met"), "line-keys"))
+    members = rows.join(met, "key").groupBy("key", "node").agg(F.max("indexed").alias("indexed"), F.lit(False).alias("last"), F.first("met").alias("met"))
     members = staged(members, "line-members")
 
     nodes = small_side(staged(members.select("node").distinct(), "line-nodes"))
@@ -320,29 +331,33 @@ def candidates(lines: DataFrame, how: EditJoin) -> tuple[DataFrame, DataFrame]:
     texts = staged(texts.select("node", "line", F.length("line").alias("size"), letter_parity(F.col("line")).alias("parity"), pair_parity(F.col("line")).alias("pairs")), "line-texts")
 
     signed = _signed(members, texts)
-    settled: list[DataFrame] = []
+    large = _large_keys(signed, how)
+    most, settled = COMPARED_A_ROW * signed.count(), []
     for _ in range(HOT_ROUNDS if how.edits <= 2 else 0):
-        hot = _hot_keys(signed.filter("not last") if "last" in signed.columns else signed, how)
-        n_hot = hot.count()
-        if not n_hot:
+        hot = large.filter((F.col("like") < LIKE_PART) & ~F.col("last"))
+        n_hot, compared = hot.agg(F.count("*"), F.coalesce(F.sum(F.col("rows") * (F.col("rows") - 1) / 2), F.lit(0.0))).first()
+        if compared <= most:
             break
+        hot = hot.select("key")
         side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-        settled.append(signed.join(side, "key", "left_anti").select("key", "node", "indexed", "rows", *SIGNS))
+        settled.append(_counted(signed.join(side, "key", "left_anti"), large))
         # every place at which a line meets the others; a line that repeats is one node, so it is taken once
         place = ["key", "node", "indexed", "level", "line", "at", "chars", "shorter", "shift"]
-        met_there = staged(rows.select(*place).join(side, "key").dropDuplicates([c for c in place if c != "line"]), "line-hot-rows")
+        met_there = staged(rows.select(*place).join(side, "key", "left_semi").dropDuplicates([c for c in place if c != "line"]), "line-hot-rows")
         narrow = staged(narrowed(met_there), "line-narrow-all")
         apart = F.max("last") & ((F.min("of_left") == F.max("of_left")) | (F.min("of_right") == F.max("of_right")))
-        met = narrow.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"), apart.alias("one_side"))
-        met = small_side(staged(met.filter("low <> high and any and not coalesce(one_side, false)").select("key"), "line-keys"))
+        met = narrow.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"), apart.alias("one_side"), F.count("*").alias("met"))
+        met = small_side(staged(met.filter("low <> high and any and not coalesce(one_side, false)").select("key", "met"), "line-keys"))
         rows = staged(narrow.join(met, "key"), "line-narrow")
-        members = rows.groupBy("key", "node").agg(F.max("indexed").alias("indexed"), F.max("last").alias("last"))
+        members = rows.groupBy("key", "node").agg(F.max("indexed").alias("indexed"), F.max("last").alias("last"), F.first("met").alias("met"))
         signed = _signed(members, texts)
+        large = _large_keys(signed, how)
+    signed = _counted(signed, large)
     for part in settled:
-        signed = signed.select("key", "node", "indexed", "rows", *SIGNS).union(part)
+        signed = signed.union(part)
 
     # a key of many lines is dealt out: each indexed line to one block, the lines that look it up to all
-    signed = signed.withColumn("blocks", F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)).cast("int"))
+    signed = signed.withColumn("blocks", F.ceil(F.coalesce("rows", F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int"))
     dealt = {"left": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "right": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}
     side = lambda rows, x, end: rows.select("key", dealt[end].alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "indexed", *SIGNS)))
     left, right = side(signed.filter("indexed"), "a", "left"), side(signed, "b", "right")

@@ -304,6 +304,25 @@ def test_links_by_narrow_keys_equal_brute_force(spark, monkeypatch, like):
     assert {lines[r.doc_id]: r.n_links for r in got} == want
 
 
+@pytest.mark.parametrize(("compared", "replaced"), [(0, True), (64, False)])
+def test_keys_are_replaced_only_if_they_are_costly(spark, monkeypatch, compared, replaced):
+    """What is compared under large keys decides; the links are the same either way, and blocks of copies do not count."""
+    calls, narrowed = [], line_dedup.narrowed
+    monkeypatch.setattr(line_dedup, "narrowed", lambda rows: calls.append(1) or narrowed(rows))
+    monkeypatch.setattr(line_dedup, "COMPARED_A_ROW", compared, raising=False)
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 4)
+    monkeypatch.setattr(line_dedup, "HOT_ROUNDS", 2)
+    rng = random.Random(22)
+    bases = ["".join(rng.choice("abcdé ") for _ in range(k)).strip() for k in (13, 20, 26)]
+    lines = sorted({varied(rng, rng.choice(bases), "abé") for _ in range(90)} - {""})
+    lines += ["one start of many lines: " + "".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, "\n".join([x] * (40 if i == 3 else 1))) for i, x in enumerate(lines)], SCHEMA)
+    want = {x: sum(a != x and distance(a, x) <= min(2, max(len(a), len(x)) // 6) for a in lines) for x in lines}
+    got = line_dedup.line_classes(docs).collect()
+    assert {lines[r.doc_id]: r.n_links for r in got} == want and len(got) == len(lines) + 39
+    assert bool(calls) == replaced
+
+
 def test_lines_with_other_digits_may_be_told_apart(spark):
     docs = spark.createDataFrame([(1, "Chapter 2 of the book"), (2, "Chapter 1 of the book"), (3, "Chapter 1 of the books")], SCHEMA)
     kept = lambda how: [r.doc_id for r in line_dedup.line_classes(docs, how).filter("kept").orderBy("doc_id").collect()]
