@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.numbers import half_up, percent
@@ -100,43 +106,89 @@ def slots_reassigned(jobs: DataFrame, place: Column, queue: str = "queue") -> Da
     return ranked.join(slots, [queue, "k"]).drop("k")
 
 
-def _edited(orders: dict, kind: str, target: object, ids: list | None) -> None:
-    """Applies one edit to the queue orders of a queue's jobs."""
-    if kind in ("reorder", "slots"):
-        known = [i for i in (ids if ids is not None else []) if i in orders]
-        places = range(1, len(known) + 1) if kind == "reorder" else sorted(orders[i] for i in known)
-        orders.update(zip(known, places, strict=True))
-        return
-    if target not in orders:
-        return
-    ranked = sorted(orders, key=lambda i: (orders[i], i))
-    at = ranked.index(target)
-    other = at - 1 if kind == "up" else at + 1
-    if kind in ("up", "down") and 0 <= other < len(ranked):
-        orders[target], orders[ranked[other]] = orders[ranked[other]], orders[target]
-    elif kind == "top" and at > 0:
-        orders[target] = orders[ranked[0]] - 1
-    elif kind == "bottom" and at < len(ranked) - 1:
-        orders[target] = orders[ranked[-1]] + 1
-
-
-def edited_in_order(jobs: DataFrame, edits: DataFrame, queue: str = "queue") -> DataFrame:
+def _folded(orders: dict, listed: list, log: list[tuple]) -> dict:
+    """The queue orders of a queue's jobs after the edits (kind, target, ids) of ``log``; without ids those of ``listed`` are taken.
+
+    A reorder of all jobs leaves the same whatever was before, so the last of them is the first edit that is looked at.  What is
+    ranked is kept ranked from edit to edit.
+    """
+    known: dict[int, list] = {}
+
+    def ids_of(k: int) -> list:
+        ids = log[k][2]
+        at = -1 if ids is None else k  # the listing is looked through once for all edits
+        if at not in known:
+            known[at] = [i for i in (listed if ids is None else ids) if i in orders]
+        return known[at]
+
+    start = next((k for k in range(len(log) - 1, -1, -1) if log[k][0] == "reorder" and len(ids_of(k)) >= len(orders) and len(set(ids_of(k))) == len(orders)), 0)
+    ranked = None
+    for k in range(start, len(log)):
+        kind, target, _ = log[k]
+        if kind in ("reorder", "slots"):
+            ids = ids_of(k)
+            orders.update(zip(ids, range(1, len(ids) + 1) if kind == "reorder" else sorted(orders[i] for i in ids), strict=True))
+            ranked = None
+            continue
+        if target not in orders:
+            continue
+        if ranked is None:
+            ranked = sorted(zip(orders.values(), orders, strict=True))
+        at = bisect_left(ranked, (orders[target], target))
+        other = at - 1 if kind == "up" else at + 1
+        moved = {}
+        if kind in ("up", "down") and 0 <= other < len(ranked):
+            moved = {target: ranked[other][0], ranked[other][1]: ranked[at][0]}
+        elif kind == "top" and at > 0:
+            moved = {target: ranked[0][0] - 1}
+        elif kind == "bottom" and at < len(ranked) - 1:
+            moved = {target: ranked[-1][0] + 1}
+        for i in moved:
+            del ranked[bisect_left(ranked, (orders[i], i))]
+        for i, order in moved.items():
+            orders[i] = order
+            insort(ranked, (order, i))
+    return orders
+
+
+def edited_in_order(jobs: DataFrame, edits: DataFrame, queue: str = "queue", listing: DataFrame | None = None) -> DataFrame:
     """Queued jobs (queue, id, queue_order) with ``new_order`` after a log of edits (queue, place, kind, id, ids), one after the other.
 
     ``up`` and ``down`` swap with the neighbour, ``top`` and ``bottom`` go before the least and after the largest order, ``reorder`` numbers
-    ``ids`` from 1, ``slots`` deals the orders of ``ids`` out to them as listed.  An edit of an unknown id does nothing.  Each queue is folded on its own:
-    an edit depends on all edits before it, so a queue is the unit of work.
+    ``ids`` from 1, ``slots`` deals the orders of ``ids`` out to them as listed.  Where ``ids`` is null it is the queue's ``listing`` (queue, place, id), if one
+    is given, so that a list that many edits share is not repeated.  An edit of an unknown id does nothing.  Each queue is folded on its own:
+    an edit depends on the edits before it, so a queue is the unit of work.  Many queues are folded in each batch.
     """
-
-    def fold(own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        orders = dict(zip(own["id"], own["queue_order"], strict=True))
-        for row in log.sort_values("place").itertuples(index=False):
-            _edited(orders, row.kind, row.id, row.ids)
-        return own.assign(new_order=own["id"].map(orders)).astype({"new_order": "int64"}) if len(own) else own.assign(new_order=pd.Series(dtype="int64"))
-
     kinds = dict(jobs.dtypes)
-    schema = f"{queue} {kinds[queue]}, id {kinds['id']}, queue_order {kinds['queue_order']}, new_order bigint"
-    return jobs.select(queue, "id", "queue_order").groupBy(queue).cogroup(edits.select(queue, "place", "kind", "id", "ids").groupBy(queue)).applyInPandas(fold, schema)
+    lists = {"jobs": (jobs, ["id", "queue_order"]), "log": (edits, ["place", "kind", "id", "ids"])}
+    if listing is not None:
+        lists["listed"] = (listing, ["place", "id"])
+    rows = None
+    for name, (df, columns) in lists.items():
+        own = df.select(F.col(queue).cast(kinds[queue]).alias(queue), F.struct(*columns).alias(name))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    # nulls are not collected: each row goes to the list of its table
+    together = rows.groupBy(queue).agg(F.collect_list("jobs").alias("jobs"), *(F.sort_array(F.collect_list(n)).alias(n) for n in lists if n != "jobs")).filter(F.size("jobs") > 0)
+    if listing is None:
+        together = together.withColumn("listed", F.lit(None).cast(f"array<struct<id:{kinds['id']}>>"))
+    schema = StructType([StructField(n, jobs.schema[n].dataType) for n in (queue, "id", "queue_order")] + [StructField("new_order", LongType())])
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {n: batch.column(n).flatten() for n in ("jobs", "log", "listed")}
+            sizes = {n: pc.fill_null(pc.list_value_length(batch.column(n)), 0).to_pylist() for n in columns}
+            values = lambda n, c: iter(columns[n].field(c).to_pylist())
+            ids, places, listed = values("jobs", "id"), values("jobs", "queue_order"), values("listed", "id")
+            log, new = zip(values("log", "kind"), values("log", "id"), values("log", "ids"), strict=True), []
+            for n_jobs, n_log, n_listed in zip(sizes["jobs"], sizes["log"], sizes["listed"], strict=True):
+                own = list(islice(ids, n_jobs))
+                orders = dict(zip(own, islice(places, n_jobs), strict=True))
+                orders = _folded(orders, list(islice(listed, n_listed)), list(islice(log, n_log)))
+                new += [orders[i] for i in own]
+            of = batch.column(queue).take(pc.list_parent_indices(batch.column("jobs")))
+            yield pa.RecordBatch.from_arrays([of, columns["jobs"].field("id"), columns["jobs"].field("queue_order"), pa.array(new, pa.int64())], names=schema.names)
+
+    return together.select(queue, "jobs", "log", "listed").mapInArrow(fold, schema)
 
 
 def by_id(jobs: DataFrame, job_id: object) -> DataFrame:

@@ -248,10 +248,9 @@ def edits_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     n = F.col("o_orderkey")
     kind = F.when(n % 13 == 0, "reorder").when(n % 11 == 0, "slots").otherwise(F.element_at(F.array(*map(F.lit, ("up", "down", "top", "bottom"))), (n % 4 + 1).cast("int")))
-    listed = orders.groupBy(F.col("o_custkey").alias("queue")).agg(F.transform(F.sort_array(F.collect_list(F.struct((n * 7919 % 10007).alias("k"), n.alias("id")))), lambda x: x["id"]).alias("all"))
-    log = orders.select(F.col("o_custkey").alias("queue"), n.alias("place"), kind.alias("kind"), n.alias("id")).join(listed, "queue")
-    log = log.withColumn("ids", F.when(F.col("kind").isin("reorder", "slots"), F.col("all"))).drop("all")
-    return queue.edited_in_order(queued(spark, sf_dir), log).select("queue", "id", "new_order")
+    log = orders.select(F.col("o_custkey").alias("queue"), n.alias("place"), kind.alias("kind"), n.alias("id"), F.lit(None).cast("array<bigint>").alias("ids"))
+    listing = orders.select(F.col("o_custkey").alias("queue"), F.struct((n * 7919 % 10007).alias("k"), n.alias("n")).alias("place"), n.alias("id"))
+    return queue.edited_in_order(queued(spark, sf_dir), log, listing=listing).select("queue", "id", "new_order")
 
 
 @query("""WITH old AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 19 > 0),

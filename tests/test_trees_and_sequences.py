@@ -185,6 +185,43 @@ def test_edits_in_order_equal_plain_python(spark, small):
     assert jobs.by_id(spark.createDataFrame([(1,), (2,)], "id int"), 2).count() == 1
 
 
+def test_edits_of_many_queues_equal_one_by_one(spark):
+    """Reorders of a whole queue, of a part of it and by the listing that edits share; equal orders; queues without edits, jobs or a name."""
+    rng = random.Random(6)
+    queued = [(q, f"{q}{i}", rng.randint(-3, 9)) for q in ("a", "b", "c", None) for i in range(12)] + [("quiet", "x", 4), ("one", "y", 5)]
+    names = {q: [i for p, i, _ in queued if p == q] for q, _, _ in queued}
+    listing = [(q, k, i) for q in ("a", None) for k, i in enumerate(rng.sample(names[q], 12))] + [("b", k, i) for k, i in enumerate(["no", *names["b"][3:8]])] + [("nobody", 1, "z")]
+    edits = [("one", 1, "top", "y", None), ("one", 2, "reorder", None, ["q", "y"]), ("nobody", 1, "up", "z", None)]
+    for q in ("a", "b", "c", None):
+        for k in range(60):
+            kind = rng.choice(["up", "down", "top", "bottom"] * 3 + ["reorder", "slots"])
+            ids = rng.choice([None, [], rng.sample(names[q], 5), ["no", *rng.sample(names[q], 12)]])
+            edits.append((q, k, kind, rng.choice([*names[q], "no"]), ids))
+    schema = "queue string, place int, kind string, id string, ids array<string>"
+    for shared in ([], listing):
+        held = {q: {i: o for p, i, o in queued if p == q} for q in names}
+        for q, _, kind, target, ids in sorted(edits, key=lambda e: (str(e[0]), e[1])):
+            orders = held.get(q, {})
+            ranked = sorted(orders, key=lambda i: (orders[i], i))
+            known = [i for i in (ids if ids is not None else [i for p, _, i in shared if p == q]) if i in orders]
+            if kind in ("reorder", "slots"):
+                orders |= dict(zip(known, range(1, len(known) + 1) if kind == "reorder" else sorted(orders[i] for i in known), strict=True))
+            elif target in orders:
+                at = ranked.index(target)
+                other = at - 1 if kind == "up" else at + 1
+                if kind in ("up", "down") and 0 <= other < len(ranked):
+                    orders[target], orders[ranked[other]] = orders[ranked[other]], orders[target]
+                elif kind == "top" and at:
+                    orders[target] = orders[ranked[0]] - 1
+                elif kind == "bottom" and at + 1 < len(ranked):
+                    orders[target] = orders[ranked[-1]] + 1
+        got = jobs.edited_in_order(
+            spark.createDataFrame(queued, "queue string, id string, queue_order int"), spark.createDataFrame(edits, schema),
+            listing=spark.createDataFrame(shared, "queue string, place int, id string") if shared else None,
+        )
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((q, i, o, held[q][i]) for q, i, o in queued), key=str)
+
+
 def test_snapshots(spark):
     schema = "id int, a string, b double"
     before = spark.createDataFrame([(1, "x", 1.0), (2, None, 2.0), (3, "z", None), (4, "w", 4.0)], schema)
