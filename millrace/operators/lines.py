@@ -13,6 +13,8 @@ from .scan import block_of, running_sum
 
 #: One character for each byte, so bytes can be cut and joined as text.
 _BYTES = "ISO-8859-1"
+#: Neighbouring chunks that are put together in one place: 256 MB of chunks of a megabyte.
+CHUNKS = 256
 
 
 def _text(joined: Column) -> Column:
@@ -22,21 +24,23 @@ def _text(joined: Column) -> Column:
 def lines_of_chunks(chunks: DataFrame, key: str = "key") -> DataFrame:
     """(key, line, value) from chunks (key, seq, chunk binary); lines are numbered from 0 and end at a newline or at the last chunk.
 
-    The number of the line in which a chunk begins is a running sum of newlines.  Lines inside a chunk are done with that; the first and last
-    part of a chunk are joined with those of its neighbours, and a line that spans many chunks is one group.  A null chunk is empty, and
-    nothing follows the last newline unless there is a byte.
+    Neighbouring chunks are put together to blocks first, which combines before the shuffle, so that what follows has a row for each block and
+    line and not for each chunk.  The number of the line in which a block begins is a running sum of newlines.  The parts of a line that spans
+    blocks are joined in order; such a line is one group.  A null chunk is empty, and nothing follows the last newline unless there is a byte.
     """
-    rows = chunks.select(F.col(key).alias("_of"), "seq", F.decode(F.coalesce("chunk", F.lit(b"")), _BYTES).alias("_bytes"))
-    breaks = F.length("_bytes") - F.length(F.replace("_bytes", F.lit("\n"), F.lit("")))
-    numbered = running_sum(rows.withColumn("_breaks", breaks), "_upto", F.col("_breaks"), ["_of"], {"_block": block_of(F.col("seq"))}, ["seq"])
-    parts = numbered.select("_of", "seq", "_breaks", (F.col("_upto") - F.col("_breaks")).alias("_first"), F.posexplode(F.split("_bytes", "\n")).alias("_at", "_part"))
-    parts = parts.withColumn("line", F.col("_first") + F.col("_at"))
-    inner = (F.col("_at") > 0) & (F.col("_at") < F.col("_breaks"))
-    inside = parts.filter(inner).select("_of", "line", F.col("_part").alias("_line"))
-    pieces = F.sort_array(F.collect_list(F.struct("seq", "_part")))
-    edges = parts.filter(~inner).groupBy("_of", "line").agg(F.array_join(F.transform(pieces, lambda p: p["_part"]), "").alias("_line"), F.max(F.col("_at") < F.col("_breaks")).alias("_ended"))
-    edges = edges.filter("_ended or _line <> ''").select("_of", "line", "_line")
-    return inside.union(edges).select(F.col("_of").alias(key), F.col("line").cast("bigint").alias("line"), _text(F.col("_line")).alias("value"))
+    # bytes are taken for text as they are, so that a block's are joined once; they are decoded block by block
+    rows = chunks.select(F.col(key).alias("_of"), block_of(F.col("seq"), CHUNKS).alias("_block"), F.struct(F.col("seq").alias("_seq"), F.coalesce("chunk", F.lit(b"")).cast("string").alias("_bytes")).alias("_chunk"))
+    in_order = F.transform(F.sort_array(F.collect_list("_chunk")), lambda c: c["_bytes"])
+    blocks = rows.groupBy("_of", "_block").agg(F.array_join(in_order, "").alias("_bytes"))
+    # a struct as the key: nulls in it are equal
+    blocks = blocks.select("_of", "_block", F.split(F.decode(F.col("_bytes").cast("binary"), _BYTES), "\n").alias("_parts"))
+    upto = running_sum(blocks.select("_of", "_block", (F.size("_parts") - 1).alias("_breaks")), "_upto", F.col("_breaks"), ["_of"], {"_far": block_of(F.col("_block"))}, ["_block"])
+    firsts = upto.select(F.struct("_of", "_block").alias("_place"), (F.col("_upto") - F.col("_breaks")).alias("_first"))
+    numbered = blocks.select(F.struct("_of", "_block").alias("_place"), "_parts").join(firsts, "_place")
+    parts = numbered.select("_place.*", "_first", (F.size("_parts") - 1).alias("_in"), F.posexplode("_parts").alias("_at", "_part"))
+    pieces = F.sort_array(F.collect_list(F.struct("_block", "_part")))
+    joined = parts.groupBy("_of", (F.col("_first") + F.col("_at")).alias("line")).agg(F.array_join(F.transform(pieces, lambda p: p["_part"]), "").alias("_line"), F.max(F.col("_at") < F.col("_in")).alias("_ended"))
+    return joined.filter("_ended or _line <> ''").select(F.col("_of").alias(key), F.col("line").cast("bigint").alias("line"), _text(F.col("_line")).alias("value"))
 
 
 def lines_as_they_end(chunks: DataFrame, key: str = "key") -> DataFrame:

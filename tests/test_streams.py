@@ -3,6 +3,7 @@
 import base64
 import json
 import os
+import random
 import struct
 import time
 
@@ -186,6 +187,27 @@ def test_lines_out_of_chunks(spark, tmp_path):
     assert sorted(map(tuple, drained(lines.lines_as_they_end(stream), "ended_lines").collect())) == want
 
 
+def test_lines_over_blocks_of_chunks(spark, monkeypatch):
+    """Blocks of four chunks: lines over many of them, cut characters, gaps in the numbers, null chunks and keys, bytes that are no text."""
+    monkeypatch.setattr(lines, "CHUNKS", 4)
+    rng = random.Random(3)
+    data = {k: "".join(rng.choice(["é", "漢", "a", "b", "😀", "\n"] + ["c"] * k) for _ in range(150)).encode() for k in range(6)}
+    data |= {None: b"no key\nbut lines" * 9, 7: b"\xff\n\xfe\xfda\n\x80" * 8, 8: b"\n" * 30, 9: b"one long line" * 20}
+    rows, want = [], []
+    for key, text in data.items():
+        at, seq = 0, rng.randint(0, 9)
+        while at < len(text):
+            n = rng.randint(1, 5)
+            rows.append((key, seq, text[at : at + n]))
+            at, seq = at + n, seq + rng.choice([1, 1, 1, 6])
+        rows.append((key, seq, None))
+        cut = text.split(b"\n")
+        want += [(key, i, x.hex().upper()) for i, x in enumerate(cut if cut[-1] else cut[:-1])]
+    rng.shuffle(rows)
+    got = lines.lines_of_chunks(spark.createDataFrame(rows, "key int, seq int, chunk binary").repartition(5)).withColumn("value", F.hex("value")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def ivf(frames, tail=b""):
     head = b"DKIF" + struct.pack("<HH4sHHIIII", 0, 32, b"AV01", 640, 360, 30, 1, len(frames), 0)
     return head + b"".join(struct.pack("<IQ", len(x), t) + x for t, x in enumerate(frames)) + tail
