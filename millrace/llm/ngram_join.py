@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .components import components
-from .shared import in_batches, small_side, staged
+from .shared import discard, in_batches, small_side, staged, stored
 
 #: Sizes of the signature in 64-bit words, and of a block of a tile in rows.
 SIGNATURE_WORDS, BLOCK_ROWS = 16, 2_048
@@ -53,6 +53,8 @@ EMPTY_SLICES_RISK = 1e-3
 #: Rows with a signature up to this number are broadcast (about 40 MB).
 BROADCAST_SIGNATURES = 150_000
 OUT_ROWS = 256
+#: The index of tiles is shuffled in so many parts, one after the other, if each then has ``PART_TILES`` rows or more; disk holds one part at a time.
+PARTS, PART_TILES = 4, 4_000_000
 #: A text is shorter than this.
 MOST_BYTES = 1 << 31
 
@@ -216,10 +218,10 @@ def exact_links(pairs: DataFrame, docs: DataFrame, info: DataFrame, how: Similar
                         rows.append((node, m.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "members"])
 
-    stored = staged(in_batches(texts, sets, "node long, members binary").dropDuplicates(["node"]), "sets")
+    held, path = stored(in_batches(texts, sets, "node long, members binary").dropDuplicates(["node"]), "sets")
     rows = pairs
     for name in "ab":
-        rows = rows.join(stored.select(F.col("node").alias(name), F.col("members").alias(f"set_{name}")), name)
+        rows = rows.join(held.select(F.col("node").alias(name), F.col("members").alias(f"set_{name}")), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +234,9 @@ def exact_links(pairs: DataFrame, docs: DataFrame, info: DataFrame, how: Similar
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return staged(in_batches(rows.select("a", "b", "set_a", "set_b"), run, "a long, b long"), "links")
+    links = staged(in_batches(rows.select("a", "b", "set_a", "set_b"), run, "a long, b long"), "links")
+    discard(docs.sparkSession, path)
+    return links
 
 
 def _block_pairs(rows: list[dict], percent: int, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,13 +288,22 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def node_links(docs: DataFrame, made: DataFrame, how: Similarity) -> DataFrame:
-    """Links (a, b) between nodes that give every component of the full similarity join."""
+def tile_members(made: DataFrame) -> DataFrame:
+    """(tile, node) of the tiles that several nodes share; ``made`` (node, tiles)."""
     rows = made.filter("node is not null").select(F.explode("tiles").alias("tile"), "node")
-    shared = rows.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    shared = small_side(staged(shared.select("tile"), "shared-tiles"))
-    members = staged(rows.join(shared, "tile").distinct(), "tile-members")
-
+    parts = min(PARTS, max(1, (made.agg(F.sum(F.size("tiles").cast("bigint"))).first()[0] or 0) // PART_TILES))
+    found = []
+    for part in range(parts):
+        own = rows.filter(F.pmod(F.col("tile"), F.lit(parts)) == part) if parts > 1 else rows
+        shared = own.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+        shared, path = stored(shared.select("tile"), "shared-tiles")
+        found.append(staged(own.join(small_side(shared), "tile").distinct(), "tile-members"))
+        discard(made.sparkSession, path)
+    return reduce(DataFrame.union, found)
+
+
+def node_links(docs: DataFrame, made: DataFrame, members: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) between nodes that give every component of the full similarity join; ``made`` (doc_id, n, node, sig), ``members`` of tiles."""
     sizes = staged(members.groupBy("tile").agg(F.count("*").alias("size")), "tile-sizes")
     sized = members.join(small_side(sizes), "tile")
     met = small_side(staged(sized.groupBy("node").agg(F.sum("size").alias("met")), "nodes-met"))
@@ -317,8 +330,11 @@ def node_links(docs: DataFrame, made: DataFrame, how: Similarity) -> DataFrame:
 def memberships(docs: DataFrame, how: Similarity) -> DataFrame:
     """(doc_id, text_hash, n, component) of each row of ``docs`` (doc_id, text), stored; component is null for what links with nothing."""
     docs = docs.select("doc_id", "text")
-    made = staged(sketches(docs, how), "sketches")
-    groups = small_side(staged(components(node_links(docs, made, how)), "components").withColumnRenamed("node", "of_node"))
+    sketched, path = stored(sketches(docs, how), "sketches")
+    members = tile_members(sketched)
+    made = staged(sketched.drop("tiles"), "signatures")  # the tiles, most of the table, are not read again
+    discard(docs.sparkSession, path)
+    groups = small_side(staged(components(node_links(docs, made, members, how)), "components").withColumnRenamed("node", "of_node"))
     rows = made.select("doc_id", "text_hash", "n", "node").join(groups, F.col("node") == F.col("of_node"), "left")
     return staged(rows.select("doc_id", "text_hash", "n", F.coalesce("component", "node").alias("component")), "memberships")
 
