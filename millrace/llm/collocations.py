@@ -2,13 +2,14 @@
 
 The text is cut into blocks: runs of whole pieces of about ``BLOCK_WORDS`` words of one language.  A block is a row that holds, for each phrase
 in it, the list of positions of the phrase's last word.  A phrase's list is thus spread over all blocks, and no phrase is in one
-place, however frequent; the lengths of its lists add up to its exact frequency.
+place, however frequent; the lengths of its lists add up to its exact frequency.  Lists are packed as bytes, so Spark never holds their numbers one by one.
 
 1. Words of a block are numbered along it, with a gap between pieces, and each word's list is written.
 2. Lists of frequent words stay.  The lists of a block are merged by position, and where one position follows another, the list
    at the first is extended by the last word of the list at the second.  A phrase of k + 1 words is therefore only made where both
    of its phrases of k words are frequent.
-3. That is repeated to ``longest`` words; between two steps only the lengths of lists are shuffled, not the lists.
+3. That is repeated to ``longest`` words; between two steps only the lengths of lists are shuffled, not the lists.  Where frequent phrases are
+   too many to be sent to all tasks, the place that summed a name answers each block with the name's number, and blocks are shuffled once to meet the answers.
 4. Frequencies of all parts are joined to the candidates, cut by cut.
 
 Phrases are named by numbers that are stored with them, not by hashes, so counts are exact.
@@ -27,6 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -34,13 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .hashing import mixed
-from .shared import discard, fresh_path, in_batches, staged
+from .shared import discard, in_batches, staged, stored
 
 #: Bytes that end a piece.
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Words in a block, about; a block's lists are in one task.
 BLOCK_WORDS = 1 << 19
-#: Frequent phrases of a size, and bytes of frequent words, up to which their names are sent to all tasks; beyond that they are joined.
+#: Frequent phrases of a size, and bytes of frequent words, up to which their names are sent to all tasks; beyond that each block is answered.
 FREQUENT_ROWS, FREQUENT_BYTES = 500_000, 16 << 20
 #: Names, of all blocks together, that are summed in one place.
 BUCKET_NAMES = 2_000_000
@@ -51,10 +53,11 @@ PARTS = 64
 
 _BREAK = b"."
 _TO_BREAK = bytes(_BREAK[0] if c in SEPARATORS else c for c in range(256))
-_PACKED_WORDS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("names", pa.binary()), ("sizes", pa.binary())])
-_PACKED_PAIRS = pa.schema([("bucket", pa.int64()), ("heads", pa.binary()), ("tails", pa.binary()), ("sizes", pa.binary())])
-_WORD_BLOCKS = "lang string, block long, words array<string>, sizes array<int>, gaps array<int>"
-_BLOCKS = "lang string, block long, heads array<long>, tails array<long>, sizes array<int>, gaps array<int>"
+_WORD_BLOCKS = "lang string, block long, names long, places long, words binary, sizes binary, gaps binary"
+_BLOCKS = "lang string, block long, names long, heads binary, tails binary, sizes binary, gaps binary"
+_DEALT_WORDS = "bucket long, block long, lang string, words binary, sizes binary"
+_DEALT_PAIRS = "bucket long, block long, heads binary, tails binary, sizes binary"
+_ANSWERS = "block long, bucket long, base long, ids binary"
 
 
 @dataclass(frozen=True)
@@ -68,16 +71,36 @@ class Mining:
     best: int = 2_000
 
 
-def _gaps(positions: np.ndarray) -> pa.Array:
+def _zipped(values: np.ndarray, kind: type = np.int64) -> bytes:
+    """Whole numbers as bytes: first the lowest byte of each, then the next ones, so that bytes that hardly differ stand together."""
+    width = np.dtype(kind).itemsize
+    return zstandard.compress(np.ascontiguousarray(values, dtype=kind).view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def _unzipped(data: bytes, kind: type = np.int64) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _zipped_words(words: list[bytes]) -> bytes:
+    """Words as bytes; no word holds a line break, which ends a piece."""
+    return zstandard.compress(b"\n".join(words), 1)
+
+
+def _unzipped_words(data: bytes, n: int) -> list[bytes]:
+    return zstandard.decompress(data).split(b"\n") if n else []
+
+
+def _gaps(positions: np.ndarray) -> bytes:
     """The lists, one behind the other, as the distance of each position from the one before: they take less room."""
-    return pa.array(np.diff(positions, prepend=0).astype(np.int32))
+    return _zipped(np.diff(positions, prepend=0), np.int32)
 
 
-def _row(lang: str, block: int, **lists: pa.Array) -> pa.RecordBatch:
-    """One row of arrays."""
-    columns = [pa.array([lang], pa.string()), pa.array([block], pa.int64())]
-    columns += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists.values()]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "block", *lists])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of a schema of longs, strings and bytes."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [pa.field(name, kinds[kind]) for name, kind in (f.split(" ") for f in schema.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
 
 
 class _Block:
@@ -98,8 +121,8 @@ class _Block:
         stream = np.concatenate(self.runs)
         order = np.argsort(stream, kind="stable").astype(np.int32)
         sizes = np.bincount(stream, minlength=len(self.numbers)).astype(np.int32)
-        words = pa.array(list(self.numbers)[1:], pa.binary()).cast(pa.string())
-        return _row(lang, block, words=words, sizes=pa.array(sizes[1:]), gaps=_gaps(order[sizes[0] :]))
+        words, places = list(self.numbers)[1:], order[sizes[0] :]
+        return _batch([(lang, block, len(words), len(places), _zipped_words(words), _zipped(sizes[1:], np.int32), _gaps(places))], _WORD_BLOCKS)
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -121,7 +144,7 @@ def _parts(tokens: list[bytes], size: int) -> Iterator[list[bytes]]:
 
 
 def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(lang, block, words, sizes, gaps) of ``docs`` (text, lang): the lists of a block's words one behind the other."""
+    """(lang, block, names, places, words, sizes, gaps) of ``docs`` (text, lang): the lists of a block's words one behind the other, and how many words and places there are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = TaskContext.get().partitionId() << 32, 0
@@ -162,20 +185,20 @@ def extended(ids: np.ndarray, tails: np.ndarray, sizes: np.ndarray, positions: n
 
 
 class _Words:
-    """Numbers of frequent words by language."""
+    """Numbers of frequent words by language; ``rows`` (lang, word, id)."""
 
     def __init__(self, rows: pa.Table) -> None:
-        self.ids: dict[str, dict[str, int]] = {}
+        self.ids: dict[str, dict[bytes, int]] = {}
         for lang, word, number in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "id")), strict=True):
-            self.ids.setdefault(lang, {})[word] = number
+            self.ids.setdefault(lang, {})[word.encode()] = number
 
-    def of(self, row: dict) -> np.ndarray:
-        known = self.ids.get(row["lang"].as_py(), {})
-        return np.array([known.get(w, -1) for w in row["words"].values.to_pylist()], dtype=np.int64)
+    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
+        known = self.ids.get(lang, {})
+        return np.fromiter((known.get(w, -1) for w in words), dtype=np.int64, count=len(words))
 
 
 class _Pairs:
-    """Numbers of frequent phrases by head and tail, as a sorted array of the places of both among all heads and all tails."""
+    """Numbers of frequent phrases by head and tail, as a sorted array of the places of both among all heads and all tails; ``rows`` (head, tail, id)."""
 
     def __init__(self, rows: pa.Table) -> None:
         head, tail, ids = (rows.column(c).to_numpy() for c in ("head", "tail", "id"))
@@ -187,8 +210,7 @@ class _Pairs:
     def _codes(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.heads, head) * np.int64(len(self.tails) + 1) + np.searchsorted(self.tails, tail)
 
-    def of(self, row: dict) -> np.ndarray:
-        head, tail = row["heads"].values.to_numpy(), row["tails"].values.to_numpy()
+    def of(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
         if not len(self.codes) or not len(head):
             return np.full(len(head), -1, dtype=np.int64)
         there = np.isin(head, self.heads) & np.isin(tail, self.tails)
@@ -197,12 +219,12 @@ class _Pairs:
         return np.where(there & (self.codes[at] == codes), self.ids[at], -1)
 
 
-def _zipped(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values, dtype=np.int64).tobytes(), 1)
+def _word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter((crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
 
 
-def _unzipped(data: pa.BinaryScalar) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data.as_py()), dtype=np.int64)
+def _pair_buckets(heads: np.ndarray, tails: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(heads.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mixed(tails.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
 
 
 def _runs(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -214,64 +236,68 @@ def _runs(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _dealt_words(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, lang, names, sizes): the words of a block and the lengths of their lists, packed bucket by bucket."""
+    """(bucket, block, lang, words, sizes): the words of a block and the lengths of their lists, packed bucket by bucket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, words, sizes in zip(*(batch.column(c) for c in ("lang", "words", "sizes")), strict=True):
-                names, n = words.values.to_pylist(), sizes.values.to_numpy()
-                bucket = np.fromiter((crc32(w.encode()) % buckets for w in names), dtype=np.int64, count=len(names))
-                rows = [(b, lang.as_py(), zstandard.compress("\n".join([names[i] for i in at]).encode(), 1), _zipped(n[at])) for b, at in _runs(bucket)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "lang", "names", "sizes"), r, strict=True)) for r in rows], schema=_PACKED_WORDS)
+            for block, lang, n, words, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, sizes = _unzipped_words(words, n), _unzipped(sizes, np.int32)
+                runs = _runs(_word_buckets(words, buckets))
+                yield _batch([(b, block, lang, _zipped_words([words[i] for i in at]), _zipped(sizes[at], np.int32)) for b, at in runs], _DEALT_WORDS)
 
-    return in_batches(blocks.select("lang", "words", "sizes"), run, "bucket long, lang string, names binary, sizes binary")
+    return in_batches(blocks.select("block", "lang", "names", "words", "sizes"), run, _DEALT_WORDS)
 
 
 def _dealt_pairs(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, heads, tails, sizes) in the same way; heads are sorted, and packed by their differences."""
+    """(bucket, block, heads, tails, sizes) in the same way; heads are sorted, and packed by their differences."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("heads", "tails", "sizes")), strict=True):
-                heads, tails, n = (x.values.to_numpy() for x in row)
-                bucket = (mixed(heads.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mixed(tails.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-                rows = [(b, _zipped(np.diff(heads[at], prepend=0)), _zipped(tails[at]), _zipped(n[at])) for b, at in _runs(bucket)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "heads", "tails", "sizes"), r, strict=True)) for r in rows], schema=_PACKED_PAIRS)
+            for block, heads, tails, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                heads, tails, sizes = np.cumsum(_unzipped(heads)), _unzipped(tails), _unzipped(sizes, np.int32)
+                runs = _runs(_pair_buckets(heads, tails, buckets))
+                yield _batch([(b, block, _zipped(np.diff(heads[at], prepend=0)), _zipped(tails[at]), _zipped(sizes[at], np.int32)) for b, at in runs], _DEALT_PAIRS)
 
-    return in_batches(blocks.select("heads", "tails", "sizes"), run, "bucket long, heads binary, tails binary, sizes binary")
+    return in_batches(blocks.select("block", "heads", "tails", "sizes"), run, _DEALT_PAIRS)
 
 
 def _summed_words(table: pa.Table, least: int) -> pa.Table:
-    counts: dict[tuple[str, str], int] = {}
-    for lang, names, sizes in zip(*(table.column(c) for c in ("lang", "names", "sizes")), strict=True):
-        of = lang.as_py()
-        for word, n in zip(zstandard.decompress(names.as_py()).decode().split("\n"), _unzipped(sizes).tolist(), strict=True):
-            counts[of, word] = counts.get((of, word), 0) + n
-    found = [(*k, n) for k, n in counts.items() if n >= least]
+    counts: dict[tuple[str, bytes], int] = {}
+    for lang, words, sizes in zip(*(table.column(c) for c in ("lang", "words", "sizes")), strict=True):
+        of, n = lang.as_py(), _unzipped(sizes.as_py(), np.int32).tolist()
+        for word, size in zip(_unzipped_words(words.as_py(), len(n)), n, strict=True):
+            counts[of, word] = counts.get((of, word), 0) + size
+    found = [(lang, word.decode(), n) for (lang, word), n in counts.items() if n >= least]
     return pa.Table.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "f"])
 
 
 def _summed_pairs(table: pa.Table, least: int) -> pa.Table:
-    heads = np.concatenate([np.cumsum(_unzipped(v)) for v in table.column("heads")])
-    tails, sizes = (np.concatenate([_unzipped(v) for v in table.column(c)]) for c in ("tails", "sizes"))
+    heads = np.concatenate([np.cumsum(_unzipped(v.as_py())) for v in table.column("heads")])
+    tails = np.concatenate([_unzipped(v.as_py()) for v in table.column("tails")])
+    sizes = np.concatenate([_unzipped(v.as_py(), np.int32) for v in table.column("sizes")])
     order = np.lexsort((tails, heads))
     heads, tails, sizes = heads[order], tails[order], sizes[order]
     fresh = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]) | (tails[1:] != tails[:-1])]))
-    f = np.add.reduceat(sizes, fresh)
+    f = np.add.reduceat(sizes, fresh, dtype=np.int64)
     many = f >= least
     return pa.table({"head": heads[fresh][many], "tail": tails[fresh][many], "f": f[many]})
 
 
-def _frequent(blocks: DataFrame, first: bool, least: int) -> DataFrame:
-    """Phrases (lang and word, or head and tail; f, id) whose lists have ``least`` positions or more in all, each with a number of its own.
+def _frequent(blocks: DataFrame, first: bool, least: int) -> tuple[DataFrame, int]:
+    """Phrases (bucket; lang and word, or head and tail; f, id) whose lists have ``least`` positions or more in all, each with a number of its own, and the number of buckets.
 
     What is shuffled are names and lengths, packed by buckets of about ``BUCKET_NAMES`` of them; a bucket is summed in one place.
     """
-    names = blocks.agg(F.sum(F.size("sizes").cast("bigint"))).first()[0] or 0
+    names = blocks.agg(F.sum("names")).first()[0] or 0
     buckets = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(names / BUCKET_NAMES))
     dealt, summed, schema = (_dealt_words, _summed_words, "lang string, word string, f long") if first else (_dealt_pairs, _summed_pairs, "head long, tail long, f long")
-    counts = dealt(blocks, buckets).groupBy("bucket").applyInArrow(lambda table: summed(table, least), schema)
-    return staged(counts.withColumn("id", F.monotonically_increasing_id()), "phrases")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = summed(table, least)
+        return found.add_column(0, "bucket", pa.repeat(table.column("bucket")[0], found.num_rows))
+
+    counts = dealt(blocks, buckets).drop("block").groupBy("bucket").applyInArrow(run, f"bucket long, {schema}")
+    return staged(counts.withColumn("id", F.monotonically_increasing_id()), "phrases"), buckets
 
 
 def _may_send(frequent: DataFrame, first: bool) -> bool:
@@ -279,64 +305,89 @@ def _may_send(frequent: DataFrame, first: bool) -> bool:
     return sizes.n <= FREQUENT_ROWS and sizes.bytes <= FREQUENT_BYTES
 
 
-def _joined(blocks: DataFrame, frequent: DataFrame, first: bool) -> DataFrame:
-    """Blocks with ``kept``: the places and numbers of their frequent lists, found by joins of names without lists."""
-    name, lists = (["lang", "word"], ["words"]) if first else (["head", "tail"], ["heads", "tails"])
-    lead = ["block", "lang"] if first else ["block"]
-    rows = blocks.select(*lead, F.posexplode(F.arrays_zip(*lists)).alias("at", "names")).select(*lead, "at", "names.*")
-    rows = rows.toDF(*lead, "at", *name[-len(lists) :])
-    kept = rows.join(frequent.select(*name, "id"), name).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))
-    return blocks.join(kept, "block").select(*blocks.columns, "kept")
-
-
 def _stored(blocks: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The stored table and its folder.  Blocks are few and large rows, so row groups are cut by bytes at every row."""
-    path = fresh_path(blocks.sparkSession, label)
-    options = {"compression": "zstd", "parquet.block.size": str(GROUP_BYTES), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "2"}
-    blocks.write.options(**options).parquet(path)
-    return blocks.sparkSession.read.schema(blocks.schema).parquet(path), path
+    return stored(blocks, label, **{"parquet.block.size": str(GROUP_BYTES), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "2"})
+
+
+def _named(frequent: DataFrame, first: bool) -> DataFrame:
+    return frequent.select("bucket", *(("lang", "word") if first else ("head", "tail")), "id")
 
 
-def _next_blocks(blocks: DataFrame, frequent: DataFrame, first: bool) -> DataFrame:
+def _answers(blocks: DataFrame, frequent: DataFrame, first: bool, buckets: int) -> DataFrame:
+    """(block, bucket, base, ids): of the names that a block has in a bucket, in their order, the number less ``base``, or 0 of a name that is not frequent."""
+
+    def run(dealt: pa.Table, rows: pa.Table) -> pa.Table:
+        found = []
+        if dealt.num_rows and rows.num_rows:
+            known, base = (_Words if first else _Pairs)(rows), pc.min(rows.column("id")).as_py() - 1
+            for r in zip(*(dealt.column(c) for c in ("bucket", "block", *(("lang", "words") if first else ("heads", "tails")))), strict=True):
+                bucket, block, a, b = (x.as_py() for x in r)
+                ids = known.of(a, _unzipped_words(b, 1)) if first else known.of(np.cumsum(_unzipped(a)), _unzipped(b))
+                if (ids >= 0).any():
+                    found.append((block, bucket, base, _zipped(np.where(ids >= 0, ids - base, 0))))
+        return pa.Table.from_batches([_batch(found, _ANSWERS)])
+
+    dealt = (_dealt_words if first else _dealt_pairs)(blocks, buckets).drop("sizes")
+    return dealt.groupBy("bucket").cogroup(_named(frequent, first).groupBy("bucket")).applyInArrow(run, _ANSWERS)
+
+
+def _names_of(row: dict, first: bool) -> tuple[str | np.ndarray, list[bytes] | np.ndarray]:
+    """What ``_Words.of`` or ``_Pairs.of`` takes."""
+    return (row["lang"], _unzipped_words(row["words"], row["names"])) if first else (np.cumsum(_unzipped(row["heads"])), _unzipped(row["tails"]))
+
+
+def _extended_row(row: dict, ids: np.ndarray, first: bool) -> list[tuple]:
+    """The block of a row with its lists extended, or nothing if no list is left; -1 among ``ids`` stands for a list that is not frequent."""
+    sizes, positions = _unzipped(row["sizes"], np.int32), np.cumsum(_unzipped(row["gaps"], np.int32), dtype=np.int32)
+    stay = ids >= 0
+    tails = ids if first else _unzipped(row["tails"])
+    heads, after, n, at = extended(ids[stay], tails[stay], sizes[stay], positions[np.repeat(stay, sizes)])
+    return [(row["lang"], row["block"], len(heads), _zipped(np.diff(heads, prepend=0)), _zipped(after), _zipped(n, np.int32), _gaps(at))] if len(heads) else []
+
+
+def _next_blocks(blocks: DataFrame, frequent: DataFrame, first: bool, buckets: int) -> DataFrame:
     """The blocks of phrases of one word more."""
-    sent = None
     if _may_send(frequent, first):
-        sent = blocks.sparkSession.sparkContext.broadcast((_Words if first else _Pairs)(frequent.toArrow()))
-    else:
-        blocks = _joined(blocks, frequent, first)
+        sent = blocks.sparkSession.sparkContext.broadcast((_Words if first else _Pairs)(_named(frequent, first).toArrow()))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                sizes, positions = row["sizes"].values.to_numpy(), np.cumsum(row["gaps"].values.to_numpy(), dtype=np.int32)
-                if sent is not None:
-                    ids = sent.value.of(row)
-                else:
-                    ids, kept = np.full(len(sizes), -1, dtype=np.int64), row["kept"].values
-                    ids[kept.field(0).to_numpy()] = kept.field(1).to_numpy()
-                stay = ids >= 0
-                tails = ids if first else row["tails"].values.to_numpy()
-                heads, after, n, at = extended(ids[stay], tails[stay], sizes[stay], positions[np.repeat(stay, sizes)])
-                if len(heads):
-                    yield _row(row["lang"].as_py(), row["block"].as_py(), heads=pa.array(heads), tails=pa.array(after), sizes=pa.array(n), gaps=_gaps(at))
-
-    return in_batches(blocks, run, _BLOCKS)
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    yield _batch(_extended_row(row, sent.value.of(*_names_of(row, first)), first), _BLOCKS)
+
+        return in_batches(blocks, run, _BLOCKS)
+
+    def answered(block: pa.Table, answers: pa.Table) -> pa.Table:
+        row, found = block.to_pylist()[0], []
+        if answers.num_rows:
+            a, b = _names_of(row, first)
+            places = dict(_runs(_word_buckets(b, buckets) if first else _pair_buckets(a, b, buckets)))
+            ids = np.full(row["names"], -1, dtype=np.int64)
+            for bucket, base, own in zip(*(answers.column(c) for c in ("bucket", "base", "ids")), strict=True):
+                own = _unzipped(own.as_py())
+                ids[places[bucket.as_py()]] = np.where(own > 0, own + base.as_py(), -1)
+            found = _extended_row(row, ids, first)
+        return pa.Table.from_batches([_batch(found, _BLOCKS)])
+
+    answers = _answers(blocks, frequent, first, buckets)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answered, _BLOCKS)
 
 
 def mined(docs: DataFrame, mining: Mining, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of the frequent phrases of 1 to ``longest`` words, and (lang, n): the words of a language."""
     blocks, path = _stored(word_blocks(docs, block_words), "blocks-1")
-    totals = staged(blocks.groupBy("lang").agg(F.sum(F.size("gaps").cast("bigint")).alias("n")), "words-by-lang")
-    frequent = _frequent(blocks, True, mining.least)
+    totals = staged(blocks.groupBy("lang").agg(F.sum("places").alias("n")), "words-by-lang")
+    frequent, buckets = _frequent(blocks, True, mining.least)
     words = frequent.select(F.col("id").alias("tail"), "word")
     phrases = frequent.select("lang", "id", F.col("word").alias("phrase"), "f")
     found = phrases.select("lang", "phrase", F.lit(1).alias("size"), "f")
     for size in range(2, mining.longest + 1):
         done = path
-        blocks, path = _stored(_next_blocks(blocks, frequent, size == 2), f"blocks-{size}")
+        blocks, path = _stored(_next_blocks(blocks, frequent, size == 2, buckets), f"blocks-{size}")
         discard(docs.sparkSession, done)
-        frequent = _frequent(blocks, False, mining.least)
+        frequent, buckets = _frequent(blocks, False, mining.least)
         heads = phrases.select(F.col("id").alias("head"), "lang", "phrase")
         phrases = frequent.join(heads, "head").join(words, "tail")
         phrases = staged(phrases.select("lang", "id", F.concat_ws(" ", "phrase", "word").alias("phrase"), "f"), "phrases")

@@ -2,11 +2,12 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_ngram_join import SCHEMA, brute_force, corpus
 
-from millrace.llm import ngram_join, shared
+from millrace.llm import collocations, ngram_join, shared
 
 
 def shuffle_files(spark):
@@ -48,3 +49,31 @@ def test_tiles_in_parts_and_what_the_join_leaves(spark, monkeypatch, words, perc
     assert not {"sketches", "sets", "shared-tiles"} & set(left)
     assert left.count("tile-members") == ngram_join.PARTS
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_force(rows, how)
+
+
+def test_blocks_that_are_answered_equal_those_that_are_sent_names(spark, monkeypatch):
+    rows = [(f"{a} {b} of the {c}. {b} {c}, {a} {a} {a}", lang) for a in ("x", "yy", "İ") for b in ("town", "river") for c in ("x", "é", "end") for lang in ("en", "de", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    blocks = shared.staged(collocations.word_blocks(docs, 20), "blocks")
+    for first in (True, False):
+        frequent, buckets = collocations._frequent(blocks, first, 3)
+        made = []
+        for limit in (collocations.FREQUENT_ROWS, 0):
+            monkeypatch.setattr(collocations, "FREQUENT_ROWS", limit)
+            made.append(collocations._next_blocks(blocks, frequent, first, buckets))
+        monkeypatch.undo()
+        plan = made[1]._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "collect_list" not in plan  # neither names nor numbers are rows of their own
+        sent, answered = ({r.block: tuple(r) for r in m.collect()} for m in made)
+        assert sent == answered and len(sent) > 3
+        assert {kind for name, kind in made[1].dtypes if name not in ("lang", "block", "names")} == {"binary"}
+        blocks = shared.staged(made[0], "blocks")
+
+
+def test_numbers_are_packed_and_read_again():
+    for kind in (np.int32, np.int64):
+        for values in ([], [0], [-1, 5, 2**31 - 1, -(2**31)], range(-500, 500)):
+            packed = collocations._zipped(np.array(values, dtype=np.int64), kind)
+            assert collocations._unzipped(packed, kind).tolist() == list(values)
+    ids = np.random.default_rng(1).integers(0, 1 << 20, 10_000) + (5 << 33)
+    assert len(collocations._zipped(ids)) < 3 * len(ids)
