@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_ngram_join import SCHEMA, brute_force, corpus
 
+import corpus_pipeline
 from millrace.llm import collocations, ngram_join, shared
 
 
@@ -51,6 +52,14 @@ def test_tiles_in_parts_and_what_the_join_leaves(spark, monkeypatch, words, perc
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_force(rows, how)
 
 
+def test_the_pipeline_keeps_its_last_table_only(spark, small):
+    before = tables(spark)[1]
+    found = corpus_pipeline.run(spark, small)
+    left = [label for label in tables(spark, before)[0] if label.startswith("pipeline-")]
+    assert left == [f"pipeline-{corpus_pipeline.STAGES[-1][0]}"]
+    assert found.count() > 150
+
+
 def test_blocks_that_are_answered_equal_those_that_are_sent_names(spark, monkeypatch):
     rows = [(f"{a} {b} of the {c}. {b} {c}, {a} {a} {a}", lang) for a in ("x", "yy", "İ") for b in ("town", "river") for c in ("x", "é", "end") for lang in ("en", "de", None)]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
